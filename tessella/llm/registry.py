@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, sharding
+from . import language, line_dedup, pieces, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_language": language.op3_language,
         "op5_line_dedup": line_dedup.op5_line_dedup,
+        "op7_pieces": pieces.op7_pieces,
         "op10_sharding": sharding.op10_sharding,
     }
 
