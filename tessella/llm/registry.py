@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, line_dedup, pieces, sharding
+from . import decontaminate, language, line_dedup, pieces, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": decontaminate.op1_decontamination,
         "op3_language": language.op3_language,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op7_pieces": pieces.op7_pieces,
