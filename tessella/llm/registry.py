@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, line_dedup, pieces, sharding
+from . import decontaminate, language, line_dedup, near_vectors, pieces, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language": language.op3_language,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op7_pieces": pieces.op7_pieces,
+        "op8_near_vectors": near_vectors.op8_near_vectors,
         "op10_sharding": sharding.op10_sharding,
     }
 
