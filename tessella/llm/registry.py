@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, decontaminate, language, line_dedup, near_vectors, pieces, sharding, suffix_dedup
+from . import context_tree, decontaminate, language, line_dedup, near_vectors, pieces, sharding, shingle_join, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontaminate.op1_decontamination,
+        "op2_shingle_join": shingle_join.op2_shingle_join,
         "op3_language": language.op3_language,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
