@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, decontaminate, language, line_dedup, near_vectors, pieces, sharding, shingle_join, suffix_dedup
+from . import context_tree, decontaminate, language, line_dedup, near_vectors, pieces, sharding, shingle_join, suffix_dedup, surrogates
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": decontaminate.op1_decontamination,
         "op2_shingle_join": shingle_join.op2_shingle_join,
         "op3_language": language.op3_language,
+        "op4_surrogates": surrogates.op4_surrogates,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_pieces": pieces.op7_pieces,
