@@ -1,23 +1,69 @@
 """A cleaning pipeline over ``documents``: each stage applies one operator to all that the
-stage before kept, and its rows are written as Parquet and read again for the next."""
+stage before kept, and its rows are written as Parquet and read again for the next.
+
+1. language ID: documents without a language that the network can tell go;
+2. line dedup: lines of ten documents or more go;
+3. n-gram Jaccard join: of each group of near copies the least id stays;
+4. benchmark decontamination: documents that hold a test item go;
+5. SentencePiece encoding: what is left, as ids with their source spans.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.llm.common import settle
+from tessella.llm.decontaminate import find_items
+from tessella.llm.language import UNDECIDED, fit, identify
 from tessella.llm.line_dedup import dedup_lines
+from tessella.llm.pieces import encode_documents, model_bytes
+from tessella.llm.shingle_join import keep_one
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are ``und`` (null, or without a letter) go. The network learns from the
+    labelled documents. A low score alone rejects nothing: short clean texts have one too."""
+    found = identify(docs, fit(docs, F.lit(True)))
+    return found.where(F.col("language__pred") != UNDECIDED).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go; the text and its length are what is left."""
-    return dedup_lines(docs).select(docs.columns)
+    """Repeated lines go; ``n_chars`` is the length of what is left."""
+    found = dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the least id stays."""
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of ``benchmark`` go."""
+    found = find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(F.size("decontaminate__items") == 0).select(docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids and span ends of the pieces, and their number."""
+    found = encode_documents(docs.select("doc_id", "text"), model_bytes())
+    return found.select("doc_id", F.col("pieces__ids").alias("ids"), F.col("pieces__ends").alias("ends"), F.size("pieces__ids").cast("long").alias("n_tokens"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("line_dedup", line_dedup)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("encoding", encoding),
+]
 
+#: A recurrent network and a tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
