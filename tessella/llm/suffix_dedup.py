@@ -123,6 +123,8 @@ def _groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _dealt(rows: np.ndarray, to: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    if not len(rows):
+        return []
     order = np.argsort(to, kind="stable")
     numbers, first = np.unique(to[order], return_index=True)
     return list(zip((int(n) for n in numbers), np.split(rows[order], first[1:]), strict=True))
