@@ -60,7 +60,7 @@ class RecordQueue:
 
     def as_vector(self, value: str) -> DataFrame:
         """(host, items): what each host holds, in order, as one array."""
-        return self.rows.groupBy(self.host).agg(F.transform(F.array_sort(F.collect_list(F.struct(self.seq, value))), lambda x: x[value]).alias("items"))
+        return self.rows.groupBy(self.host).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(self.seq).alias("o"), F.col(value).alias("v")))), lambda x: x["v"]).alias("items"))
 
     def size(self) -> DataFrame:
         return self.rows.groupBy(self.host).agg(F.count(F.lit(1)).alias("size"))

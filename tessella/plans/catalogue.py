@@ -1,10 +1,22 @@
-"""Queries of the engine's own operators and the SQL that each must equal."""
+"""Queries of the engine's own operators and the SQL that each must equal.
+
+Two matrices recur. A: lineitem's orders by suppliers, v the quantity as a whole number.
+E: the embeddings times 1000, rounded down, so that sums are exact.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import strings
+from ..operators import arrays, calls, exchange, graph, membership, queues, reduce, scan
+from ..operators.keyed import KeyedTable
+from ..operators.matrix import Matrix
+from ..session import table
+from .layout import Blocking
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -16,3 +28,489 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def query(sql: str | None = None):
+    def register(fn):
+        _QUERIES[fn.__name__] = fn
+        if sql:
+            _SQL[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+A_SQL = "SELECT l_orderkey AS i, l_suppkey AS j, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2"
+E_SQL = "SELECT vec_id AS i, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS j, CAST(FLOOR(CAST(unnest(embedding) AS DOUBLE) * 1000) AS BIGINT) AS v FROM embeddings"
+
+
+def orders_by_suppliers(spark: SparkSession, d: str) -> Matrix:
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_suppkey").alias("j"), F.col("l_quantity").cast("long").alias("v"))
+    m = table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0] + 1
+    n = table(spark, d, "supplier").agg(F.max("s_suppkey")).first()[0] + 1
+    return Matrix.from_coo(rows, (m, n))
+
+
+def quantised(spark: SparkSession, d: str) -> Matrix:
+    e = table(spark, d, "embeddings")
+    m = e.agg(F.max("vec_id")).first()[0] + 1
+    return Matrix.from_vectors(e, "vec_id", "embedding", (m, 64)).apply(lambda v: F.floor(v.cast("double") * 1000).cast("long"))
+
+
+# keyed tables
+
+
+@query("SELECT user_id AS k, max_by(event_type, event_id) AS v FROM events GROUP BY 1")
+def map_insert_or_assign(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("k"), F.col("event_type").alias("v"), "event_id")
+    return KeyedTable.load(e, ["k"], ["v"], ["event_id"]).scan()
+
+
+@query("SELECT user_id AS k, min_by(event_type, event_id) AS v FROM events GROUP BY 1")
+def map_insert_first(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("k"), F.col("event_type").alias("v"), "event_id")
+    return KeyedTable.empty(e, ["k"], ["v"]).insert_first(e, ["event_id"]).scan()
+
+
+@query("SELECT user_id AS k, count(*)::BIGINT AS v FROM events GROUP BY 1")
+def map_modify(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("k"), F.lit(1).cast("long").alias("v"))
+    return KeyedTable.empty(e, ["k"], ["v"]).modify(e, "v", "sum").scan()
+
+
+@query("SELECT user_id AS k, string_agg(event_type, '>' ORDER BY event_id) AS v FROM events GROUP BY 1")
+def map_modify_fn(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("k"), F.col("event_type").alias("v"), "event_id")
+    grow = lambda a, x: F.when(a == "", x).otherwise(F.concat_ws(">", a, x))
+    return KeyedTable.empty(e, ["k"], ["v"]).modify_with(e, "v", "event_id", F.lit(""), grow).scan()
+
+
+@query("SELECT o_orderkey, o_custkey, c_name, c_acctbal, c_custkey IS NOT NULL AS found FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def map_find(spark, d):
+    customers = KeyedTable(table(spark, d, "customer"), ("c_custkey",), ("c_name", "c_acctbal"))
+    return customers.find(table(spark, d, "orders").select("o_orderkey", "o_custkey"), {"c_custkey": "o_custkey"})
+
+
+@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity = 50)")
+def map_find_end(spark, d):
+    sold = table(spark, d, "lineitem").where("l_quantity = 50").select("l_partkey").distinct()
+    return KeyedTable(sold, ("l_partkey",), ()).absent(table(spark, d, "part").select("p_partkey"), {"l_partkey": "p_partkey"})
+
+
+@query("SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity = 50)")
+def map_present(spark, d):
+    sold = table(spark, d, "lineitem").where("l_quantity = 50").select("l_partkey").distinct()
+    return KeyedTable(sold, ("l_partkey",), ()).present(table(spark, d, "part").select("p_partkey"), {"l_partkey": "p_partkey"})
+
+
+@query("SELECT d.doc_id, coalesce(l.quality, -1)::INT AS quality, l.doc_id IS NULL AS inserted FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def map_find_or_insert(spark, d):
+    labels = KeyedTable(table(spark, d, "labels").select("doc_id", "quality"), ("doc_id",), ("quality",))
+    return labels.find_or_insert(table(spark, d, "documents").select("doc_id"), {"quality": F.lit(-1)})[0]
+
+
+@query("SELECT url AS k, length(html)::BIGINT AS v FROM pages")
+def map_scan(spark, d):
+    p = table(spark, d, "pages").select(F.col("url").alias("k"), F.length("html").cast("long").alias("v"), "page_id")
+    return KeyedTable.load(p, ["k"], ["v"], ["page_id"]).scan()
+
+
+_SQL["map_scan"] = "SELECT url AS k, max_by(length(html), page_id)::BIGINT AS v FROM pages GROUP BY 1"
+
+
+# membership
+
+
+@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) > 1 AS seen FROM events")
+def bloom_seen_exact(spark, d):
+    return membership.seen_before(table(spark, d, "events").select("event_id", "user_id"), "user_id", ["event_id"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 5)")
+def bloom_semijoin(spark, d):
+    small = table(spark, d, "part").where("p_size <= 5")
+    n = small.count()
+    return membership.bloom_semijoin(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_partkey", small, "p_partkey", max(n, 1))
+
+
+@query("SELECT 0::BIGINT AS missed, count(*)::BIGINT AS inserted FROM part")
+def bloom_no_false_negatives(spark, d):
+    p = table(spark, d, "part")
+    seen = membership.BlockedBloom.build(p, "p_name", max(p.count(), 1)).test(p.select("p_name"), "p_name")
+    return seen.agg(F.coalesce(F.sum((~F.col("maybe")).cast("long")), F.lit(0)).alias("missed"), F.count(F.lit(1)).alias("inserted"))
+
+
+# exchange, sort, histogram
+
+
+@query("SELECT l_orderkey % 8 AS dest, count(*)::BIGINT AS n, CAST(sum(l_partkey) AS BIGINT) AS sum_part FROM lineitem GROUP BY 1")
+def distributor(spark, d):
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") % 8).alias("dest"), "l_partkey")
+    sent = exchange.distribute(rows, "dest", 8).withColumn("rank", F.spark_partition_id())
+    ok = F.when(F.col("rank") == F.col("dest"), F.col("dest")).otherwise(F.raise_error(F.lit("a record is not at its destination")).cast("long"))
+    return sent.groupBy(ok.alias("dest")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_partkey").alias("sum_part"))
+
+
+@query("""SELECT CAST(FLOOR(l_partkey / 500.0) AS BIGINT) AS bucket, l_partkey, row_number() OVER (ORDER BY l_partkey, l_orderkey, l_linenumber, l_suppkey, l_shipdate)::BIGINT AS pos FROM lineitem""")
+def bucket_sort(spark, d):
+    rows = table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate")
+    return exchange.bucket_sort(rows, "l_partkey", 500, ["l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate"]).select("bucket", "l_partkey", "pos")
+
+
+@query("SELECT b.bucket::BIGINT AS bucket, count(p.p_partkey)::BIGINT AS n FROM range(60) b(bucket) LEFT JOIN part p ON p.p_size = b.bucket GROUP BY 1")
+def bucket_count(spark, d):
+    return exchange.bucket_count(table(spark, d, "part").select("p_size"), "p_size", 1, 0, 60)
+
+
+@query("SELECT CAST(sum(l_partkey) AS BIGINT) AS total FROM lineitem")
+def total_count(spark, d):
+    return exchange.total_count(table(spark, d, "lineitem"), "l_partkey")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*)::BIGINT AS n FROM lineitem GROUP BY 1, 2")
+def value_counts(spark, d):
+    return exchange.value_counts(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+# queues: four hosts of events in order of event_id
+
+_HOSTS = "SELECT user_id % 4 AS host, event_id, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS rn FROM events"
+
+
+def event_queue(spark, d, capacity=None) -> queues.RecordQueue:
+    return queues.RecordQueue(table(spark, d, "events").select((F.col("user_id") % 4).alias("host"), "event_id"), "host", "event_id", capacity)
+
+
+@query(f"SELECT host, event_id FROM ({_HOSTS}) WHERE rn <= 100")
+def queue_pop_n(spark, d):
+    return event_queue(spark, d).pop(100)[0]
+
+
+@query(f"SELECT host, event_id, rn <= 1000 AS accepted FROM ({_HOSTS})")
+def queue_push_capacity(spark, d):
+    pushes = event_queue(spark, d).rows
+    return queues.RecordQueue(pushes.limit(0), "host", "event_id", 1000).push(pushes)[1]
+
+
+@query(f"SELECT host, event_id, (rn - 1) % 64 AS slot, (rn - 1) // 64 AS lap FROM ({_HOSTS}) QUALIFY row_number() OVER (PARTITION BY host, (rn - 1) % 64 ORDER BY rn DESC) = 1")
+def queue_ring(spark, d):
+    return event_queue(spark, d).ring(64)
+
+
+@query("SELECT user_id % 4 AS host, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS items FROM events GROUP BY 1")
+def queue_as_vector(spark, d):
+    return event_queue(spark, d).as_vector("event_id").select("host", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
+
+
+@query(f"SELECT host, (rn - 1)::BIGINT AS event_id FROM ({_HOSTS}) WHERE rn <= 500")
+def queue_resize(spark, d):
+    return event_queue(spark, d).resize(500).rows
+
+
+@query("SELECT 7::BIGINT AS host, event_id FROM events")
+def queue_migrate(spark, d):
+    return event_queue(spark, d).migrate(7).rows
+
+
+@query("SELECT user_id % 4 AS host, count(*)::BIGINT AS size FROM events GROUP BY 1")
+def queue_size(spark, d):
+    return event_queue(spark, d).size()
+
+
+@query(f"SELECT host, event_id, (rn - 1) // 100 AS slab, (rn - 1) % 100 AS at FROM ({_HOSTS})")
+def queue_slabs(spark, d):
+    return event_queue(spark, d).slabs(100)
+
+
+@query("""SELECT host, event_id, (row_number() OVER (PARTITION BY host ORDER BY turn, producer) - 1)::BIGINT AS ticket FROM
+(SELECT user_id % 4 AS host, user_id AS producer, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS turn FROM events)""")
+def queue_producers(spark, d):
+    rows = table(spark, d, "events").select((F.col("user_id") % 4).alias("host"), F.col("user_id").alias("producer"), "event_id")
+    return queues.merge_producers(rows, "host", "producer", "event_id").select("host", "event_id", "ticket")
+
+
+# reductions and atomics
+
+
+@query("SELECT event_id, user_id, coalesce(sum(event_id % 7) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM events")
+def fetch_and_add(spark, d):
+    return reduce.fetch_and_add(table(spark, d, "events").select("event_id", "user_id"), ["user_id"], ["event_id"], F.col("event_id") % 7)
+
+
+@query("SELECT l_orderkey, min_by(l_suppkey, l_linenumber * 1000 + l_suppkey) AS winner FROM lineitem GROUP BY 1")
+def cas_claim(spark, d):
+    return reduce.claim(table(spark, d, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_suppkey"], "l_suppkey")
+
+
+@query("""SELECT CAST(sum(l_partkey) AS BIGINT) AS plus, min(l_partkey) AS min, max(l_partkey) AS max, bit_or(l_partkey) AS "or", bit_and(l_partkey) AS "and", bit_xor(l_partkey) AS "xor" FROM lineitem""")
+def reduce_ops(spark, d):
+    return reduce.reduce_all(table(spark, d, "lineitem"), "l_partkey", ["plus", "min", "max", "or", "and", "xor"])
+
+
+@query("SELECT bool_and(l_quantity > 0) AS land, bool_or(l_quantity > 49) AS lor FROM lineitem")
+def reduce_logical(spark, d):
+    q = table(spark, d, "lineitem").select((F.col("l_quantity") > 0).alias("a"), (F.col("l_quantity") > 49).alias("b"))
+    return q.agg(reduce.OPS["land"]("a").alias("land"), reduce.OPS["lor"]("b").alias("lor"))
+
+
+@query("SELECT s_suppkey, s_acctbal, (SELECT max(s_acctbal) FROM supplier) AS most FROM supplier")
+def allreduce(spark, d):
+    return reduce.allreduce(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), "s_acctbal", "max", "most")
+
+
+@query("SELECT conv_id, string_agg(role, '' ORDER BY turn) AS folded FROM conversations GROUP BY 1")
+def reduce_ordered(spark, d):
+    return reduce.reduce_ordered(table(spark, d, "conversations"), ["conv_id"], "turn", "role", F.lit(""), lambda a, x: F.concat(a, x), "folded")
+
+
+# sparse matrices
+
+
+@query(f"WITH a AS ({A_SQL}) SELECT x.j AS i, y.j AS j, CAST(sum(x.v * y.v) AS BIGINT) AS v FROM a x JOIN a y ON x.i = y.i GROUP BY 1, 2")
+def sp_gemm(spark, d):
+    a = orders_by_suppliers(spark, d)
+    return a.T.dot(a).cells
+
+
+@query(f"WITH a AS ({A_SQL}) SELECT i, j, CAST(sum(v) AS BIGINT) AS v FROM (SELECT x.j AS i, y.j AS j, x.v * y.v AS v FROM a x JOIN a y ON x.i = y.i UNION ALL SELECT s_suppkey, s_suppkey, 5 FROM supplier) GROUP BY 1, 2")
+def sp_gemm_accumulate(spark, d):
+    a = orders_by_suppliers(spark, d)
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("i"), F.col("s_suppkey").alias("j"), F.lit(5).cast("long").alias("v"))
+    return a.T.gemm(a, Matrix(s, (a.shape[1], a.shape[1]))).cells
+
+
+@query(f"WITH a AS ({A_SQL}) SELECT x.j AS i, y.j AS j, min(x.v + y.v) AS v FROM a x JOIN a y ON x.i = y.i GROUP BY 1, 2")
+def sp_gemm_minplus(spark, d):
+    a = orders_by_suppliers(spark, d)
+    return a.T.dot(a, "min", lambda x, y: x + y).cells
+
+
+@query(f"WITH a AS ({A_SQL}) SELECT x.j AS i, y.j AS j, max(least(x.v, y.v)) AS v FROM a x JOIN a y ON x.i = y.i GROUP BY 1, 2")
+def sp_gemm_maxmin(spark, d):
+    a = orders_by_suppliers(spark, d)
+    return a.T.dot(a, "max", F.least, salt=4).cells
+
+
+_B_SQL = "SELECT s_suppkey AS i, c.j AS j, ((s_suppkey * 31 + c.j * 17) % 101)::BIGINT AS v FROM supplier, range(4) c(j)"
+
+
+@query(f"WITH a AS ({A_SQL}), b AS ({_B_SQL}) SELECT a.i, b.j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM a JOIN b ON a.j = b.i GROUP BY 1, 2")
+def sp_mm(spark, d):
+    a = orders_by_suppliers(spark, d)
+    b = table(spark, d, "supplier").select(F.col("s_suppkey").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("j"))
+    dense = Matrix(b.withColumn("v", (F.col("i") * 31 + F.col("j") * 17) % 101), (a.shape[1], 4), True)
+    return a.dot(dense).cells
+
+
+@query(f"WITH a AS ({A_SQL}) SELECT a.i, a.j, (a.v * s.s_nationkey)::BIGINT AS v FROM a JOIN supplier s ON a.j = s.s_suppkey")
+def sp_masked(spark, d):
+    a = orders_by_suppliers(spark, d)
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("bj"), F.col("s_nationkey").cast("long").alias("bv"))
+    full = Matrix(a.cells.join(s, F.col("j") == F.col("bj")).select("i", "j", F.col("bv").alias("v")), a.shape)
+    return a.masked(full, lambda x, y: x * y).cells
+
+
+@query(f"WITH a AS ({A_SQL}) SELECT CAST(i // 3750 AS BIGINT) AS ti, CAST(j // 25 AS BIGINT) AS tj, count(*)::BIGINT AS nnz FROM a GROUP BY 1, 2")
+def sp_tile_nnz(spark, d):
+    return orders_by_suppliers(spark, d).tile_nnz(Blocking((2, 2), (3750, 25)))
+
+
+@query(f"""WITH a AS ({A_SQL}), s AS (SELECT (max(o_orderkey) + 10) // 10 AS tm FROM orders), u AS (SELECT (max(s_suppkey) + 10) // 10 AS tn FROM supplier),
+t AS (SELECT i // tm AS ti, j // tn AS tj, count(*) AS n FROM a, s, u GROUP BY 1, 2)
+SELECT CAST(max(n) AS DOUBLE) AS max_nnz, CAST(sum(n) AS DOUBLE) / CAST(100 AS DOUBLE) AS avg_nnz, CAST(max(n) AS DOUBLE) / (CAST(sum(n) AS DOUBLE) / CAST(100 AS DOUBLE)) AS imbalance FROM t""")
+def sp_imbalance(spark, d):
+    return orders_by_suppliers(spark, d).imbalance()
+
+
+@query(f"WITH a AS ({A_SQL}), n AS (SELECT i, count(*) AS c FROM a GROUP BY 1) SELECT CAST(sum(c * c) AS BIGINT) AS flops FROM n")
+def sp_flops(spark, d):
+    a = orders_by_suppliers(spark, d)
+    return a.T.flops(a)
+
+
+@query(f"""WITH a AS ({A_SQL}), n AS (SELECT i, count(*) AS c FROM a GROUP BY 1), f AS (SELECT CAST(sum(c * c) AS BIGINT) AS flops FROM n),
+p AS (SELECT count(*)::BIGINT AS nnz FROM (SELECT DISTINCT x.j, y.j FROM a x JOIN a y ON x.i = y.i))
+SELECT flops, nnz, CAST(flops AS DOUBLE) / CAST(nnz AS DOUBLE) AS compression FROM f, p""")
+def sp_compression(spark, d):
+    a = orders_by_suppliers(spark, d)
+    return a.T.compression(a)
+
+
+@query(f"WITH a AS ({A_SQL}), n AS (SELECT i, count(*) AS c FROM a GROUP BY 1) SELECT i, coalesce(CAST(sum(c) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS row_ptr FROM n")
+def sp_row_ptr(spark, d):
+    return orders_by_suppliers(spark, d).row_ptr()
+
+
+@query(f"WITH a AS ({A_SQL}) SELECT i - 100 AS i, j - 10 AS j, v FROM a WHERE i >= 100 AND i < 2000 AND j >= 10 AND j < 60")
+def sp_slice(spark, d):
+    return orders_by_suppliers(spark, d).slice((100, 2000), (10, 60)).cells
+
+
+@query(f"WITH a AS ({A_SQL}) SELECT count(*)::BIGINT AS nnz, CAST(sum(v) AS BIGINT) AS sum_v, CAST(sum(j) AS BIGINT) AS sum_j FROM a")
+def sp_checksum(spark, d):
+    return orders_by_suppliers(spark, d).checksum()
+
+
+@query(f"WITH a AS ({A_SQL}) SELECT j AS i, i AS j, v FROM a")
+def sp_transpose(spark, d):
+    return orders_by_suppliers(spark, d).T.cells
+
+
+@query(f"WITH a AS ({A_SQL}) SELECT i, string_agg(j || ':' || v, ' ' ORDER BY j) AS entries FROM a GROUP BY 1")
+def sp_csr(spark, d):
+    csr = orders_by_suppliers(spark, d).to_csr()
+    return csr.select("i", F.array_join(F.zip_with("col_ind", "vals", lambda j, v: F.concat(j.cast("string"), F.lit(":"), v.cast("string"))), " ").alias("entries"))
+
+
+@query(f"WITH a AS ({A_SQL}) SELECT i, j, v // 10 AS v FROM a WHERE v // 10 <> 0")
+def sp_remove_zeros(spark, d):
+    return orders_by_suppliers(spark, d).apply(lambda v: F.floor(v / 10).cast("long")).remove_zeros().cells
+
+
+@query("SELECT 0::BIGINT AS outside, 0::BIGINT AS repeated")
+def sp_verify(spark, d):
+    return orders_by_suppliers(spark, d).verify()
+
+
+@query("SELECT l_orderkey AS i, l_suppkey AS j, max_by(CAST(l_quantity AS BIGINT), (CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey) * 100 + CAST(l_quantity AS BIGINT)) AS v FROM lineitem GROUP BY 1, 2")
+def sp_last_wins(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_suppkey").alias("j"), F.col("l_quantity").cast("long").alias("v"), ((F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey")) * 100 + F.col("l_quantity").cast("long")).alias("at"))
+    return Matrix.from_coo(rows, (1, 1), "last", "at").cells
+
+
+# dense matrices
+
+
+@query(f"WITH e AS ({E_SQL}) SELECT x.i, y.i AS j, CAST(sum(x.v * y.v) AS BIGINT) AS v FROM e x JOIN e y ON x.j = y.j WHERE x.i < 50 AND y.i < 50 GROUP BY 1, 2")
+def dm_gemm(spark, d):
+    e = quantised(spark, d).slice((0, 50), (0, 64))
+    return e.dot(e.T).cells
+
+
+@query(f"WITH e AS ({E_SQL}) SELECT x.j AS i, y.j AS j, CAST(sum(x.v * y.v) AS DOUBLE) AS v FROM e x JOIN e y ON x.i = y.i GROUP BY 1, 2")
+def dm_gemm_tiled(spark, d):
+    e = quantised(spark, d)
+    return e.T.dot_tiled(e, 64).cells
+
+
+@query(f"WITH e AS (SELECT * FROM ({E_SQL}) WHERE i < 64) SELECT x.i, x.j, x.v + y.v AS added, x.v - y.v AS subtracted, x.v * y.v AS multiplied FROM e x JOIN e y ON x.i = y.j AND x.j = y.i")
+def dm_binary(spark, d):
+    e = quantised(spark, d).slice((0, 64), (0, 64))
+    both = e.zip(e.T, lambda a, b: F.struct((a + b).alias("added"), (a - b).alias("subtracted"), (a * b).alias("multiplied")))
+    return both.cells.select("i", "j", "v.*")
+
+
+@query(f"SELECT CAST(sum(v) AS BIGINT) AS total FROM ({E_SQL})")
+def dm_sum(spark, d):
+    return quantised(spark, d).sum()
+
+
+@query(f"SELECT i - 10 AS i, j - 5 AS j, v FROM ({E_SQL}) WHERE i >= 10 AND i < 30 AND j >= 5 AND j < 22")
+def dm_slice(spark, d):
+    return quantised(spark, d).slice((10, 30), (5, 22)).cells
+
+
+@query(f"SELECT i, j, v * 2 + i - j AS v FROM ({E_SQL})")
+def dm_apply(spark, d):
+    return quantised(spark, d).apply(lambda v: v * 2).apply_by_index(lambda i, j, v: v + i - j).cells
+
+
+@query(f"SELECT j, v FROM ({E_SQL}) WHERE i = 7")
+def dm_row(spark, d):
+    return quantised(spark, d).row(7)
+
+
+@query(f"SELECT i % 32 AS i, j % 16 AS j, v FROM ({E_SQL}) WHERE i // 32 = 2 AND j // 16 = 1")
+def dm_tile(spark, d):
+    return quantised(spark, d).tile(Blocking((4, 4), (32, 16)), 2, 1).cells
+
+
+@query(f"SELECT ((i // 32) % 2) * 3 + (j // 16) % 3 AS rank, count(*)::BIGINT AS n, CAST(sum(v) AS BIGINT) AS total FROM ({E_SQL}) GROUP BY 1")
+def dm_owners(spark, d):
+    return quantised(spark, d).tiled(Blocking((2, 3), (32, 16))).groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
+
+
+@query(f"WITH e AS ({E_SQL}) SELECT x.i, CAST(sum(x.v * y.v) AS BIGINT) AS dot FROM e x JOIN e y ON y.i = x.i + 1 AND x.j = y.j GROUP BY 1")
+def row_dot(spark, d):
+    return quantised(spark, d).row_dots()
+
+
+@query(f"WITH e AS ({E_SQL}) SELECT x.i, x.j, CASE WHEN p.i IS NULL THEN x.v ELSE 0 END AS v FROM e x LEFT JOIN (SELECT DISTINCT vec_id AS i FROM embeddings WHERE vec_id % 3 = 0) p ON x.i = p.i")
+def dm_put(spark, d):
+    e = quantised(spark, d)
+    return e.put(e.cells.where("i % 3 = 0").select("i", "j", F.lit(0).cast("long").alias("v"))).cells
+
+
+@query("SELECT (id // 50)::BIGINT AS i, (id % 50)::BIGINT AS j, (id % 71)::DOUBLE AS v FROM range(2000) r(id)")
+def dm_fill_range(spark, d):
+    return Matrix.fill_range(spark, (40, 50), 71).cells
+
+
+@query("SELECT 0::BIGINT AS differing")
+def dm_allclose(spark, d):
+    e = quantised(spark, d).apply(lambda v: v.cast("double"))
+    return e.allclose(e.apply(lambda v: v * (1 + 1e-9)))
+
+
+# arrays
+
+
+@query("SELECT o_orderkey AS idx, o_custkey AS value, CAST(o_orderkey // ceil_n AS BIGINT) AS node, CAST(o_orderkey % ceil_n AS BIGINT) AS slot FROM orders, (SELECT (max(o_orderkey) + 8) // 8 AS ceil_n FROM orders)")
+def array_blocks(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_custkey").alias("value"))
+    n = o.agg(F.max("idx")).first()[0] + 1
+    return arrays.BlockedArray(o, n, 8).placed()
+
+
+@query("SELECT o_orderkey AS idx, CASE WHEN o_orderkey BETWEEN 10 AND 19 THEN -1 ELSE o_custkey END AS value FROM orders")
+def array_put(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_custkey").alias("value"))
+    n = o.agg(F.max("idx")).first()[0] + 1
+    new = o.where("idx between 10 and 19").select("idx", F.lit(-1).cast("long").alias("value"))
+    return arrays.BlockedArray(o, n).put(new).rows
+
+
+@query("SELECT o_orderkey - 100 AS idx, o_custkey AS value FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 150")
+def array_subspan(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_custkey").alias("value"))
+    n = o.agg(F.max("idx")).first()[0] + 1
+    return arrays.BlockedArray(o, n).subspan(100, 50).rows
+
+
+# strings, chains, calls
+
+_BASES = "translate(upper(p_name), 'BDEFHIJKLMNOPQRSUVWXYZ ', 'ACGTACGTACGTACGTACGTACG')"
+
+
+@query(f"SELECT p_partkey, reverse(translate(s, 'ACGT', 'TGCA')) AS complement, least(s, reverse(translate(s, 'ACGT', 'TGCA'))) AS canon FROM (SELECT p_partkey, {_BASES} AS s FROM part)")
+def canonical(spark, d):
+    s = table(spark, d, "part").select("p_partkey", F.expr(_BASES).alias("s"))
+    return s.select("p_partkey", strings.rcomplement(F.col("s")).alias("complement"), strings.canonical(F.col("s")).alias("canon"))
+
+
+@query(f"SELECT p_partkey, substr(s, 2) || 'A' AS following, 'C' || substr(s, 1, length(s) - 1) AS preceding FROM (SELECT p_partkey, {_BASES} AS s FROM part)")
+def kmer_steps(spark, d):
+    s = table(spark, d, "part").select("p_partkey", F.expr(_BASES).alias("s"))
+    return s.select("p_partkey", strings.next_kmer(F.col("s"), F.lit("A")).alias("following"), strings.last_kmer(F.col("s"), F.lit("C")).alias("preceding"))
+
+
+@query("SELECT conv_id, count(*)::BIGINT AS turns, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations GROUP BY 1")
+def contig_walk(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    name = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
+    nodes = c.select("conv_id", name(F.col("turn")).alias("node"), name(F.col("turn") + 1).alias("next"), "role")
+    real = nodes.select(F.col("node").alias("next"), F.lit(True).alias("there"))
+    linked = nodes.join(real, "next", "left").select("node", F.when(F.col("there"), F.col("next")).alias("following"))
+    placed = graph.walk(linked, "node", "following").join(nodes, "node")
+    return placed.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "role"))), lambda x: x["role"]), ">").alias("roles"))
+
+
+@query("SELECT event_id, user_id % 8 AS dest, CASE WHEN event_id % 2 = 0 THEN event_id * user_id ELSE event_id + user_id END AS result FROM events")
+def rpc_calls(spark, d):
+    c = table(spark, d, "events").select("event_id", (F.col("user_id") % 8).alias("dest"), F.col("event_id").alias("a"), F.col("user_id").alias("b"), F.when(F.col("event_id") % 2 == 0, "mul").otherwise("add").alias("fn"))
+    return calls.call(c, {"mul": lambda a, b: a * b, "add": lambda a, b: a + b}, ["a", "b"]).select("event_id", "dest", "result")
+
+
+@query("SELECT (event_id % 13)::BIGINT AS lane, event_id, (row_number() OVER (PARTITION BY event_id % 13 ORDER BY event_id) - 1)::BIGINT AS ticket FROM events")
+def tickets(spark, d):
+    return scan.ticket(table(spark, d, "events").select((F.col("event_id") % 13).alias("lane"), "event_id"), ["event_id"], ["lane"])
