@@ -20,7 +20,8 @@ def exclusive_scan(df: DataFrame, value: Column, order: list[str], partition: li
     partition = partition or []
     low, high = df.agg(F.min(order[0]).cast("double"), F.max(order[0]).cast("double")).first()
     width = max(((high or 0.0) - (low or 0.0)) / cells, 1e-9)
-    cell = F.coalesce(F.least(F.floor((F.col(order[0]).cast("double") - F.lit(low or 0.0)) / width), F.lit(cells - 1)), F.lit(-1)).cast("int")
+    at = F.floor((F.col(order[0]).cast("double") - F.lit(low or 0.0)) / width)
+    cell = F.when(at.isNull(), F.lit(-1)).otherwise(F.least(at, F.lit(cells - 1))).cast("int")
     marked = df.withColumns({"scan__cell": cell, "scan__value": value.cast("long")})
     keys = [*partition, "scan__cell"]
     sums = marked.groupBy(*keys).agg(F.coalesce(F.sum("scan__value"), F.lit(0)).alias("scan__sum"))
