@@ -314,7 +314,8 @@ def link_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pairs = F.transform(F.sequence(F.lit(0), tiles - 1), lambda j: F.struct(F.least(at, j).alias("left"), F.greatest(at, j).alias("right")))
     tasks = settle(members.join(sizes, "center").select("doc", "center", F.explode(pairs).alias("t")).select("doc", "center", "t.left", "t.right"))
     groups = max(12, -(-tasks.count() // PER_GROUP))
-    texts = tasks.join(base, "doc").withColumn("group", F.pmod(F.xxhash64("center", "left", "right"), F.lit(groups)))
+    # tasks grow with the corpus: their join is never a broadcast, at no size
+    texts = tasks.hint("merge").join(base, "doc").withColumn("group", F.pmod(F.xxhash64("center", "left", "right"), F.lit(groups)))
     links = settle(texts.groupBy("group").applyInPandas(_blocks, "u long, v long"))
 
     # an id with several texts joins their classes; a class needs no links inside
