@@ -57,6 +57,13 @@ def settle(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def sliced(batches, rows: int = 512):
+    """Arrow batches cut to a few rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, mod ``modulus``; a null id counts as the empty string."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus)).cast("int")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import components, settle, words
+from .common import components, settle, sliced, words
 
 WORDS, PERCENT = 5, 75
 #: Part of a set by which linked documents must share more than one shingle.
@@ -52,7 +52,7 @@ _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x9
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 1 << 16:
             self.clear()
         found = self[word] = xxh3_64_intdigest(word)
         return found
@@ -80,15 +80,17 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mixed(s))
 
 
-def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Ids and sets of stretches of documents of about STRETCH characters."""
     ids, sets, held = [], [], 0
-    for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        ids.append(i)
-        sets.append(shingles(t))
-        held += len(t or "")
-        if held >= STRETCH:
-            yield ids, sets
-            ids, sets, held = [], [], 0
+    for batch in sliced(batches):
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids.append(i)
+            sets.append(shingles(t))
+            held += len(t or "")
+            if held >= STRETCH:
+                yield ids, sets
+                ids, sets, held = [], [], 0
     if ids:
         yield ids, sets
 
@@ -96,17 +98,16 @@ def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[list, list[np.ndarray]]]
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc, n, two sums that stand for the set), and (hash, n) of shingles that are common
     in a stretch."""
-    for batch in batches:
-        for ids, sets in _stretches(batch):
-            n = [len(s) for s in sets]
-            one = [int(s.sum().astype(np.int64)) for s in sets]
-            two = [int(_mixed(s ^ _A).sum().astype(np.int64)) for s in sets]
-            hashes, counts = np.unique(np.concatenate(sets), return_counts=True)
-            often = counts >= max(2, len(sets) / COMMON_SHARE)
-            hashes, counts = hashes[often].astype(np.int64), counts[often].astype(np.int64)
-            none, blank = pa.nulls(len(hashes), pa.int64()), pa.nulls(len(ids), pa.int64())
-            columns = [pa.concat_arrays([pa.array(a, pa.int64()), b]) for a, b in ((ids, none), (n, none), (one, none), (two, none))]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.concat_arrays([blank, pa.array(x)]) for x in (hashes, counts))], names=["doc", "n", "one", "two", "hash", "seen"])
+    for ids, sets in _stretches(batches):
+        n = [len(s) for s in sets]
+        one = [int(s.sum().astype(np.int64)) for s in sets]
+        two = [int(_mixed(s ^ _A).sum().astype(np.int64)) for s in sets]
+        hashes, counts = np.unique(np.concatenate(sets), return_counts=True)
+        often = counts >= max(2, len(sets) / COMMON_SHARE)
+        hashes, counts = hashes[often].astype(np.int64), counts[often].astype(np.int64)
+        none, blank = pa.nulls(len(hashes), pa.int64()), pa.nulls(len(ids), pa.int64())
+        columns = [pa.concat_arrays([pa.array(a, pa.int64()), b]) for a, b in ((ids, none), (n, none), (one, none), (two, none))]
+        yield pa.RecordBatch.from_arrays([*columns, *(pa.concat_arrays([blank, pa.array(x)]) for x in (hashes, counts))], names=["doc", "n", "one", "two", "hash", "seen"])
 
 
 def _lengths(n: int) -> tuple[int, int]:
@@ -125,26 +126,25 @@ def _posted(shipped, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shipped.value
-        for batch in batches:
-            for ids, sets in _stretches(batch):
-                posts, docs, rest, met = [], [], [], set()
-                for i, s in sorted(zip(ids, sets, strict=True), key=lambda x: x[0]):
-                    same = s.tobytes() if len(s) < 64 else (len(s), int(s.sum()), int(_mixed(s).sum()))
-                    if not len(s) or same in met:
-                        continue
-                    met.add(same)
-                    often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
-                    take, share = _lengths(len(s))
-                    plain, hot = s[~often][:take], s[often]
-                    hot = hot[: take - len(plain)]
-                    docs.append((i, len(plain), take - share + 1))
-                    posts.append(_rows(plain, i))
-                    rest.append(_rows(hot, i))
-                if not docs:
+        for ids, sets in _stretches(batches):
+            posts, docs, rest, met = [], [], [], set()
+            for i, s in sorted(zip(ids, sets, strict=True), key=lambda x: x[0]):
+                same = s.tobytes() if len(s) < 64 else (len(s), int(s.sum()), int(_mixed(s).sum()))
+                if not len(s) or same in met:
                     continue
-                docs = np.array(docs, _DOC)
-                out = [(b, 0, p) for b, p in _dealt(posts, "hash", buckets)] + [(b, 2, p) for b, p in _dealt(rest, "doc", buckets)] + [(b, 1, p) for b, p in _dealt([docs], "doc", buckets)]
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "rows"])
+                met.add(same)
+                often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
+                take, share = _lengths(len(s))
+                plain, hot = s[~often][:take], s[often]
+                hot = hot[: take - len(plain)]
+                docs.append((i, len(plain), take - share + 1))
+                posts.append(_rows(plain, i))
+                rest.append(_rows(hot, i))
+            if not docs:
+                continue
+            docs = np.array(docs, _DOC)
+            out = [(b, 0, p) for b, p in _dealt(posts, "hash", buckets)] + [(b, 2, p) for b, p in _dealt(rest, "doc", buckets)] + [(b, 1, p) for b, p in _dealt([docs], "doc", buckets)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "rows"])
 
     return run
 
