@@ -14,7 +14,8 @@ is bounded by two tiles. Leading bits grow with the log of the number of classes
 
 Results in odd cases: a vector that is null, zero or holds null or non-finite components, or
 has no label or id, links with nothing and is its own component; vectors of different lengths
-never link; rows equal in id, label and vector count as one vector; equal vectors all link; an
+never link; rows equal in id, label and vector count as one vector; an id with several vectors
+is one node of the graph, with the links of all; equal vectors all link; an
 empty table gives an empty table; extra columns pass through.
 """
 
@@ -59,7 +60,7 @@ def _keys(passes: int, bits: int):
                 side = np.stack(pdf["near__vector"].iloc[at].to_list()).astype(np.float64) @ planes[dim] > 0
                 weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
                 keys[at] = side.reshape(len(at), passes, bits) @ weights
-            yield pd.DataFrame({"near__rep": pdf["near__rep"], "near__label": pdf["near__label"], "near__dim": sizes, "near__keys": list(keys)})
+            yield pd.DataFrame({"near__rep": pdf["near__rep"], "near__h": pdf["near__h"], "near__label": pdf["near__label"], "near__dim": sizes, "near__keys": list(keys)})
 
     return run
 
@@ -135,9 +136,9 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int =
 
     # one order over all passes: rank = place in (pass, label, length, key, id)
     kinds = dict(classes.dtypes)
-    keyed = classes.select("near__rep", *_GROUP, "near__vector").mapInPandas(_keys(passes, BITS), f"near__rep {kinds['near__rep']}, near__label long, near__dim int, near__keys array<bigint>")
-    long = keyed.select("near__rep", *_GROUP, F.posexplode("near__keys").alias("near__pass", "near__key"))
-    order = ["near__pass", *_GROUP, "near__key", "near__rep"]
+    keyed = classes.select("near__rep", "near__h", *_GROUP, "near__vector").mapInPandas(_keys(passes, BITS), f"near__rep {kinds['near__rep']}, near__h long, near__label long, near__dim int, near__keys array<bigint>")
+    long = keyed.select("near__rep", "near__h", *_GROUP, F.posexplode("near__keys").alias("near__pass", "near__key"))
+    order = ["near__pass", *_GROUP, "near__key", "near__rep", "near__h"]
     placed = settle(long.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.monotonically_increasing_id().alias("near__at")))
     sizes = {r["part"]: r["n"] for r in placed.groupBy(F.expr("near__at div 8589934592").alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each partition
     before, offsets = 0, []
@@ -145,11 +146,11 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int =
         offsets.append((part, before))
         before += sizes[part]
     starts = vectors.sparkSession.createDataFrame(offsets, "near__part long, near__start long")
-    ranked = placed.withColumn("near__part", F.expr("near__at div 8589934592")).join(F.broadcast(starts), "near__part").select("near__rep", *_GROUP, "near__pass", (F.col("near__start") + F.expr("near__at % 8589934592")).alias("near__rank"), F.shiftright("near__key", BITS - lead).alias("near__head"))
+    ranked = placed.withColumn("near__part", F.expr("near__at div 8589934592")).join(F.broadcast(starts), "near__part").select("near__rep", "near__h", *_GROUP, "near__pass", (F.col("near__start") + F.expr("near__at % 8589934592")).alias("near__rank"), F.shiftright("near__key", BITS - lead).alias("near__head"))
     run = ["near__pass", *_GROUP, "near__head"]
     runs = ranked.groupBy(*run).agg(F.min("near__rank").alias("near__first"), F.count(F.lit(1)).alias("near__size"))
-    seen = ranked.join(runs, run).groupBy("near__rep").agg(F.sort_array(F.collect_list(F.struct("near__pass", "near__rank", "near__head", "near__first", "near__size"))).alias("near__seen"))
-    rows = settle(classes.join(seen, "near__rep").select("near__rep", *_GROUP, "near__copies", "near__vector", "near__seen"))
+    seen = ranked.join(runs, run).groupBy("near__rep", "near__h", *_GROUP).agg(F.sort_array(F.collect_list(F.struct("near__pass", "near__rank", "near__head", "near__first", "near__size"))).alias("near__seen"))
+    rows = settle(classes.join(seen, ["near__rep", "near__h", *_GROUP]).select("near__rep", *_GROUP, "near__copies", "near__vector", "near__seen"))
 
     found = []
     for start in range(0, passes, AT_ONCE):
