@@ -12,7 +12,8 @@ from ..functions.strings import next_kmer
 
 
 def _written(df: DataFrame) -> DataFrame:
-    """A round's rows in the folder of spark.checkpoint.dir (a local session may go without)."""
+    """A round's rows in the folder of spark.checkpoint.dir (a local session may go without);
+    the files go when the session ends."""
     spark = df.sparkSession
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or getattr(context, "_tessella_chains", None)
@@ -22,6 +23,8 @@ def _written(df: DataFrame) -> DataFrame:
         folder = context._tessella_chains = tempfile.mkdtemp(prefix="tessella-chains-")
     path = f"{folder}/chain-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -163,6 +163,17 @@ class Matrix:
         bad = F.col("v").isNull() | F.col("bv").isNull() | (F.abs(F.col("v") - F.col("bv")) > atol + rtol * F.abs("bv"))
         return both.agg(F.coalesce(F.sum(bad.cast("long")), F.lit(0)).alias("differing"))
 
+    def to_numpy(self) -> np.ndarray:
+        """The whole matrix on the driver, cells without an entry as 0: for small shapes."""
+        out = np.zeros(self.shape)
+        rows = self.cells.toPandas()
+        out[rows["i"], rows["j"]] = rows["v"]
+        return out
+
+    def info(self) -> dict:
+        """Shape, kind and the types of the cells."""
+        return {"shape": self.shape, "dense": self.dense, "types": dict(self.cells.dtypes)}
+
     # products
     def dot(self, other: Matrix, reduce: str = "plus", map: Callable[[Column, Column], Column] = times, salt: int = 1) -> Matrix:
         """A B over a semiring: c_ij = reduce over k of map(a_ik, b_kj). An equi-join on k, then

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,6 +21,15 @@ def local_session(cores: str | int = "*", name: str = "tessella") -> SparkSessio
     )
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, whatever folder the
+    session was started in. Where executors have it installed this changes nothing."""
+    root = str(Path(__file__).resolve().parents[1])
+    environment = spark.sparkContext.environment
+    if root not in environment.get("PYTHONPATH", "").split(":"):
+        environment["PYTHONPATH"] = ":".join(filter(None, [root, environment.get("PYTHONPATH")]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables below ``sf_dir``; projections and filters reach the scan."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
