@@ -20,9 +20,11 @@ from tessella.llm.decontaminate import find_items
 from tessella.llm.language import UNDECIDED, fit, identify
 from tessella.llm.line_dedup import dedup_lines
 from tessella.llm.pieces import encode_documents, model_bytes
+from tessella.llm.registry import found_by_workers
 from tessella.llm.shingle_join import keep_one
 
 
+@found_by_workers
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are ``und`` (null, or without a letter) go. The network learns from the
     labelled documents. A low score alone rejects nothing: short clean texts have one too."""
@@ -30,6 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.col("language__pred") != UNDECIDED).select(docs.columns)
 
 
+@found_by_workers
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; ``n_chars`` is the length of what is left."""
     found = dedup_lines(docs)
@@ -38,17 +41,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select(docs.columns)
 
 
+@found_by_workers
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least id stays."""
     return keep_one(docs)
 
 
+@found_by_workers
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of ``benchmark`` go."""
     found = find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where(F.size("decontaminate__items") == 0).select(docs.columns)
 
 
+@found_by_workers
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and span ends of the pieces, and their number."""
     found = encode_documents(docs.select("doc_id", "text"), model_bytes())

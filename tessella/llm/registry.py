@@ -3,14 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import reachable
 from . import context_tree, decontaminate, language, line_dedup, near_vectors, pieces, sharding, shingle_join, suffix_dedup, surrogates
 
 
+def found_by_workers(fn):
+    """``fn``, whose session's Python workers can import this package."""
+
+    @wraps(fn)
+    def run(spark: SparkSession, *args):
+        reachable(spark)
+        return fn(spark, *args)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    every = {
         "op1_decontamination": decontaminate.op1_decontamination,
         "op2_shingle_join": shingle_join.op2_shingle_join,
         "op3_language": language.op3_language,
@@ -22,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_context_tree": context_tree.op9_context_tree,
         "op10_sharding": sharding.op10_sharding,
     }
+    return {name: found_by_workers(fn) for name, fn in every.items()}
 
 
 def oracle_sql() -> dict[str, str]:
