@@ -310,7 +310,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = settle(posted.groupBy("bucket").applyInPandas(_shared, "doc long, nths binary"))
     places = shared.groupBy("doc").agg(F.collect_list("nths").alias("nths"))
     firsts = copies.select(F.col("least").alias("doc"), *[F.col(h).alias(f"{h}_") for h in hashes])
-    chosen = marked.join(places, "doc").join(firsts, "doc").where("suffix__h = suffix__h_ and suffix__g = suffix__g_").select("doc", "text", "nths")
+    # one small table decides which texts take part, so the texts move once
+    chosen = marked.join(places.join(firsts, "doc"), "doc").where("suffix__h = suffix__h_ and suffix__g = suffix__g_").select("doc", "text", "nths")
     sent = chosen.mapInArrow(_sent(shards), "shard int, segments binary, bytes binary, doc long")
     found = settle(sent.groupBy("shard").applyInPandas(_found, "doc long, runs binary"))
     runs = found.groupBy(F.col("doc").alias("suffix__doc")).agg(F.collect_list("runs").alias("suffix__runs"))
