@@ -42,9 +42,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def settle(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Write a step to the shared folder and read it back: later steps survive lost executors
-    and nothing before it runs twice. Its shuffle files may go then, so the JVM is asked to
-    collect what is unreachable; the written files go when the session ends."""
+    and nothing before it runs twice. The written files go when the session ends; shuffle files
+    of the steps before go first, as the JVM is asked to collect what is unreachable."""
     spark = df.sparkSession
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
     jvm = spark.sparkContext._jvm
