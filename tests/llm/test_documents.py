@@ -71,6 +71,9 @@ def test_shingle_join_equals_brute_force(spark, tmp_path):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in registry.queries()["op2_shingle_join"](spark, d).collect()}
     assert got == {r[0]: (len(s), rows[of[k]][0]) for k, (r, s) in enumerate(zip(rows, sets, strict=True))}
     assert len(links) > 30
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet/*.parquet'")
+    assert {r[0]: r[1:] for r in con.sql(registry.oracle_sql()["op2_shingle_join"]).fetchall()} == got
 
 
 def test_shingle_join_tiles_and_tree(spark, monkeypatch):
