@@ -33,12 +33,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, settle, words
+from .common import fold, settle, sliced, words
 
 DEPTH, TABLE_BITS = 5, 22
-#: Parts in which the table is gathered; bytes of text that are looked at together; places of a
-#: worker's memory of grams already scored.
-PARTS, STRETCH, MEMORY_BITS = 32, 2_000_000, 21
+#: Parts in which the table is gathered; characters that are looked at together; places of a
+#: worker's memory of grams already scored; rows of an output batch; grams summed before they leave.
+PARTS, STRETCH, MEMORY_BITS, ROWS, COUNTED = 32, 400_000, 20, 1000, 1_500_000
 #: A word is broadcast if it makes up at least one 2^-16 part of all tokens.
 COMMON = 1 << 16
 END = b"\n"
@@ -90,18 +90,28 @@ def _stretches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, found = batch.column(0).to_pylist(), []
+    """Grams and their numbers, summed over some stretches at a time."""
+    found, held = [], 0
+
+    def summed() -> pa.RecordBatch:
+        code, (n,) = _sum_by(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+        return pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+
+    for batch in sliced(batches):
+        texts = batch.column(0).to_pylist()
         for a, b in _stretches(texts):
             found.append(np.unique(grams(texts[a:b])[0], return_counts=True))
-        if found:
-            code, n = _sum_by(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
-            yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n[0].astype(np.int64))], names=["gram", "n"])
+            held += len(found[-1][0])
+            if held >= COUNTED:
+                yield summed()
+                found, held = [], 0
+    if found:
+        yield summed()
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
-    for batch in batches:
+    for batch in sliced(batches):
         for t in batch.column(0).to_pylist():
             counts.update(words(t))
             counts[END] += 1
@@ -203,18 +213,15 @@ def _merge_part(pdf: pd.DataFrame) -> pd.DataFrame:
 class Model:
     """The node table, and log10 probabilities of grams."""
 
-    def __init__(self, parts: list[bytes]):
-        size = 1 << TABLE_BITS
-        self.tag, self.one, self.own = np.zeros(size, np.uint16), np.zeros(size, np.float32), np.zeros(size, np.float32)
-        for raw in parts:
-            rows = np.frombuffer(raw, _NODE)
-            for name in ("tag", "one", "own"):
-                getattr(self, name)[rows["place"]] = rows[name]
+    def __init__(self, tables: dict[str, np.ndarray]):
+        self.tag, self.one, self.own = (tables[name] for name in ("tag", "one", "own"))
         self.grams = np.zeros(1 << MEMORY_BITS, np.uint64)
         self.logs = np.zeros(1 << MEMORY_BITS, np.float32)
         self.grams[0] = 1  # place 0 must not seem to hold gram 0
 
     def gram_log10(self, gram: np.ndarray) -> np.ndarray:
+        if len(gram) > 1 << 16:
+            return np.concatenate([self.gram_log10(gram[k : k + (1 << 16)]) for k in range(0, len(gram), 1 << 16)])
         byte, context = gram & np.uint64(255), gram >> np.uint64(8) << np.uint64(8)
         total = np.zeros(len(gram))
         for k in range(8):
@@ -253,8 +260,9 @@ class Model:
         return np.concatenate(out) if out else np.empty(0)
 
 
-def fit(docs: DataFrame, learn: Column, text_col: str = "text") -> list[bytes]:
-    """Parts of the node table, from all texts where ``learn`` holds."""
+def fit(docs: DataFrame, learn: Column, text_col: str = "text") -> dict[str, np.ndarray]:
+    """The node table, from all texts where ``learn`` holds: tag (0: no node), estimate of a
+    one, and weight of the node's own estimate, for each place."""
     texts = docs.where(learn).select(F.col(f"`{text_col}`").cast("string").alias("text"))
     counted = texts.mapInArrow(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     two = settle(counted.groupBy(F.expr("(gram div 256) % 65536").alias("near")).applyInPandas(_below_two, _STEP))
@@ -262,16 +270,21 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text") -> list[bytes]:
     # 255 nodes for each byte at most
     none = settle(one.where("part is null").groupBy(F.expr("key div 65536").alias("near")).applyInPandas(_one_up(0), _STEP))
     parts = two.union(one).union(none).where("part is not null").select("part", "rows")
-    return [bytes(r["rows"]) for r in parts.groupBy("part").applyInPandas(_merge_part, "rows binary").collect()]  # at most 2^TABLE_BITS nodes
+    tables = {"tag": np.zeros(1 << TABLE_BITS, np.uint16), "one": np.zeros(1 << TABLE_BITS, np.float32), "own": np.zeros(1 << TABLE_BITS, np.float32)}
+    for r in parts.groupBy("part").applyInPandas(_merge_part, "rows binary").toLocalIterator():  # 2^TABLE_BITS nodes at most
+        rows = np.frombuffer(bytes(r["rows"]), _NODE)
+        for name, table in tables.items():
+            table[rows["place"]] = rows[name]
+    return tables
 
 
 _models: dict = {}
 
 
-def _model(key: int, parts: list[bytes]) -> Model:
+def _model(key: int, tables: dict[str, np.ndarray]) -> Model:
     if key not in _models:
         _models.clear()
-        _models[key] = Model(parts)
+        _models[key] = Model(tables)
     return _models[key]
 
 
@@ -284,8 +297,7 @@ def score(docs: DataFrame, learn: Column, text_col: str = "text") -> DataFrame:
     vocabulary = settle(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     common = {bytes(r["word"]): r["n"] for r in vocabulary.where(F.col("n") * COMMON >= total).collect()}
-    parts = fit(docs, learn, text_col)
-    shipped = spark.sparkContext.broadcast((parts, common))
+    shipped = spark.sparkContext.broadcast((fit(docs, learn, text_col), common))
     key = hash((spark.sparkContext.applicationId, shipped._jbroadcast.id() if shipped._jbroadcast else 0))
     floor = float(total + distinct + 1)
     own = [F.col(f"`{c}`") for c in docs.columns]
@@ -298,7 +310,7 @@ def score(docs: DataFrame, learn: Column, text_col: str = "text") -> DataFrame:
         model = _model(key, tables)
         logs = {w: np.log10((n + 1) / floor) for w, n in frequent.items()}
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in sliced(batches, ROWS):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             tokens, near, part, rare = [], [], [], []
             for t in texts:
