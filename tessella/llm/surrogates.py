@@ -161,7 +161,8 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     whole = said.groupBy(*row, "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "said"))), lambda x: x["said"]), " ").alias("said"), F.max(F.when(F.col("kind") != "title", F.split("kind", "_")[0])).alias("kind"))
     by_row = settle(whole.groupBy(*row).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "said"))), lambda x: x["said"]).alias("pii__said"), F.array_sort(F.collect_set("kind")).alias("pii__kinds")))
     renamed = by_row.select(F.col(row[0]).alias("pii__id"), F.col(row[1]).alias("pii__hash"), "pii__said", "pii__kinds")
-    joined = docs.withColumn(row[1], F.xxhash64(text)).join(renamed, F.col(f"`{id_col}`").eqNullSafe(F.col("pii__id")) & (F.col(row[1]) == F.col("pii__hash")), "left")
+    # what is said grows with the corpus: its join is never a broadcast, at no size
+    joined = docs.withColumn(row[1], F.xxhash64(text)).join(renamed.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("pii__id")) & (F.col(row[1]) == F.col("pii__hash")), "left")
     said_at = F.col("pii__said")
     rebuilt = F.array_join(F.transform(F.split(text, _ANY, -1), lambda gap, i: F.concat(gap, F.coalesce(F.get(said_at, i), F.lit("")))), "")
     new = F.when(said_at.isNull(), text).otherwise(rebuilt)
