@@ -131,15 +131,14 @@ def _dealt(rows: np.ndarray, to: np.ndarray) -> list[tuple[int, np.ndarray]]:
 
 
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(doc, places in its list of minimizers) for all minimizers met in several documents."""
+    """(doc, place in its list of minimizers) for all minimizers met in several documents."""
     told = [np.frombuffer(r, _POST) for r, known in zip(pdf["rows"], pdf["known"], strict=True) if known]
     rows = np.concatenate([np.frombuffer(r, _POST) for r, known in zip(pdf["rows"], pdf["known"], strict=True) if not known] or [np.empty(0, _POST)])
     rows = rows[np.lexsort((rows["doc"], rows["hash"]))]
     first, several = _groups(rows)
     found = np.concatenate([rows[several[np.cumsum(first) - 1]] if len(rows) else rows, *told])
     found = found[np.argsort(found["doc"], kind="stable")]
-    docs, at = np.unique(found["doc"], return_index=True)
-    return pd.DataFrame({"doc": docs, "nths": [x["nth"].tobytes() for x in np.split(found, at[1:])] if len(docs) else []})
+    return pd.DataFrame({"doc": found["doc"], "nth": found["nth"].astype(np.int32)})
 
 
 def _keys(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -223,13 +222,14 @@ def _sent(shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nths = batch.column(2).to_pylist()
+            lists = batch.column(2)
+            offsets, places = lists.offsets.to_numpy(), lists.values.to_numpy()
             for ids, texts, at in _stretches(batch):
                 order = np.argsort(np.array(ids), kind="stable")
                 segments, hashes, pieces = [], [], []
                 for k in order:
                     h, first, last = minimizers(texts[k])
-                    nth = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in nths[at + k]]))
+                    nth = np.unique(places[offsets[at + k] : offsets[at + k + 1]])
                     nth = nth[nth < len(h)]
                     own = np.empty(len(nth), _SEGMENT)
                     own["doc"], own["start"], own["windows"] = ids[k], first[nth], last[nth] - first[nth] + 1
@@ -307,8 +307,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = copies.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
     buckets, shards = max(12, -(-total // PER_BUCKET)), max(12, -(-total // PER_SHARD))
     posted = base.where(F.octet_length("text") >= LENGTH).mapInArrow(_posted(buckets), "bucket int, rows binary, known boolean")
-    shared = settle(posted.groupBy("bucket").applyInPandas(_shared, "doc long, nths binary"))
-    places = shared.groupBy("doc").agg(F.collect_list("nths").alias("nths"))
+    shared = settle(posted.groupBy("bucket").applyInPandas(_shared, "doc long, nth int"))
+    places = shared.groupBy("doc").agg(F.collect_list("nth").alias("nths"))
     firsts = copies.select(F.col("least").alias("doc"), *[F.col(h).alias(f"{h}_") for h in hashes])
     # one small table decides which texts take part, so the texts move once
     chosen = marked.join(places.join(firsts, "doc"), "doc").where("suffix__h = suffix__h_ and suffix__g = suffix__g_").select("doc", "text", "nths")
