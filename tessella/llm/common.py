@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def settle(df: DataFrame, partitions: int | None = None) -> DataFrame:
+def settle(df: DataFrame) -> DataFrame:
     """Write a step to the shared folder and read it back: later steps survive lost executors
     and nothing before it runs twice. The written files go when the session ends; shuffle files
     of the steps before go first, as the JVM is asked to collect what is unreachable."""
@@ -48,7 +48,7 @@ def settle(df: DataFrame, partitions: int | None = None) -> DataFrame:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

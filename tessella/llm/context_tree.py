@@ -157,7 +157,7 @@ def _up(depth: int, key: np.ndarray) -> np.ndarray:
 
 
 def _parts(rows: np.ndarray) -> pd.DataFrame:
-    part = rows["place"] >> np.uint32(TABLE_BITS) if PARTS == 1 else rows["place"] // np.uint32((1 << TABLE_BITS) // PARTS)
+    part = rows["place"] // np.uint32((1 << TABLE_BITS) // PARTS)
     order = np.argsort(part, kind="stable")
     numbers, first = np.unique(part[order], return_index=True)
     pieces = np.split(rows[order], first[1:])
