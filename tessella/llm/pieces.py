@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 META = "▁"
 #: Entries of a worker's memory of units; it is emptied when full.
-UNITS_KEPT = 1_000_000
+UNITS_KEPT = 300_000
 #: Rows and characters of an output batch.
 ROWS, CHARS = 512, 4_000_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
