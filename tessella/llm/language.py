@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold
+from .common import fold, sliced
 
 #: Bound of the training sample: documents of each language (expected), windows of each, languages.
 PER_LABEL, WINDOWS, LABELS = 500, 6, 256
@@ -246,7 +246,7 @@ def identify(docs: DataFrame, net: Network | None, text_col: str = "text") -> Da
     schema = T.StructType([*docs.schema.fields, T.StructField("language__pred", T.StringType()), T.StructField("language__score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             found, scores = predict(net, batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "language__pred", "language__score"])
 
