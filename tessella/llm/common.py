@@ -59,6 +59,16 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def drop_step(df: DataFrame) -> None:
+    """Delete the files of a settled step that no later step reads, and what it left in shuffles."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(conf).delete(at, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def sliced(batches, rows: int = 512):
     """Arrow batches cut to a few rows, so that few texts are Python objects at a time."""
     for batch in batches:

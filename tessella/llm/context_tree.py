@@ -6,13 +6,14 @@ of both outcomes, Krichevsky-Trofimov estimates, and the weight that context-tre
 gives the node's own estimate against all deeper ones. The probability of a decision mixes the
 estimates along its path; a context that was never seen takes over its parent's estimate.
 
-Counting: n-grams of bytes are counted per batch and summed by Spark, over all training texts.
-The tree falls apart below the two nearest bytes, so its weights are worked out group by group,
-then for one byte, then for none. Nodes live in a table of 2^TABLE_BITS places, found by hash
-and checked by a tag; where two nodes meet, the one seen more often stays and the other's
-context counts as unseen, which keeps every probability proper. So what is broadcast has a
-fixed size. Word counts for the base score are not broadcast but for the words that make up at
-least a 2^-16 part of the tokens (so 2^16 words at most); the others are joined.
+The whole tree takes part, whatever its size. Documents are dealt into stretches; a stretch's
+distinct grams and their counts are packed by the slot of their two nearest bytes. The tree falls
+apart below these, so a slot has all nodes it needs with contexts of 2 to ``DEPTH`` bytes: it is
+first asked for the weights of its topmost nodes, from which those of the 65 535 decisions at most
+with one byte or none of context follow (these are broadcast), and then for the probability of
+every gram that a stretch has asked for. The answers meet the texts of their stretch by a merge.
+Word counts for the base score are not broadcast but for the words that make up at least a 2^-16
+part of the tokens (so 2^16 words at most); the others are joined.
 
 Results in odd cases: a null or empty text has the end as its only token; with nothing to learn
 from, every decision has probability 1/2 and the base score is 0 for each token; repeated ids
@@ -33,12 +34,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, settle, sliced, words
+from .common import drop_step, fold, settle, sliced, words
 
 DEPTH, TABLE_BITS = 5, 22
-#: Parts in which the table is gathered; characters that are looked at together; places of a
-#: worker's memory of grams already scored; rows of an output batch; grams summed before they leave.
+#: Parts of a table of one tree; characters that are looked at together; places of a worker's
+#: memory of grams already scored; rows of an output batch; grams held before they are summed.
 PARTS, STRETCH, MEMORY_BITS, ROWS, COUNTED = 32, 400_000, 20, 1000, 1_500_000
+#: Characters of a stretch of documents; tokens for each slot; slots at most; places by which a
+#: stretch finds its grams at once (the others by search).
+SPAN, PER_SLOT, SLOTS, PLACES_BITS = 24_000_000, 100_000, 4096, 21
 #: A word is broadcast if it makes up at least one 2^-16 part of all tokens.
 COMMON = 1 << 16
 END = b"\n"
@@ -89,24 +93,54 @@ def _stretches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Grams and their numbers, summed over some stretches at a time."""
-    found, held = [], 0
+def _near_slot(gram: np.ndarray, slots: int) -> np.ndarray:
+    """Slot of a gram, by its two nearest bytes of context."""
+    x = (gram >> np.uint64(8) & np.uint64(0xFFFF)) * _MIX
+    return ((x ^ x >> np.uint64(31)) % np.uint64(slots)).astype(np.int32)
 
-    def summed() -> pa.RecordBatch:
-        code, (n,) = _sum_by(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
-        return pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
 
-    for batch in sliced(batches):
-        texts = batch.column(0).to_pylist()
-        for a, b in _stretches(texts):
-            found.append(np.unique(grams(texts[a:b])[0], return_counts=True))
-            held += len(found[-1][0])
-            if held >= COUNTED:
-                yield summed()
-                found, held = [], 0
-    if found:
-        yield summed()
+def _ask(slots: int):
+    """Rows (row, stretch, learn, text) to (slot, stretch, grams, n): the distinct grams of a
+    stretch and how often they are learned from there, in bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held, current = [], 0, None
+
+        def summed() -> None:
+            nonlocal found, held
+            code, (n,) = _sum_by(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+            found, held = [(code, n)], 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            nonlocal found
+            if found:
+                summed()
+                (code, n), found = found[0], []
+                slot = _near_slot(code, slots)
+                order = np.argsort(slot, kind="stable")
+                numbers, first = np.unique(slot[order], return_index=True)
+                cut = lambda x: [p.tobytes() for p in np.split(x[order], first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(np.full(len(numbers), current), pa.int64()), pa.array(cut(code), pa.binary()), pa.array(cut(n.astype(np.uint32)), pa.binary())], names=["slot", "stretch", "grams", "n"])
+
+        for batch in sliced(batches):
+            stretches, learned, texts = (batch.column(k).to_pylist() for k in (1, 2, 3))
+            start = 0
+            for stop in range(1, len(texts) + 1):
+                if stop < len(texts) and (stretches[stop], learned[stop]) == (stretches[start], learned[start]):
+                    continue
+                if stretches[start] != current:
+                    yield from packed()
+                    current, held = stretches[start], 0
+                for a, b in _stretches(texts[start:stop]):
+                    code, n = np.unique(grams(texts[start + a : start + b])[0], return_counts=True)
+                    found.append((code, n if learned[start] else np.zeros(len(code), np.int64)))
+                    held += len(code)
+                    if held >= COUNTED:
+                        summed()
+                start = stop
+        yield from packed()
+
+    return run
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,23 +208,30 @@ def _with_rest(rows: np.ndarray, key: np.ndarray, zeros, ones, log) -> pd.DataFr
     return pd.concat([x.astype({"part": "Int32", "key": "Int64", "zeros": "float64", "ones": "float64", "log": "float64"}) for x in (parts, rest)], ignore_index=True)
 
 
-def _below_two(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All nodes with contexts of DEPTH to 2 bytes for grams that share the two nearest."""
-    gram, n = pdf["gram"].to_numpy().astype(np.uint64), pdf["n"].to_numpy().astype(float)
+def _levels(gram: np.ndarray, n: np.ndarray) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], tuple]:
+    """All nodes with contexts of DEPTH to 2 bytes for grams that share the two nearest (or for
+    several such groups): keys in ascending order and table rows by depth; then key, zeros, ones
+    and log weighted probability of the topmost."""
     byte, context = gram & np.uint64(255), gram >> np.uint64(8) << np.uint64(8)
     keys, bits = [], []
     for k in range(8):
         keys.append(context | np.uint64(1 << k) | byte >> np.uint64(8 - k))
         bits.append((byte >> np.uint64(7 - k) & np.uint64(1)).astype(bool))
-    bit, n = np.concatenate(bits), np.tile(n, 8)
+    bit, n = np.concatenate(bits), np.tile(n.astype(float), 8)
     key, (zeros, ones) = _sum_by(np.concatenate(keys), np.where(bit, 0, n), np.where(bit, n, 0))
     rows, log = _nodes(DEPTH, key, zeros, ones, None)
-    out = [rows]
+    levels = {DEPTH: (key, rows)}
     for depth in range(DEPTH - 1, 1, -1):
         key, (zeros, ones, log) = _sum_by(_up(depth + 1, key), zeros, ones, log)
         rows, log = _nodes(depth, key, zeros, ones, log)
-        out.append(rows)
-    return _with_rest(np.concatenate(out), key, zeros, ones, log)
+        levels[depth] = key, rows
+    return levels, (key, zeros, ones, log)
+
+
+def _below_two(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The nodes of ``_levels`` as parts of a table, and the topmost."""
+    levels, top = _levels(pdf["gram"].to_numpy().astype(np.uint64), pdf["n"].to_numpy())
+    return _with_rest(np.concatenate([rows for _, rows in levels.values()]), *top)
 
 
 def _one_up(depth: int):
@@ -202,22 +243,12 @@ def _one_up(depth: int):
     return run
 
 
-def _merge_part(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The node seen most at each place (ties: least tag, then estimate)."""
-    rows = np.concatenate([np.frombuffer(r, _NODE) for r in pdf["rows"]])
-    rows = rows[np.lexsort((rows["one"], rows["tag"], -rows["seen"].astype(np.int64), rows["place"]))]
-    first = np.concatenate([[True], rows["place"][1:] != rows["place"][:-1]])
-    return pd.DataFrame({"rows": [rows[first].tobytes()]})
-
+class Tree:
+    """log10 probabilities of grams under nodes that ``find(depth, key)`` gives: whether they are
+    there, their estimates of a one, and the weights of these."""
 
-class Model:
-    """The node table, and log10 probabilities of grams."""
-
-    def __init__(self, tables: dict[str, np.ndarray]):
-        self.tag, self.one, self.own = (tables[name] for name in ("tag", "one", "own"))
-        self.grams = np.zeros(1 << MEMORY_BITS, np.uint64)
-        self.logs = np.zeros(1 << MEMORY_BITS, np.float32)
-        self.grams[0] = 1  # place 0 must not seem to hold gram 0
+    def find(self, depth: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raise NotImplementedError
 
     def gram_log10(self, gram: np.ndarray) -> np.ndarray:
         if len(gram) > 1 << 16:
@@ -229,11 +260,11 @@ class Model:
             estimates, weights = [], []
             seen, last = np.ones(len(gram), bool), np.full(len(gram), 0.5, np.float32)
             for depth in range(DEPTH + 1):
-                place, tag = _address(depth, key & np.uint64((1 << 8 * (depth + 1)) - 1))
-                seen = seen & (self.tag[place] == tag)
-                last = np.where(seen, self.one[place], last)
+                there, one, own = self.find(depth, key & np.uint64((1 << 8 * (depth + 1)) - 1))
+                seen = seen & there
+                last = np.where(seen, one, last)
                 estimates.append(last)
-                weights.append(np.where(seen, self.own[place], 1))
+                weights.append(np.where(seen, own, 1))
             p = estimates[DEPTH].astype(float)
             for depth in range(DEPTH - 1, -1, -1):
                 p = p + weights[depth] * (estimates[depth] - p)
@@ -241,6 +272,21 @@ class Model:
             total += np.log10(np.where(bit, p, 1 - p))
         return total
 
+
+class Model(Tree):
+    """A tree in one table of 2^TABLE_BITS places that is large enough for it (nodes that meet in
+    a place put each other out, so ``score`` does not use it)."""
+
+    def __init__(self, tables: dict[str, np.ndarray]):
+        self.tag, self.one, self.own = (tables[name] for name in ("tag", "one", "own"))
+        self.grams = np.zeros(1 << MEMORY_BITS, np.uint64)
+        self.logs = np.zeros(1 << MEMORY_BITS, np.float32)
+        self.grams[0] = 1  # place 0 must not seem to hold gram 0
+
+    def find(self, depth: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        place, tag = _address(depth, key)
+        return self.tag[place] == tag, self.one[place], self.own[place]
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """log10 probability of each text."""
         out = []
@@ -260,35 +306,144 @@ class Model:
         return np.concatenate(out) if out else np.empty(0)
 
 
-def fit(docs: DataFrame, learn: Column, text_col: str = "text") -> dict[str, np.ndarray]:
-    """The node table, from all texts where ``learn`` holds: tag (0: no node), estimate of a
-    one, and weight of the node's own estimate, for each place."""
-    texts = docs.where(learn).select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    counted = texts.mapInArrow(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    two = settle(counted.groupBy(F.expr("(gram div 256) % 65536").alias("near")).applyInPandas(_below_two, _STEP))
-    one = settle(two.where("part is null").groupBy(F.expr("(key div 256) % 256").alias("near")).applyInPandas(_one_up(1), _STEP))
-    # 255 nodes for each byte at most
-    none = settle(one.where("part is null").groupBy(F.expr("key div 65536").alias("near")).applyInPandas(_one_up(0), _STEP))
-    parts = two.union(one).union(none).where("part is not null").select("part", "rows")
-    tables = {"tag": np.zeros(1 << TABLE_BITS, np.uint16), "one": np.zeros(1 << TABLE_BITS, np.float32), "own": np.zeros(1 << TABLE_BITS, np.float32)}
-    for r in parts.groupBy("part").applyInPandas(_merge_part, "rows binary").toLocalIterator():  # 2^TABLE_BITS nodes at most
-        rows = np.frombuffer(bytes(r["rows"]), _NODE)
-        for name, table in tables.items():
-            table[rows["place"]] = rows[name]
-    return tables
+class Slot(Tree):
+    """All nodes of a slot, and those with one byte of context or none (estimate and weight by
+    key; nan where there is no node)."""
+
+    def __init__(self, levels: dict[int, tuple[np.ndarray, np.ndarray]], upper: list[tuple[np.ndarray, np.ndarray]]):
+        self.levels, self.upper = levels, upper
+
+    def find(self, depth: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if depth < 2:
+            one, own = (x[key.astype(np.int64)] for x in self.upper[depth])
+            return ~np.isnan(one), one, own
+        if depth not in self.levels:
+            none = np.zeros(len(key))
+            return none > 0, none, none
+        keys, rows = self.levels[depth]
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return keys[at] == key, rows["one"][at], rows["own"][at]
+
+
+def _merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct grams of a slot's rows, how often each is learned from, and the place among
+    them of each gram of the rows."""
+    code = np.frombuffer(b"".join(pdf["grams"]), np.uint64)
+    n = np.frombuffer(b"".join(pdf["n"]), np.uint32).astype(np.int64)
+    order = np.argsort(code, kind="stable")
+    new = np.concatenate([[True], code[order[1:]] != code[order[:-1]]])
+    back = np.empty(len(code), np.int64)
+    back[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return code[order[first]], np.add.reduceat(n[order], first), back
+
+
+def _topmost(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What the nodes with two bytes of context add to each node with one."""
+    gram, n, _ = _merged(pdf)
+    if not n.any():
+        return pd.DataFrame({"key": [], "zeros": [], "ones": [], "log": []})
+    key, *values = _levels(gram[n > 0], n[n > 0])[1]
+    key, values = _sum_by(_up(2, key), *values)
+    return pd.DataFrame({"key": key.astype(np.int64), **dict(zip(("zeros", "ones", "log"), values, strict=True))})
+
+
+def _uppermost(key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, log: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Estimates and weights by key of the nodes without context, then of those with one byte."""
+    upper = []
+    for depth in (1, 0):
+        one, own = (np.full(1 << 8 * (depth + 1), np.nan, np.float32) for _ in range(2))
+        if len(key):
+            key, (zeros, ones, log) = _sum_by(_up(depth + 1, key), zeros, ones, log)
+            rows, log = _nodes(depth, key, zeros, ones, log)
+            one[key.astype(np.int64)], own[key.astype(np.int64)] = rows["one"], rows["own"]
+        upper.insert(0, (one, own))
+    return upper
+
+
+def _answer(shipped):
+    """The rows of a slot to (stretch, grams, log10 of their probabilities)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        gram, n, back = _merged(pdf)
+        levels = _levels(gram[n > 0], n[n > 0])[0] if n.any() else {}
+        logs = Slot(levels, shipped.value).gram_log10(gram).astype(np.float32)[back]
+        stops = np.cumsum([len(g) // 8 for g in pdf["grams"]])
+        return pd.DataFrame({"stretch": pdf["stretch"], "grams": pdf["grams"], "logs": [x.tobytes() for x in np.split(logs, stops[:-1])]})
+
+    return run
+
 
+class Answers:
+    """log10 probabilities of the grams of one stretch."""
 
-_models: dict = {}
+    def __init__(self, gram: list[bytes], logs: list[bytes]):
+        code = np.frombuffer(b"".join(gram), np.uint64)
+        order = np.argsort(code, kind="stable")
+        self.code, self.logs = code[order], np.frombuffer(b"".join(logs), np.float32)[order]
+        self.first = np.zeros(1 << PLACES_BITS, np.int32)
+        self.first[self._place(self.code)] = np.arange(len(code))
 
+    @staticmethod
+    def _place(code: np.ndarray) -> np.ndarray:
+        return ((code * _MIX) >> np.uint64(64 - PLACES_BITS)).astype(np.int64)
 
-def _model(key: int, tables: dict[str, np.ndarray]) -> Model:
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(tables)
-    return _models[key]
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """log10 probability of each text."""
+        out = []
+        for a, b in _stretches(texts):
+            code, starts = grams(texts[a:b])
+            at = self.first[self._place(code)]
+            other = np.flatnonzero(self.code[at] != code)
+            at[other] = np.searchsorted(self.code, code[other])
+            if not (self.code[np.minimum(at, len(self.code) - 1)] == code).all():
+                raise ValueError("a gram without an answer")
+            out.append(np.add.reduceat(self.logs[at].astype(float), starts))
+        return np.concatenate(out) if out else np.empty(0)
 
 
-def score(docs: DataFrame, learn: Column, text_col: str = "text") -> DataFrame:
+def _read_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (stretch, kind, grams, logs, row, text) in order of (stretch, kind), the answers
+    (kind 0) before the texts (kind 1), to (row, score)."""
+    current, gram, logs, answers = None, [], [], None
+    for batch in sliced(batches):
+        stretches, kinds = (batch.column(k).to_numpy() for k in (0, 1))
+        turns = np.flatnonzero((stretches[1:] != stretches[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+        for a, b in zip([0, *turns], [*turns, len(kinds)], strict=True):
+            part = batch.slice(a, b - a)
+            if stretches[a] != current:
+                current, gram, logs, answers = stretches[a], [], [], None
+            if kinds[a] == 0:
+                gram += part.column(2).to_pylist()
+                logs += part.column(3).to_pylist()
+                continue
+            if answers is None:
+                answers, gram, logs = Answers(gram, logs), [], []
+            yield pa.RecordBatch.from_arrays([part.column(4), pa.array(answers.scores(part.column(5).to_pylist()), pa.float64())], names=["tree__row", "tree__score"])
+
+
+def tree_scores(rows: DataFrame, tokens: int) -> DataFrame:
+    """(tree__row, tree__score) for rows (row, stretch, learn, text): the log10 probability of
+    each text under the tree of all texts to learn from."""
+    spark = rows.sparkSession
+    slots = int(min(SLOTS, max(8, tokens // PER_SLOT)))
+    asked = settle(rows.mapInArrow(_ask(slots), "slot int, stretch long, grams binary, n binary"))
+    top = asked.groupBy("slot").applyInPandas(_topmost, "key long, zeros double, ones double, log double")
+    # 255 nodes for each byte at most
+    top = top.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "log"))).toPandas().sort_values("key")
+    shipped = spark.sparkContext.broadcast(_uppermost(top["key"].to_numpy().astype(np.uint64), *(top[c].to_numpy().astype(float) for c in ("zeros", "ones", "log"))))
+    answers = settle(asked.groupBy("slot").applyInPandas(_answer(shipped), "stretch long, grams binary, logs binary"))
+    drop_step(asked)
+    said = answers.select("stretch", F.lit(0).alias("kind"), "grams", "logs", F.lit(None).cast("long").alias("row"), F.lit(None).cast("string").alias("text"))
+    texts = rows.select("stretch", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("grams"), F.lit(None).cast("binary").alias("logs"), "row", "text")
+    met = said.union(texts).repartition("stretch").sortWithinPartitions("stretch", "kind")
+    scores = settle(met.mapInArrow(_read_answers, "tree__row long, tree__score double"))
+    del said, met
+    drop_step(answers)
+    return scores
+
+
+def score(docs: DataFrame, learn: Column, text_col: str = "text", span: int = SPAN) -> DataFrame:
     """``docs`` plus ``tree__tokens``, ``tree__known``, ``tree__all`` (tokens learned from),
     ``tree__base`` (log10 of smoothed word frequencies) and ``tree__score`` (log10 probability
     of the text under the tree)."""
@@ -297,23 +452,25 @@ def score(docs: DataFrame, learn: Column, text_col: str = "text") -> DataFrame:
     vocabulary = settle(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     common = {bytes(r["word"]): r["n"] for r in vocabulary.where(F.col("n") * COMMON >= total).collect()}
-    shipped = spark.sparkContext.broadcast((fit(docs, learn, text_col), common))
-    key = hash((spark.sparkContext.applicationId, shipped._jbroadcast.id() if shipped._jbroadcast else 0))
+    shipped = spark.sparkContext.broadcast(common)
     floor = float(total + distinct + 1)
     own = [F.col(f"`{c}`") for c in docs.columns]
-    frame = docs.select(*own, F.col(f"`{text_col}`").cast("string").alias("tree__text"))
-    plain = [T.StructField("tree__row", T.LongType()), T.StructField("tree__tokens", T.LongType()), T.StructField("tree__near", T.LongType()), T.StructField("tree__part", T.DoubleType()), T.StructField("tree__score", T.DoubleType()), T.StructField("tree__rare", T.ArrayType(T.BinaryType()))]
-    schema = T.StructType([*docs.schema.fields, *plain])
+    frame = docs.select(*own, F.coalesce(learn, F.lit(False)).alias("tree__learn"), F.col(f"`{text_col}`").cast("string").alias("tree__text"))
+    plain = [T.StructField("tree__row", T.LongType()), T.StructField("tree__stretch", T.LongType()), T.StructField("tree__tokens", T.LongType()), T.StructField("tree__near", T.LongType()), T.StructField("tree__part", T.DoubleType()), T.StructField("tree__rare", T.ArrayType(T.BinaryType()))]
+    schema = T.StructType([*docs.schema.fields, T.StructField("tree__learn", T.BooleanType()), *plain])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, frequent = shipped.value
-        model = _model(key, tables)
-        logs = {w: np.log10((n + 1) / floor) for w, n in frequent.items()}
-        row = TaskContext.get().partitionId() << 33
+        logs = {w: np.log10((n + 1) / floor) for w, n in shipped.value.items()}
+        row = stretch = TaskContext.get().partitionId() << 33
+        held = 0
         for batch in sliced(batches, ROWS):
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            tokens, near, part, rare = [], [], [], []
+            tokens, near, part, rare, stretches = [], [], [], [], []
             for t in texts:
+                if held >= span:
+                    stretch, held = stretch + 1, 0
+                held += len(t or "")
+                stretches.append(stretch)
                 own_words = words(t)
                 own_words.append(END)
                 known = [x for x in map(logs.get, own_words) if x is not None]
@@ -323,14 +480,16 @@ def score(docs: DataFrame, learn: Column, text_col: str = "text") -> DataFrame:
                 rare.append([w for w in own_words if w not in logs] if len(known) < len(own_words) else [])
             ids = pa.array(np.arange(row, row + len(texts)))
             row += len(texts)
-            new = [ids, pa.array(tokens, pa.int64()), pa.array(near, pa.int64()), pa.array(part, pa.float64()), pa.array(model.scores(texts)), pa.array(rare, pa.list_(pa.binary()))]
+            new = [ids, pa.array(stretches, pa.int64()), pa.array(tokens, pa.int64()), pa.array(near, pa.int64()), pa.array(part, pa.float64()), pa.array(rare, pa.list_(pa.binary()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], *(f.name for f in plain)])
 
     done = settle(frame.mapInArrow(run, schema))
+    tokens = done.agg(F.coalesce(F.sum("tree__tokens"), F.lit(0))).first()[0]
+    scores = tree_scores(done.select(F.col("tree__row").alias("row"), F.col("tree__stretch").alias("stretch"), F.col("tree__learn").alias("learn"), F.col(f"`{text_col}`").cast("string").alias("text")), tokens)
     words_of = done.select("tree__row", F.explode("tree__rare").alias("word"))
     found = words_of.join(vocabulary.where(F.col("n") * COMMON < total), "word", "left")
     sums = found.groupBy("tree__row").agg(F.count("n").alias("tree__more"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(floor))).alias("tree__add"))
-    out = done.drop("tree__rare").join(sums, "tree__row", "left")
+    out = done.drop("tree__rare").join(sums, "tree__row", "left").join(scores, "tree__row")
     return out.select(*own, "tree__tokens", (F.col("tree__near") + F.coalesce("tree__more", F.lit(0))).alias("tree__known"), F.lit(int(total)).cast("long").alias("tree__all"), (F.col("tree__part") + F.coalesce("tree__add", F.lit(0.0))).alias("tree__base"), "tree__score")
 
 

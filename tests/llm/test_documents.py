@@ -320,3 +320,19 @@ def test_clashing_names(spark):
     for out in made:
         assert out.count() == 2 and set(df.columns) <= set(out.columns)
     assert SCHEMA
+
+
+def test_context_tree_keeps_every_node(spark):
+    """The query's scores are those of the whole tree: no two nodes compete for a place."""
+    rows = [(r[0], r[1]) for r in corpus(4, 16) if len(r[1] or "") < 700]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("learn", F.col("doc_id") % 3 > 0)
+    got = {r["doc_id"]: r["tree__score"] for r in context_tree.score(df, F.col("learn")).collect()}
+    want = direct_scores([[*words(t), b"\n"] for i, t in rows if i % 3 > 0], [[*words(t), b"\n"] for _, t in rows])
+    assert len(got) == len(rows) and np.allclose([got[i] for i, _ in rows], want, rtol=1e-6)
+
+
+def test_context_tree_in_small_stretches(spark):
+    df = frame(spark)
+    one = {r["doc_id"]: r["tree__score"] for r in context_tree.score(df, F.lit(True)).collect()}
+    many = {r["doc_id"]: r["tree__score"] for r in context_tree.score(df, F.lit(True), span=2000).collect()}
+    assert one.keys() == many.keys() and np.allclose([one[i] for i in one], [many[i] for i in one], rtol=1e-6)
