@@ -10,7 +10,9 @@ A pair is found in a pass if its ranks there differ by at most the window or its
 agree. As every row carries its ranks and leading bits of all passes, the task that meets a
 pair can tell whether an earlier pass has met it, and counts it only the first time: what
 leaves a task is a count for each row and a forest of links, never the pairs. Memory of a task
-is bounded by two tiles. Leading bits grow with the log of the number of classes.
+is bounded by two tiles. Leading bits grow with the log of the number of classes of a label, and
+the number of passes with them: a pair at the threshold shares its leading bits in one of them
+with a probability of at least ``RECALL`` (the windows come on top), whatever the table's size.
 
 Results in odd cases: a vector that is null, zero or holds null or non-finite components, or
 has no label or id, links with nothing and is its own component; vectors of different lengths
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from math import ceil, log2
+from math import acos, ceil, log, log1p, log2, pi
 
 import numpy as np
 import pandas as pd
@@ -34,6 +36,7 @@ from .common import components, settle
 
 THRESHOLD = 0.93
 PASSES, WINDOW, BITS, TILE, AT_ONCE = 8, 64, 48, 1024, 4
+RECALL, LEAD = 0.95, 8
 _TASKS = "array<struct<near__kind:int,near__i:bigint,near__j:bigint,near__run:bigint,near__own:boolean>>"
 _GROUP = ["near__label", "near__dim"]
 
@@ -45,6 +48,18 @@ def valid(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
+def leading_bits(classes: int, window: int) -> int:
+    """Bits that cut so many classes into runs of about a window."""
+    return min(BITS, max(LEAD, ceil(log2(max(1, classes / window)))))
+
+
+def enough_passes(lead: int, threshold: float) -> int:
+    """Passes after which a pair at the threshold has shared ``lead`` leading bits in one of them
+    with probability ``RECALL``, ``PASSES`` at least."""
+    same = (1 - acos(min(1.0, max(-1.0, threshold))) / pi) ** lead
+    return max(PASSES, ceil(log(1 - RECALL) / log1p(-same))) if 0 < same < 1 else PASSES
+
+
 def _keys(passes: int, bits: int):
     """Batches (id, vector) to (id, one key for each pass)."""
 
@@ -120,9 +135,10 @@ def _compare(threshold: float, window: int):
     return run
 
 
-def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int | None = None, window: int = WINDOW, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``vectors`` plus ``near__links`` (other vectors linked directly) and ``near__component``
-    (the least id reachable by links, itself included)."""
+    (the least id reachable by links, itself included). ``passes``: as many as the size of the
+    largest label asks for, if none are given."""
     tile = max(TILE, window)
     vector, ident = F.col(f"`{vector_col}`"), F.col(f"`{id_col}`")
     usable = valid(vector) & ident.isNotNull() & F.col(f"`{label_col}`").isNotNull()
@@ -131,8 +147,11 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int =
     cls = [*_GROUP, "near__h", "near__g"]
     classes = marked.where("near__h is not null").groupBy(*cls, ident.alias("near__id")).agg(F.first(vector).alias("near__vector")).groupBy(*cls).agg(F.min("near__id").alias("near__rep"), F.count(F.lit(1)).alias("near__copies"), F.first("near__vector").alias("near__vector"))
     classes = settle(classes)
-    total = classes.count()
-    lead = max(8, ceil(log2(max(1, total / window))))
+    # labels whose runs need more than LEAD bits: one for each window * 2^LEAD classes at most
+    large = classes.groupBy(*_GROUP).count().where(F.col("count") > window << LEAD).collect()
+    leads = [(r["near__label"], r["near__dim"], leading_bits(r["count"], window)) for r in large]
+    passes = passes or enough_passes(max([LEAD, *(x[2] for x in leads)]), threshold)
+    lead = F.broadcast(vectors.sparkSession.createDataFrame(leads, "near__label long, near__dim int, near__lead int"))
 
     # one order over all passes: rank = place in (pass, label, length, key, id)
     kinds = dict(classes.dtypes)
@@ -146,7 +165,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int =
         offsets.append((part, before))
         before += sizes[part]
     starts = vectors.sparkSession.createDataFrame(offsets, "near__part long, near__start long")
-    ranked = placed.withColumn("near__part", F.expr("near__at div 8589934592")).join(F.broadcast(starts), "near__part").select("near__rep", "near__h", *_GROUP, "near__pass", (F.col("near__start") + F.expr("near__at % 8589934592")).alias("near__rank"), F.shiftright("near__key", BITS - lead).alias("near__head"))
+    ranked = placed.withColumn("near__part", F.expr("near__at div 8589934592")).join(F.broadcast(starts), "near__part").join(lead, _GROUP, "left").select("near__rep", "near__h", *_GROUP, "near__pass", (F.col("near__start") + F.expr("near__at % 8589934592")).alias("near__rank"), F.expr(f"shiftright(near__key, {BITS} - coalesce(near__lead, {LEAD}))").alias("near__head"))
     run = ["near__pass", *_GROUP, "near__head"]
     runs = ranked.groupBy(*run).agg(F.min("near__rank").alias("near__first"), F.count(F.lit(1)).alias("near__size"))
     seen = ranked.join(runs, run).groupBy("near__rep", "near__h", *_GROUP).agg(F.sort_array(F.collect_list(F.struct("near__pass", "near__rank", "near__head", "near__first", "near__size"))).alias("near__seen"))

@@ -229,6 +229,21 @@ def test_near_vectors_repeated_ids(spark):
     assert got == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1)]
 
 
+def test_near_vectors_recall_does_not_fall_with_size(spark):
+    """A table as large for its window as a label of 262 144 classes is for 64: twelve leading bits."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(2048, 64))
+    base /= np.sqrt((base * base).sum(axis=1))[:, None]
+    side = rng.normal(size=base.shape)
+    side -= (side * base).sum(axis=1)[:, None] * base
+    side /= np.sqrt((side * side).sum(axis=1))[:, None]
+    near = 0.932 * base + np.sqrt(1 - 0.932**2) * side
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(np.concatenate([base, near]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["near__links"] for r in near_vectors.link_vectors(df, window=1).collect()}
+    assert set(got.values()) <= {0, 1} and np.mean([got[k] for k in range(2048)]) >= 0.92
+
+
 # pipeline
 
 
