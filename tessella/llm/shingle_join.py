@@ -19,8 +19,8 @@ they, and passages that many documents share, fall out of the part unless a docu
 them. Blocks of more than ``TILE`` classes are compared tile by tile. No link is lost.
 
 Results in odd cases: a null text or one without words has an empty set and links with nothing;
-fewer than five words are one shingle; rows that repeat an id are one node of the graph (an id
-is taken to name one text: of several, the others are linked by equality only); a null id is no node: its component is null; very long texts are read whole;
+fewer than five words are one shingle; rows that repeat an id are one node of the graph, with
+the links of all its texts; a null id is no node: its component is null; very long texts are read whole;
 an empty table gives an empty table, and columns beyond id and text are not looked at.
 """
 
@@ -80,6 +80,17 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mixed(s))
 
 
+def _sums(s: np.ndarray) -> tuple[int, int, int]:
+    """Size of a set and two sums that stand for it."""
+    return len(s), int(s.sum().astype(np.int64)), int(_mixed(s ^ _A).sum().astype(np.int64))
+
+
+def class_key(s: np.ndarray) -> int:
+    """A number for a set: equal sets have the same."""
+    n, one, two = (np.array([x], np.int64).astype(np.uint64) for x in _sums(s))
+    return int(_mixed(two ^ _mixed(one ^ _mixed(n ^ _A))).astype(np.int64)[0])
+
+
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Ids and sets of stretches of documents of about STRETCH characters."""
     ids, sets, held = [], [], 0
@@ -96,18 +107,17 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[n
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, n, two sums that stand for the set), and (hash, n) of shingles that are common
+    """Rows (doc, n, two sums that stand for the set, its class key), and (hash, n) of shingles that are common
     in a stretch."""
     for ids, sets in _stretches(batches):
-        n = [len(s) for s in sets]
-        one = [int(s.sum().astype(np.int64)) for s in sets]
-        two = [int(_mixed(s ^ _A).sum().astype(np.int64)) for s in sets]
+        n, one, two = zip(*map(_sums, sets), strict=True)
+        cls = [class_key(s) for s in sets]
         hashes, counts = np.unique(np.concatenate(sets), return_counts=True)
         often = counts >= max(2, len(sets) / COMMON_SHARE)
         hashes, counts = hashes[often].astype(np.int64), counts[often].astype(np.int64)
         none, blank = pa.nulls(len(hashes), pa.int64()), pa.nulls(len(ids), pa.int64())
-        columns = [pa.concat_arrays([pa.array(a, pa.int64()), b]) for a, b in ((ids, none), (n, none), (one, none), (two, none))]
-        yield pa.RecordBatch.from_arrays([*columns, *(pa.concat_arrays([blank, pa.array(x)]) for x in (hashes, counts))], names=["doc", "n", "one", "two", "hash", "seen"])
+        columns = [pa.concat_arrays([pa.array(a, pa.int64()), b]) for a, b in ((ids, none), (n, none), (one, none), (two, none), (cls, none))]
+        yield pa.RecordBatch.from_arrays([*columns, *(pa.concat_arrays([blank, pa.array(x)]) for x in (hashes, counts))], names=["doc", "n", "one", "two", "cls", "hash", "seen"])
 
 
 def _lengths(n: int) -> tuple[int, int]:
@@ -121,18 +131,17 @@ def _lengths(n: int) -> tuple[int, int]:
 
 def _posted(shipped, buckets: int):
     """Rows (bucket, kind, payload): postings (kind 0) of the plain shingles of each part, dealt
-    by hash, and (kind 1) what is known of the document, dealt by id; the common shingles of a
-    part (kind 2)."""
+    by hash, and (kind 1) what is known of the set, dealt by class key; the common shingles of a
+    part (kind 2). A class posts once in each stretch that holds it, whatever the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shipped.value
-        for ids, sets in _stretches(batches):
+        for _, sets in _stretches(batches):
             posts, docs, rest, met = [], [], [], set()
-            for i, s in sorted(zip(ids, sets, strict=True), key=lambda x: x[0]):
-                same = s.tobytes() if len(s) < 64 else (len(s), int(s.sum()), int(_mixed(s).sum()))
-                if not len(s) or same in met:
+            for s in sets:
+                if not len(s) or (i := class_key(s)) in met:
                     continue
-                met.add(same)
+                met.add(i)
                 often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
                 take, share = _lengths(len(s))
                 plain, hot = s[~often][:take], s[often]
@@ -163,6 +172,12 @@ def _dealt(parts: list[np.ndarray], by: str, buckets: int) -> list[tuple[int, by
     return [(int(n), p.tobytes()) for n, p in zip(numbers, np.split(rows[order], first[1:]), strict=True)] if len(rows) else []
 
 
+def _once(rows: np.ndarray) -> np.ndarray:
+    """Each (doc, hash) once: a class that stands in several stretches has posted in all of them."""
+    rows = rows[np.lexsort((rows["doc"], rows["hash"]))]
+    return rows[np.concatenate([[True], (rows["doc"][1:] != rows["doc"][:-1]) | (rows["hash"][1:] != rows["hash"][:-1])])] if len(rows) else rows
+
+
 def _of_kind(pdf: pd.DataFrame, kind: int, dtype: np.dtype) -> np.ndarray:
     return np.frombuffer(b"".join(pdf["rows"][pdf["kind"] == kind]), dtype)
 
@@ -171,8 +186,7 @@ def _counted(buckets: int):
     """Counts the parts that hold each shingle; those of one go no further. Kinds 1 and 2 pass."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        posts = _of_kind(pdf, 0, _POST)
-        posts = posts[np.argsort(posts["hash"], kind="stable")]
+        posts = _once(_of_kind(pdf, 0, _POST))
         _, place, n = np.unique(posts["hash"], return_inverse=True, return_counts=True)
         several = n[place] > 1 if len(posts) else np.empty(0, bool)
         rare = np.empty(int(several.sum()), _RARE)
@@ -186,7 +200,7 @@ def _counted(buckets: int):
 
 def _prefixes(pdf: pd.DataFrame) -> pd.DataFrame:
     """(hash, doc) for the shingles by which a document can meet another one."""
-    docs, rare, hot = _of_kind(pdf, 1, _DOC), _of_kind(pdf, 3, _RARE), _of_kind(pdf, 2, _POST)
+    docs, rare, hot = _of_kind(pdf, 1, _DOC), _of_kind(pdf, 3, _RARE), _once(_of_kind(pdf, 2, _POST))
     docs = docs[np.argsort(docs["doc"], kind="stable")]
     docs = docs[np.concatenate([[True], docs["doc"][1:] != docs["doc"][:-1]])] if len(docs) else docs
     known = np.concatenate([rare["doc"], hot["doc"]])
@@ -277,12 +291,13 @@ def forest(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
 def _blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     out, memory = [], {}
     pdf = pdf.sort_values(["center", "left", "right", "doc"])
+    rep = dict(zip(pdf["doc"], pdf["rep"], strict=True))
     for doc, text in zip(pdf["doc"], pdf["text"], strict=True):
-        if doc not in memory:
-            memory[doc] = shingles(text)
+        if doc not in memory and class_key(found := shingles(text)) == doc:  # else another text of the same id
+            memory[doc] = found
     for _, task in pdf.groupby(["center", "left", "right"], sort=False):
         ids = task["doc"].drop_duplicates().to_numpy()
-        out += forest(ids, [memory[i] for i in ids])
+        out += [(rep[a], rep[b]) for a, b in forest(ids, [memory[i] for i in ids])]
     return pd.DataFrame(out, columns=["u", "v"])
 
 
@@ -290,14 +305,13 @@ def link_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc, n, component) for every row of ``docs``: its id, set size, and least reachable id."""
     spark = docs.sparkSession
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    facts = settle(base.mapInArrow(_facts, "doc long, n long, one long, two long, hash long, seen long"))
-    known = facts.where("n is not null").select("doc", "n", "one", "two")
+    facts = settle(base.mapInArrow(_facts, "doc long, n long, one long, two long, cls long, hash long, seen long"))
+    known = facts.where("n is not null").select("doc", "n", "one", "two", "cls")
     rows, total = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     common = facts.where("hash is not null").groupBy("hash").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= max(COMMON_LEAST, rows // COMMON_SHARE))
     # each of them takes a 2000th of the rows out of the sum of all set sizes
     shipped = spark.sparkContext.broadcast(np.sort(np.array([r["hash"] for r in common.select("hash").collect()], np.int64).astype(np.uint64)))
     own = settle(_classes(known.where("n > 0 and doc is not null")))
-    copies = own.where("doc <> rep")
 
     buckets = max(12, -(-total // PER_BUCKET))
     step = "bucket int, kind int, rows binary"
@@ -307,15 +321,15 @@ def link_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     centers = settle(prefixes.groupBy("hash").agg(F.min("doc").alias("center"), F.max("doc").alias("most")).where("center < most").select("hash", "center"))
     around = settle(prefixes.join(centers, "hash").select("center", "doc").distinct())
-    members = around.join(copies, "doc", "left").select("center", F.coalesce("rep", "doc").alias("doc")).distinct()
+    members = around.join(own.select(F.col("cls").alias("doc"), "rep").distinct(), "doc")
     sizes = members.groupBy("center").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
     at = F.pmod(F.xxhash64("doc"), tiles).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), tiles - 1), lambda j: F.struct(F.least(at, j).alias("left"), F.greatest(at, j).alias("right")))
-    tasks = settle(members.join(sizes, "center").select("doc", "center", F.explode(pairs).alias("t")).select("doc", "center", "t.left", "t.right"))
+    tasks = settle(members.join(sizes, "center").select("doc", "rep", "center", F.explode(pairs).alias("t")).select("doc", "rep", "center", "t.left", "t.right"))
     groups = max(12, -(-tasks.count() // PER_GROUP))
     # tasks grow with the corpus: their join is never a broadcast, at no size
-    texts = tasks.hint("merge").join(base, "doc").withColumn("group", F.pmod(F.xxhash64("center", "left", "right"), F.lit(groups)))
+    texts = tasks.hint("merge").join(base.withColumnRenamed("doc", "rep"), "rep").withColumn("group", F.pmod(F.xxhash64("center", "left", "right"), F.lit(groups)))
     links = settle(texts.groupBy("group").applyInPandas(_blocks, "u long, v long"))
 
     # an id with several texts joins their classes; a class needs no links inside
@@ -327,9 +341,10 @@ def link_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _classes(known: DataFrame) -> DataFrame:
-    """(doc, rep): the least id with an equal set."""
-    least = known.groupBy("n", "one", "two").agg(F.min("doc").alias("rep"))
-    return known.join(least, ["n", "one", "two"]).select("doc", "rep").distinct()
+    """(doc, rep, cls): the least id with an equal set, and the set's class key."""
+    same = ["n", "one", "two", "cls"]
+    least = known.groupBy(*same).agg(F.min("doc").alias("rep"))
+    return known.join(least, same).select("doc", "rep", "cls").distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

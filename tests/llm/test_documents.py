@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -336,3 +337,16 @@ def test_context_tree_in_small_stretches(spark):
     one = {r["doc_id"]: r["tree__score"] for r in context_tree.score(df, F.lit(True)).collect()}
     many = {r["doc_id"]: r["tree__score"] for r in context_tree.score(df, F.lit(True), span=2000).collect()}
     assert one.keys() == many.keys() and np.allclose([one[i] for i in one], [many[i] for i in one], rtol=1e-6)
+
+
+def test_shingle_join_of_repeated_ids(spark):
+    """A row that stands in many stretches (here: partitions) keeps its near copy, and so does each
+    of several texts under one id."""
+    rng = random.Random(8)
+    prose = [[f"w{rng.randrange(10**6)}" for _ in range(124)] for _ in range(3)]
+    near = lambda ws: " ".join([*ws[:60], "changed", *ws[61:119], "end"])
+    a, b, c = (" ".join(ws) for ws in prose)
+    rows = [(1, a)] * 16 + [(2, near(prose[0])), (3, b), (3, c), (4, near(prose[1])), (5, near(prose[2]))]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    got = {r["doc"]: r["component"] for r in shingle_join.link_table(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3}
