@@ -1,7 +1,6 @@
 """Language ID, pieces, surrogates, decontamination, near vectors and the pipeline."""
 
 import random
-import re
 
 import numpy as np
 import pytest
@@ -9,7 +8,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import decontaminate, language, near_vectors, pieces, registry, shingle_join, surrogates
+from tessella.llm import decontaminate, language, near_vectors, pieces, registry, shingle_join
 
 from .helpers import components, corpus, frame, saved
 
@@ -114,40 +113,6 @@ def test_language_without_labels(spark):
     assert language.identify(df, None).first()["language__pred"] == "und"
 
 
-# surrogates
-
-
-def test_surrogates(spark):
-    rows = [
-        (1, "Mail Anna.B@Mail7.Example.com or anna.b@mail7.example.com, call +1 (017) 555-7713; +1-017-555-7713. ip 10.2.3.4 card 4111 1111 1111 1111 and 4111111111111111 end"),
-        (2, 'Frau Anna Schmidt met Mrs. Schmidt and FRAU. Госпожа Анна Иванова; SSN 123-45-6789 TOKEN = "87E15D78B9D8EF29B6C10061E3551A60FA07E990"'),
-        (3, None), (4, ""), (5, "Clean text 12 and 3.14, version 3. Don Quixote, 2024-01-02."), (2, "again anna.b@mail7.example.com"),
-    ]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    out = [(r["doc_id"], r["text"], r["pii__count"]) for r in surrogates.replace_entities(df, "k").collect()]
-    by = {(i, n): t for i, t, n in out}
-    one = by[1, 7]
-    m = re.fullmatch(r"Mail (\S+) or (\S+), call (\+1 \(\d{3}\) \d{3}-\d{4}); (\+1-\d{3}-\d{3}-\d{4})\. ip (\d+\.\d+\.\d+\.\d+) card (\d{4} \d{4} \d{4} \d{4}) and (\d{16}) end", one)
-    assert m and m[1].lower() == m[2] and m[1][0].isupper() and re.sub(r"\D", "", m[3]) == re.sub(r"\D", "", m[4]) and m[6].replace(" ", "") == m[7]
-    luhn = sum(d if k % 2 == 0 else (d * 2 - 9 if d > 4 else d * 2) for k, d in enumerate(map(int, reversed(m[7]))))
-    assert luhn % 10 == 0
-    assert by[2, 1] == f"again {m[2]}"  # the same entity in another document
-    two = next(t for i, t, n in out if i == 2 and n > 1)
-    names = re.match(r"Frau (\w+) (\w+) met Mrs\. (\w+) and FRAU\. Госпожа ([а-яА-Я]+) ([а-яА-Я]+); SSN (\d{3}-\d{2}-\d{4}) TOKEN = \"([0-9A-F]{40})\"", two)
-    assert names and names[2] == names[3] and names[1].endswith("a") and names[4].endswith("а") and "Schmidt" not in two
-    assert by[3, 0] is None and by[4, 0] == "" and by[5, 0] == rows[4][1]
-    assert surrogates.replace_entities(df, "other").where("doc_id = 1").first()["text"] != one
-    assert surrogates.replace_entities(df.limit(0), "k").count() == 0
-
-
-def test_surrogates_stay_distinct(spark):
-    """One-digit hosts: draws collide with each other and with entities, and are drawn again."""
-    mails = [f"{a}@b.example.com" for a in "abcdefghijklmnopqr"]
-    df = spark.createDataFrame([(k, f"x {m} y") for k, m in enumerate(mails)], "doc_id long, text string")
-    got = [r["text"].split()[1] for r in surrogates.replace_entities(df, "k").collect()]
-    assert len(set(got)) == len(mails) and not set(got) & set(mails)
-
-
 # decontamination
 
 
