@@ -14,8 +14,8 @@ Minimizers and suffixes that repeat inside one stretch of documents are settled
 on once, so a passage in a third of all documents arrives as often as there are stretches.
 
 Results in odd cases: a null or empty text has no bytes; texts shorter than 50 bytes lose
-nothing; documents with equal ids never match each other, and rows that repeat an id and text
-are alike; a null id matches nothing; very long texts are read whole; extra columns pass
+nothing; documents with equal ids never match each other, each text under an id loses its own
+matches, and rows that repeat an id and text are alike; a null id matches nothing; very long texts are read whole; extra columns pass
 through; an empty table gives an empty table.
 """
 
@@ -30,14 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle
+from .common import settle, sliced
 
 LENGTH, GRAM = 50, 20
 #: Suffixes of a batch; bytes of text for each shard of minimizers and of suffixes; bytes of a stretch.
 BATCH, PER_BUCKET, PER_SHARD, STRETCH = 200_000, 8 << 20, 4 << 20, 4 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
-_POST = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("nth", "<u4")])
-_SEGMENT = np.dtype([("doc", "<i8"), ("start", "<i8"), ("windows", "<i4")])
+#: A text is known by its document's id and its hash (key), so texts under one id stay apart.
+_POST = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("nth", "<u4")])
+_SEGMENT = np.dtype([("doc", "<i8"), ("key", "<i8"), ("start", "<i8"), ("windows", "<i4")])
 
 
 def minimizers(text: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,42 +75,44 @@ def _raw(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[np.ndarray], int]]:
-    """Ids, bytes and first row of stretches of about STRETCH bytes."""
-    ids, texts, held, start = [], [], 0, 0
-    for k, (i, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-        ids.append(i)
-        texts.append(_raw(t))
-        held += len(texts[-1])
-        if held >= STRETCH:
-            yield ids, texts, start
-            ids, texts, held, start = [], [], 0, k + 1
-    if ids:
-        yield ids, texts, start
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+    """The columns (.., text as bytes) of stretches of about STRETCH bytes; the text is the last."""
+    columns, held = None, 0
+    for batch in sliced(batches):
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            text = _raw(row[-1])
+            columns = columns or [[] for _ in row]
+            for column, value in zip(columns, (*row[:-1], text), strict=True):
+                column.append(value)
+            held += len(text)
+            if held >= STRETCH:
+                yield columns
+                columns, held = None, 0
+    if columns:
+        yield columns
 
 
 def _posted(buckets: int):
-    """Minimizers of documents: rows (bucket, postings) for those met in one document of a
-    stretch, one posting for those met in several, whose documents are told at once (known)."""
+    """Minimizers of texts (doc, key, text): rows (bucket, postings) for those met in one document
+    of a stretch, one posting for those met in several, whose texts are told at once (known)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, texts, _ in _stretches(batch):
-                parts = []
-                for i, text in zip(ids, texts, strict=True):
-                    h, _, _ = minimizers(text)
-                    rows = np.empty(len(h), _POST)
-                    rows["hash"], rows["doc"], rows["nth"] = h, i, np.arange(len(h))
-                    parts.append(rows)
-                rows = np.concatenate(parts)
-                rows = rows[np.lexsort((rows["doc"], rows["hash"]))]
-                first, several = _groups(rows)
-                group = np.cumsum(first) - 1
-                send = rows[first | ~several[group]]
-                told = rows[several[group]]
-                out = [(b, s.tobytes(), False) for b, s in _dealt(send, send["hash"] % np.uint64(buckets))]
-                out += [(b, s.tobytes(), True) for b, s in _dealt(told, told["doc"].astype(np.uint64) % np.uint64(buckets))]
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.bool_())], names=["bucket", "rows", "known"])
+        for ids, keys, texts in _stretches(batches):
+            parts = []
+            for i, key, text in zip(ids, keys, texts, strict=True):
+                h, _, _ = minimizers(text)
+                rows = np.empty(len(h), _POST)
+                rows["hash"], rows["doc"], rows["key"], rows["nth"] = h, i, key, np.arange(len(h))
+                parts.append(rows)
+            rows = np.concatenate(parts)
+            rows = rows[np.lexsort((rows["doc"], rows["hash"]))]
+            first, several = _groups(rows)
+            group = np.cumsum(first) - 1
+            send = rows[first | ~several[group]]
+            told = rows[several[group]]
+            out = [(b, s.tobytes(), False) for b, s in _dealt(send, send["hash"] % np.uint64(buckets))]
+            out += [(b, s.tobytes(), True) for b, s in _dealt(told, told["key"].astype(np.uint64) % np.uint64(buckets))]
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.bool_())], names=["bucket", "rows", "known"])
 
     return run
 
@@ -131,14 +134,14 @@ def _dealt(rows: np.ndarray, to: np.ndarray) -> list[tuple[int, np.ndarray]]:
 
 
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(doc, place in its list of minimizers) for all minimizers met in several documents."""
+    """(doc, key, place in its list of minimizers) for all minimizers met in several documents."""
     told = [np.frombuffer(r, _POST) for r, known in zip(pdf["rows"], pdf["known"], strict=True) if known]
     rows = np.concatenate([np.frombuffer(r, _POST) for r, known in zip(pdf["rows"], pdf["known"], strict=True) if not known] or [np.empty(0, _POST)])
     rows = rows[np.lexsort((rows["doc"], rows["hash"]))]
     first, several = _groups(rows)
     found = np.concatenate([rows[several[np.cumsum(first) - 1]] if len(rows) else rows, *told])
     found = found[np.argsort(found["doc"], kind="stable")]
-    return pd.DataFrame({"doc": found["doc"], "nth": found["nth"].astype(np.int32)})
+    return pd.DataFrame({"doc": found["doc"], "key": found["key"], "nth": found["nth"].astype(np.int32)})
 
 
 def _keys(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -195,19 +198,21 @@ def matched(docs: np.ndarray, keys: np.ndarray, batch: int = BATCH) -> np.ndarra
     return out
 
 
-def _runs(segments: np.ndarray, flags: np.ndarray) -> list[tuple[int, bytes]]:
-    """(doc, packed (start, end) of covered bytes) of windows flagged in segments."""
+def _runs(segments: np.ndarray, flags: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """(doc, key, packed (start, end) of covered bytes) of windows flagged in segments."""
     at = np.repeat(segments["start"], segments["windows"]) + _within(segments["windows"])
-    doc = np.repeat(segments["doc"], segments["windows"])
-    at, doc = at[flags], doc[flags]
-    order = np.lexsort((at, doc))
-    at, doc = at[order], doc[order]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else np.empty(0, bool)
-    first = np.flatnonzero(new)
-    last = np.concatenate([first[1:], [len(at)]]) - 1 if len(at) else first
+    doc, key = (np.repeat(segments[c], segments["windows"])[flags] for c in ("doc", "key"))
+    at = at[flags]
+    order = np.lexsort((at, key, doc))
+    at, doc, key = at[order], doc[order], key[order]
+    if not len(at):
+        return []
+    text = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])
+    first = np.flatnonzero(text | np.concatenate([[True], at[1:] != at[:-1] + 1]))
+    last = np.concatenate([first[1:], [len(at)]]) - 1
     pairs = np.stack([at[first], at[last] + LENGTH], axis=1).astype(np.int64)
-    docs, cut = np.unique(doc[first], return_index=True)
-    return [(int(d), p.tobytes()) for d, p in zip(docs, np.split(pairs, cut[1:]), strict=True)] if len(docs) else []
+    cut = np.flatnonzero(text[first])
+    return [(int(doc[first[c]]), int(key[first[c]]), p.tobytes()) for c, p in zip(cut, np.split(pairs, cut[1:]), strict=True)]
 
 
 def _within(counts: np.ndarray) -> np.ndarray:
@@ -217,40 +222,37 @@ def _within(counts: np.ndarray) -> np.ndarray:
 
 
 def _sent(shards: int):
-    """Strings under shared minimizers: rows (shard, segments, text) for the segments with a
-    string that no smaller document of the stretch holds, and covered runs (known) for the rest."""
+    """Texts (doc, key, nths, text) to the strings under shared minimizers: rows (shard, segments,
+    bytes) for the segments with a string that no smaller document of the stretch holds, and
+    covered runs (known; bytes with their doc and key) for the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(2)
-            offsets, places = lists.offsets.to_numpy(), lists.values.to_numpy()
-            for ids, texts, at in _stretches(batch):
-                order = np.argsort(np.array(ids), kind="stable")
-                segments, hashes, pieces = [], [], []
-                for k in order:
-                    h, first, last = minimizers(texts[k])
-                    nth = np.unique(places[offsets[at + k] : offsets[at + k + 1]])
-                    nth = nth[nth < len(h)]
-                    own = np.empty(len(nth), _SEGMENT)
-                    own["doc"], own["start"], own["windows"] = ids[k], first[nth], last[nth] - first[nth] + 1
-                    segments.append(own)
-                    hashes.append(h[nth])
-                    pieces += [texts[k][a : b + LENGTH] for a, b in zip(first[nth], last[nth], strict=True)]
-                segments, hashes = np.concatenate(segments), np.concatenate(hashes)
-                if not len(segments):
-                    continue
-                text = np.concatenate(pieces)
-                begins = np.cumsum(segments["windows"] + LENGTH - 1) - (segments["windows"] + LENGTH - 1)
-                keys = _keys(text, np.repeat(begins, segments["windows"]) + _within(segments["windows"]))
-                flags = matched(np.repeat(segments["doc"], segments["windows"]), keys)
-                out = [(-1, None, p, d) for d, p in _runs(segments, flags)]
-                fresh = np.add.reduceat(~flags, np.cumsum(segments["windows"]) - segments["windows"]) > 0
-                numbers = np.flatnonzero(fresh)
-                for shard, chosen in _dealt(numbers, hashes[numbers] % np.uint64(shards)):
-                    out.append((shard, segments[chosen].tobytes(), b"".join(pieces[c].tobytes() for c in chosen), 0))
-                # what is known already passes through the shards
-                out = [(o[3] % shards if o[0] < 0 else o[0], *o[1:]) for o in out]
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary()), pa.array([o[3] for o in out], pa.int64())], names=["shard", "segments", "bytes", "doc"])
+        for ids, keys, places, texts in _stretches(batches):
+            order = np.argsort(np.array(ids), kind="stable")
+            segments, hashes, pieces = [], [], []
+            for k in order:
+                h, first, last = minimizers(texts[k])
+                nth = np.unique(np.array(places[k], np.int64))
+                own = np.empty(len(nth), _SEGMENT)
+                own["doc"], own["key"], own["start"], own["windows"] = ids[k], keys[k], first[nth], last[nth] - first[nth] + 1
+                segments.append(own)
+                hashes.append(h[nth])
+                pieces += [texts[k][a : b + LENGTH] for a, b in zip(first[nth], last[nth], strict=True)]
+            segments, hashes = np.concatenate(segments), np.concatenate(hashes)
+            if not len(segments):
+                continue
+            text = np.concatenate(pieces)
+            begins = np.cumsum(segments["windows"] + LENGTH - 1) - (segments["windows"] + LENGTH - 1)
+            suffixes = _keys(text, np.repeat(begins, segments["windows"]) + _within(segments["windows"]))
+            flags = matched(np.repeat(segments["doc"], segments["windows"]), suffixes)
+            # what is known already passes through the shards
+            out = [(key % shards, None, p, d, key) for d, key, p in _runs(segments, flags)]
+            fresh = np.add.reduceat(~flags, np.cumsum(segments["windows"]) - segments["windows"]) > 0
+            numbers = np.flatnonzero(fresh)
+            for shard, chosen in _dealt(numbers, hashes[numbers] % np.uint64(shards)):
+                out.append((shard, segments[chosen].tobytes(), b"".join(pieces[c].tobytes() for c in chosen), 0, 0))
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["shard", "segments", "bytes", "doc", "key"])
 
     return run
 
@@ -258,7 +260,7 @@ def _sent(shards: int):
 def _found(pdf: pd.DataFrame) -> pd.DataFrame:
     """Covered runs of the documents of a shard."""
     known = pdf["segments"].isna()
-    out = list(zip(pdf["doc"][known], pdf["bytes"][known], strict=True))
+    out = list(zip(pdf["doc"][known], pdf["key"][known], pdf["bytes"][known], strict=True))
     rest = pdf[~known]
     if len(rest):
         segments = np.concatenate([np.frombuffer(s, _SEGMENT) for s in rest["segments"]])
@@ -269,12 +271,12 @@ def _found(pdf: pd.DataFrame) -> pd.DataFrame:
         segments, begins = segments[order], begins[order]
         starts = np.repeat(begins, segments["windows"]) + _within(segments["windows"])
         out += _runs(segments, matched(np.repeat(segments["doc"], segments["windows"]), _keys(text, starts)))
-    return pd.DataFrame({"doc": [o[0] for o in out], "runs": [o[1] for o in out]})
+    return pd.DataFrame({"doc": [o[0] for o in out], "key": [o[1] for o in out], "runs": [o[2] for o in out]})
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removes covered runs: from rows (.., text, runs, whole) to (.., text, bytes, removed, spans)."""
-    for batch in batches:
+    for batch in sliced(batches, 128):
         n = batch.num_columns - 3
         kept, sizes, removed, spans = [], [], [], []
         for text, runs, whole in zip(*(batch.column(n + k).to_pylist() for k in range(3)), strict=True):
@@ -285,7 +287,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cover[0] = 1
             elif runs:
                 pairs = np.concatenate([np.frombuffer(r, np.int64) for r in runs]).reshape(-1, 2)
-                pairs = pairs[pairs[:, 1] <= len(raw)]
                 np.add.at(cover, pairs[:, 0], 1)
                 np.add.at(cover, pairs[:, 1], -1)
             gone = np.cumsum(cover[:-1]) > 0
@@ -306,23 +307,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = settle(marked.select("doc", *hashes, F.octet_length("text").alias("size")).groupBy(*hashes).agg(F.min("doc").alias("least"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n")))
     total = copies.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
     buckets, shards = max(12, -(-total // PER_BUCKET)), max(12, -(-total // PER_SHARD))
-    posted = base.where(F.octet_length("text") >= LENGTH).mapInArrow(_posted(buckets), "bucket int, rows binary, known boolean")
-    shared = settle(posted.groupBy("bucket").applyInPandas(_shared, "doc long, nth int"))
-    places = shared.groupBy("doc").agg(F.collect_list("nth").alias("nths"))
-    firsts = copies.select(F.col("least").alias("doc"), *[F.col(h).alias(f"{h}_") for h in hashes])
+    own = marked.where(F.octet_length("text") >= LENGTH).select("doc", F.col("suffix__h").alias("key"), "text")
+    shared = settle(own.mapInArrow(_posted(buckets), "bucket int, rows binary, known boolean").groupBy("bucket").applyInPandas(_shared, "doc long, key long, nth int"))
+    places = shared.groupBy("doc", "key").agg(F.collect_list("nth").alias("nths"))
+    firsts = copies.select(F.col("least").alias("doc"), F.col("suffix__h").alias("key"), F.col("suffix__g").alias("suffix__g_"))
     # one small table decides which texts take part, so the texts move once
-    chosen = marked.join(places.join(firsts, "doc"), "doc").where("suffix__h = suffix__h_ and suffix__g = suffix__g_").select("doc", "text", "nths")
-    sent = chosen.mapInArrow(_sent(shards), "shard int, segments binary, bytes binary, doc long")
-    found = settle(sent.groupBy("shard").applyInPandas(_found, "doc long, runs binary"))
-    runs = found.groupBy(F.col("doc").alias("suffix__doc")).agg(F.collect_list("runs").alias("suffix__runs"))
+    chosen = marked.withColumnRenamed("suffix__h", "key").join(places.join(firsts, ["doc", "key"]), ["doc", "key"]).where("suffix__g = suffix__g_").select("doc", "key", "nths", "text")
+    sent = chosen.mapInArrow(_sent(shards), "shard int, segments binary, bytes binary, doc long, key long")
+    found = settle(sent.groupBy("shard").applyInPandas(_found, "doc long, key long, runs binary"))
+    runs = found.groupBy(F.col("doc").alias("suffix__doc"), F.col("key").alias("suffix__h")).agg(F.collect_list("runs").alias("suffix__runs"))
     # copies of an earlier document go whole; their ids, not their texts, meet the hashes
     ids = docs.select(ident.alias("suffix__of"), F.xxhash64(text).alias("suffix__h"), F.xxhash64(F.lit(1), text).alias("suffix__g")).where("suffix__of is not null")
-    whole = ids.join(copies.where("n > 1").select(*hashes, "least"), hashes).where("suffix__of > least").select("suffix__of", *hashes, F.lit(True).alias("suffix__whole")).distinct()
-    facts = settle(whole.select(F.col("suffix__of").alias("suffix__doc"), *hashes, "suffix__whole", F.lit(None).cast("array<binary>").alias("suffix__runs")).union(
-        runs.join(firsts.withColumnRenamed("doc", "suffix__doc"), "suffix__doc").select("suffix__doc", *[F.col(f"{h}_") for h in hashes], F.lit(False), "suffix__runs")))
-    facts = facts.select("suffix__doc", *[F.col(h).alias(f"{h}_") for h in hashes], "suffix__whole", "suffix__runs")
-    rows = docs.withColumns({"suffix__id": ident, "suffix__h": F.xxhash64(text), "suffix__g": F.xxhash64(F.lit(1), text)})
-    joined = rows.join(facts, (F.col("suffix__id") == F.col("suffix__doc")) & (F.col("suffix__h") == F.col("suffix__h_")) & (F.col("suffix__g") == F.col("suffix__g_")), "left")
+    whole = ids.join(copies.where("n > 1").select(*hashes, "least"), hashes).where("suffix__of > least").select(F.col("suffix__of").alias("suffix__doc"), "suffix__h").distinct()
+    facts = settle(whole.select("suffix__doc", "suffix__h", F.lit(True).alias("suffix__whole"), F.lit(None).cast("array<binary>").alias("suffix__runs")).union(runs.select("suffix__doc", "suffix__h", F.lit(False), "suffix__runs")))
+    facts = facts.withColumnRenamed("suffix__h", "suffix__h_")
+    rows = docs.withColumns({"suffix__id": ident, "suffix__h": F.xxhash64(text)})
+    joined = rows.join(facts, (F.col("suffix__id") == F.col("suffix__doc")) & (F.col("suffix__h") == F.col("suffix__h_")), "left")
     own = [F.col(f"`{c}`") for c in docs.columns]
     last = joined.select(*own, text.alias("suffix__text"), "suffix__runs", "suffix__whole")
     fields = [T.StructField("suffix__kept", T.BinaryType()), *(T.StructField(f"suffix__{c}", T.LongType()) for c in ("bytes", "removed", "spans"))]
