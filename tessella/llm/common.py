@@ -69,6 +69,18 @@ def drop_step(df: DataFrame) -> None:
     jvm.System.gc()
 
 
+_kept: dict = {}
+
+
+def only(key, build):
+    """``build()``, which a reused Python worker keeps for ``key`` until another key is asked for:
+    a worker holds one operator's tables at a time."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
 def sliced(batches, rows: int = 512):
     """Arrow batches cut to a few rows, so that few texts are Python objects at a time."""
     for batch in batches:

@@ -17,18 +17,20 @@ set finds nothing.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, words
+from .common import only, settle, sliced, words
 
-#: Bytes of an item for each edit allowed; bytes of test items in a block.
-BYTES_PER_EDIT, BLOCK = 20, 8 << 20
+#: Bytes of an item for each edit allowed; bytes of test items in a block (some fifty times as much
+#: as an automaton); rows that are searched at a time.
+BYTES_PER_EDIT, BLOCK, ROWS = 20, 2 << 20, 128
 
 
 def normal(text: str | None) -> str:
@@ -124,23 +126,21 @@ class Searcher:
         return out
 
 
-@lru_cache(maxsize=1)
-def _searcher(items: tuple, per_edit: int) -> Searcher:
-    return Searcher(list(items), per_edit)
-
-
 _ITEM = T.ArrayType(T.LongType())
 _FOUND = ("decontaminate__items", "decontaminate__edits", "decontaminate__starts", "decontaminate__ends")
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, per_edit: int = BYTES_PER_EDIT, block: int = BLOCK, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` plus four parallel arrays, empty for a clean row: the ids of the items found,
-    their edits, and where they begin and end in the normalised text."""
+    their edits, and where they begin and end in the normalised text.
+
+    A test set of one block is one pass without a shuffle. Of a larger one every block is a pass
+    that returns only what it found, by the hashes of the texts, and ``docs`` meet that once."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("id"), F.col(f"`{item_text_col}`").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block) or 1
-    names, out = docs.columns, docs
+    shipped = []
     for number in range(blocks):
         # about block bytes by the hash of the text, so equal items share a block
         rows = items.where(F.pmod(F.xxhash64(F.lower("text")), F.lit(blocks)) == number).collect()
@@ -148,28 +148,32 @@ def find_items(docs: DataFrame, benchmark: DataFrame, per_edit: int = BYTES_PER_
         for ident, text in sorted(((r["id"], normal(r["text"])) for r in rows), key=lambda x: (x[0] is None, x[0] or 0)):
             if text:
                 least.setdefault(text, ident)
-        shipped = spark.sparkContext.broadcast(tuple((i, t) for t, i in least.items()))
-        out = _search(out, names, shipped, per_edit, text_col)
-        if number + 1 < blocks:
-            out = settle(out)
-    return out
-
-
-def _search(docs: DataFrame, names: list[str], shipped, per_edit: int, text_col: str) -> DataFrame:
-    fields = [docs.schema[c] for c in names]
-    earlier = [c for c in docs.columns if c in _FOUND and c not in names]
-    frame = docs.select(*[F.col(f"`{c}`") for c in [*names, *earlier]], F.col(f"`{text_col}`").cast("string").alias("decontaminate__text"))
-    schema = T.StructType([*fields, *(T.StructField(c, _ITEM) for c in _FOUND)])
+        shipped.append(spark.sparkContext.broadcast(tuple((i, t) for t, i in least.items())))
+    text = F.col(f"`{text_col}`").cast("string")
+    if blocks == 1:
+        return _search(docs, text, shipped[0], per_edit)
+    keys = {"decontaminate__h": F.xxhash64(text), "decontaminate__g": F.xxhash64(F.lit(1), text)}
+    texts = docs.where(F.length(text) > 0).select(text.alias("decontaminate__whole"))
+    hits = [_search(texts, F.col("decontaminate__whole"), s, per_edit).where(F.size(_FOUND[0]) > 0) for s in shipped]
+    parts = settle(reduce(DataFrame.union, [h.select(F.xxhash64("decontaminate__whole").alias("decontaminate__x"), F.xxhash64(F.lit(1), F.col("decontaminate__whole")).alias("decontaminate__y"), F.lit(k).alias("block"), *_FOUND) for k, h in enumerate(hits)]))
+    once = parts.dropDuplicates(["decontaminate__x", "decontaminate__y", "block"])
+    merged = once.groupBy("decontaminate__x", "decontaminate__y").agg(F.array_sort(F.collect_list(F.struct("block", *_FOUND))).alias("decontaminate__all"))
+    joined = docs.withColumns(keys).join(merged, (F.col("decontaminate__h") == F.col("decontaminate__x")) & (F.col("decontaminate__g") == F.col("decontaminate__y")), "left")
+    lists = [F.coalesce(F.flatten(F.col(f"decontaminate__all.{c}")), F.array().cast("array<bigint>")).alias(c) for c in _FOUND]
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], *lists)
+
+
+def _search(docs: DataFrame, text: Column, shipped, per_edit: int) -> DataFrame:
+    frame = docs.select(*[F.col(f"`{c}`") for c in docs.columns], text.alias("decontaminate__text"))
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, _ITEM) for c in _FOUND)])
+    key = ("items", uuid.uuid4().hex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = _searcher(shipped.value, per_edit)
-        for batch in batches:
+        searcher = only(key, lambda: Searcher(list(shipped.value), per_edit))
+        for batch in sliced(batches, ROWS):
             found = [searcher.search(normal(t)) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            if earlier:
-                before = zip(*(batch.column(len(names) + k).to_pylist() for k in range(4)))
-                found = [[*zip(*b), *f] for b, f in zip(before, found, strict=True)]
             arrays = [pa.array([[x[k] for x in f] for f in found], pa.list_(pa.int64())) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *arrays], names=[*names, *_FOUND])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*batch.schema.names[:-1], *_FOUND])
 
     return frame.mapInArrow(run, schema)
 

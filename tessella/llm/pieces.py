@@ -18,7 +18,6 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import only
+
 META = "▁"
-#: Entries of a worker's memory of units; it is emptied when full.
-UNITS_KEPT = 300_000
+#: Bytes of a worker's memory of units, which is emptied when full; characters of a unit that it
+#: takes; what an entry takes besides its characters and pieces.
+MEMORY, UNIT, ENTRY = 24 << 20, 48, 200
 #: Rows and characters of an output batch.
-ROWS, CHARS = 512, 4_000_000
+ROWS, CHARS = 256, 1_000_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _BPE, _NONE = 2, 1 << 40
 
@@ -97,6 +99,7 @@ class Pieces:
         self.cut = re.compile(f"{unit}|{line}" if line else unit, re.DOTALL).findall
         self.surface = [b"" if p.type == _CONTROL else self.unknown_surface if p.type == _UNKNOWN else bytes([int(p.piece[3:5], 16)]) if p.type == _BYTE else p.piece.replace(META, " ").encode() for p in proto.pieces]
         self.memory: dict[str, bytes] = {}
+        self.held = 0
 
     def normalise(self, text: str) -> tuple[str, list[int] | None]:
         """The normalised text, and for each of its characters and its end the source byte it
@@ -192,11 +195,15 @@ class Pieces:
                 part = unit[at : at + n]
                 lengths[k] = len(part.encode()) - 2 * part.count(META)
                 at += n
-        if len(self.memory) >= UNITS_KEPT:
-            self.memory.clear()
         pairs = array("i", ids + lengths)
         pairs[0::2], pairs[1::2] = array("i", ids), array("i", lengths)
-        found = self.memory[unit] = pairs.tobytes()
+        found = pairs.tobytes()
+        if len(unit) <= UNIT:  # longer ones rarely come again
+            if self.held >= MEMORY:
+                self.memory.clear()
+                self.held = 0
+            self.memory[unit] = found
+            self.held += ENTRY + 4 * len(unit) + len(found)
         return found
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -250,11 +257,6 @@ class Pieces:
             return "".join(out)
 
 
-@lru_cache(maxsize=2)
-def _loaded(model: bytes) -> Pieces:
-    return Pieces(model)
-
-
 def encode_documents(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
     """``docs`` plus ``pieces__ids`` and ``pieces__ends`` (array<int>; a piece spans the source
     bytes from the end before it to its own) and ``pieces__decoded``, the text of the ids."""
@@ -263,7 +265,7 @@ def encode_documents(docs: DataFrame, model: bytes, text_col: str = "text") -> D
     schema = T.StructType([*docs.schema.fields, T.StructField("pieces__ids", T.ArrayType(T.IntegerType())), T.StructField("pieces__ends", T.ArrayType(T.IntegerType())), T.StructField("pieces__decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _loaded(model)
+        pieces = only(("pieces", model), lambda: Pieces(model))
         for batch in batches:
             texts, start = batch.column(batch.num_columns - 1), 0
             while start < batch.num_rows:
