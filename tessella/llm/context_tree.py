@@ -6,14 +6,15 @@ of both outcomes, Krichevsky-Trofimov estimates, and the weight that context-tre
 gives the node's own estimate against all deeper ones. The probability of a decision mixes the
 estimates along its path; a context that was never seen takes over its parent's estimate.
 
-The whole tree takes part, whatever its size. Documents are dealt into stretches; a stretch's
-distinct grams and their counts are packed by the slot of their two nearest bytes. The tree falls
-apart below these, so a slot has all nodes it needs with contexts of 2 to ``DEPTH`` bytes: it is
-first asked for the weights of its topmost nodes, from which those of the 65 535 decisions at most
-with one byte or none of context follow (these are broadcast), and then for the probability of
-every gram that a stretch has asked for. The answers meet the texts of their stretch by a merge.
-Word counts for the base score are not broadcast but for the words that make up at least a 2^-16
-part of the tokens (so 2^16 words at most); the others are joined.
+The whole tree takes part, whatever its size, and no part of it is one task. Documents are dealt
+into stretches. A stretch tells its distinct grams (``DEPTH`` bytes and the next) and words, each
+once with the number of times that it is learned from; these are summed over the stretches as
+they are shuffled, so a gram of every text is as many rows as there are stretches. The tree falls
+apart below the two nearest bytes, and below the third where two bytes have many grams: what
+shares them is a slot. Slots first tell what their nodes add to the nodes of two bytes, from which
+those of one byte and none follow (65 535 at most, which are broadcast); then each slot, with its
+nodes of two bytes, answers with the probabilities of its grams. Answers for grams and words join
+what the stretches have asked, and meet the texts of their stretch by one exchange of the texts.
 
 Results in odd cases: a null or empty text has the end as its only token; with nothing to learn
 from, every decision has probability 1/2 and the base score is 0 for each token; repeated ids
@@ -34,20 +35,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_step, fold, settle, sliced, words
-
-DEPTH, TABLE_BITS = 5, 22
-#: Parts of a table of one tree; characters that are looked at together; places of a worker's
-#: memory of grams already scored; rows of an output batch; grams held before they are summed.
-PARTS, STRETCH, MEMORY_BITS, ROWS, COUNTED = 32, 400_000, 20, 1000, 1_500_000
-#: Characters of a stretch of documents; tokens for each slot; slots at most; places by which a
-#: stretch finds its grams at once (the others by search).
-SPAN, PER_SLOT, SLOTS, PLACES_BITS = 24_000_000, 100_000, 4096, 21
-#: A word is broadcast if it makes up at least one 2^-16 part of all tokens.
-COMMON = 1 << 16
+from .common import fold, settle, sliced, words
+
+DEPTH = 5
+#: Characters that are looked at together; rows of a batch; grams held before they are summed.
+STRETCH, ROWS, COUNTED = 400_000, 1000, 1_500_000
+#: Characters of a stretch of documents, and stretches at most (beyond, neighbours are one);
+#: grams of a slot; places by which a stretch finds its grams at once (the others by search);
+#: answers packed at a time; stretches whose numbers are broadcast (16 bytes each; beyond, joined).
+SPAN, STRETCHES, PER_SLOT, PLACES_BITS, PACKED, NUMBERS = 24_000_000, 1 << 16, 30_000, 21, 1_000_000, 1 << 20
 END = b"\n"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_NODE = np.dtype([("place", "<u4"), ("tag", "<u2"), ("seen", "<u4"), ("one", "<f4"), ("own", "<f4")])
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -93,69 +91,6 @@ def _stretches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _near_slot(gram: np.ndarray, slots: int) -> np.ndarray:
-    """Slot of a gram, by its two nearest bytes of context."""
-    x = (gram >> np.uint64(8) & np.uint64(0xFFFF)) * _MIX
-    return ((x ^ x >> np.uint64(31)) % np.uint64(slots)).astype(np.int32)
-
-
-def _ask(slots: int):
-    """Rows (row, stretch, learn, text) to (slot, stretch, grams, n): the distinct grams of a
-    stretch and how often they are learned from there, in bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, held, current = [], 0, None
-
-        def summed() -> None:
-            nonlocal found, held
-            code, (n,) = _sum_by(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
-            found, held = [(code, n)], 0
-
-        def packed() -> Iterator[pa.RecordBatch]:
-            nonlocal found
-            if found:
-                summed()
-                (code, n), found = found[0], []
-                slot = _near_slot(code, slots)
-                order = np.argsort(slot, kind="stable")
-                numbers, first = np.unique(slot[order], return_index=True)
-                cut = lambda x: [p.tobytes() for p in np.split(x[order], first[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(np.full(len(numbers), current), pa.int64()), pa.array(cut(code), pa.binary()), pa.array(cut(n.astype(np.uint32)), pa.binary())], names=["slot", "stretch", "grams", "n"])
-
-        for batch in sliced(batches):
-            stretches, learned, texts = (batch.column(k).to_pylist() for k in (1, 2, 3))
-            start = 0
-            for stop in range(1, len(texts) + 1):
-                if stop < len(texts) and (stretches[stop], learned[stop]) == (stretches[start], learned[start]):
-                    continue
-                if stretches[start] != current:
-                    yield from packed()
-                    current, held = stretches[start], 0
-                for a, b in _stretches(texts[start:stop]):
-                    code, n = np.unique(grams(texts[start + a : start + b])[0], return_counts=True)
-                    found.append((code, n if learned[start] else np.zeros(len(code), np.int64)))
-                    held += len(code)
-                    if held >= COUNTED:
-                        summed()
-                start = stop
-        yield from packed()
-
-    return run
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-    for batch in sliced(batches):
-        for t in batch.column(0).to_pylist():
-            counts.update(words(t))
-            counts[END] += 1
-        if len(counts) > 200_000:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-            counts.clear()
-    if counts:
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-
-
 def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
@@ -163,23 +98,15 @@ def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.
     return keys[first], [np.add.reduceat(v[order], first) for v in values]
 
 
-def _address(depth: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place and tag of nodes; a key is the context's bytes, then the decision (1 and the bits so far)."""
-    x = (key + np.uint64(depth + 1)) * _MIX
-    x ^= x >> np.uint64(31)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    return (x >> np.uint64(64 - TABLE_BITS)).astype(np.uint32), (x & np.uint64(0xFFFF)).astype(np.uint16) | 1
+_ESTIMATE = np.dtype([("one", "<f4"), ("own", "<f4")])
 
 
-def _nodes(depth: int, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, deeper: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Table rows of nodes and their log weighted probabilities. ``deeper``: the sums of the
-    children's, None for leaves."""
+def _nodes(key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, deeper: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates and weights of nodes, and their log weighted probabilities. ``deeper``: the sums
+    of the children's, None for leaves."""
     block = kt_block(zeros, ones)
     total = block if deeper is None else np.logaddexp(block, deeper) - np.log(2)
-    rows = np.empty(len(key), _NODE)
-    rows["place"], rows["tag"] = _address(depth, key)
-    rows["seen"] = np.minimum(zeros + ones, 2**32 - 1)
+    rows = np.empty(len(key), _ESTIMATE)
     rows["one"] = (ones + 0.5) / (zeros + ones + 1.0)
     rows["own"] = 1.0 if deeper is None else np.exp(np.minimum(block - np.log(2) - total, 0))
     return rows, total
@@ -190,28 +117,10 @@ def _up(depth: int, key: np.ndarray) -> np.ndarray:
     return key & np.uint64((1 << 8 * depth) - 1)
 
 
-def _parts(rows: np.ndarray) -> pd.DataFrame:
-    part = rows["place"] // np.uint32((1 << TABLE_BITS) // PARTS)
-    order = np.argsort(part, kind="stable")
-    numbers, first = np.unique(part[order], return_index=True)
-    pieces = np.split(rows[order], first[1:])
-    return pd.DataFrame({"part": numbers.astype(np.int32), "rows": [p.tobytes() for p in pieces]})
-
-
-_STEP = "part int, rows binary, key long, zeros double, ones double, log double"
-
-
-def _with_rest(rows: np.ndarray, key: np.ndarray, zeros, ones, log) -> pd.DataFrame:
-    """Table parts, and the topmost nodes for the step above (rows without a part)."""
-    rest = pd.DataFrame({"part": None, "rows": None, "key": key.astype(np.int64), "zeros": zeros, "ones": ones, "log": log})
-    parts = _parts(rows).assign(key=None, zeros=None, ones=None, log=None)
-    return pd.concat([x.astype({"part": "Int32", "key": "Int64", "zeros": "float64", "ones": "float64", "log": "float64"}) for x in (parts, rest)], ignore_index=True)
-
-
 def _levels(gram: np.ndarray, n: np.ndarray) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], tuple]:
-    """All nodes with contexts of DEPTH to 2 bytes for grams that share the two nearest (or for
-    several such groups): keys in ascending order and table rows by depth; then key, zeros, ones
-    and log weighted probability of the topmost."""
+    """All nodes with contexts of DEPTH to 3 bytes for grams of which those that share the three
+    nearest are together: keys in ascending order with estimates by depth; then key, zeros, ones
+    and the sum of the log weighted probabilities below, for the nodes with two bytes."""
     byte, context = gram & np.uint64(255), gram >> np.uint64(8) << np.uint64(8)
     keys, bits = [], []
     for k in range(8):
@@ -219,30 +128,16 @@ def _levels(gram: np.ndarray, n: np.ndarray) -> tuple[dict[int, tuple[np.ndarray
         bits.append((byte >> np.uint64(7 - k) & np.uint64(1)).astype(bool))
     bit, n = np.concatenate(bits), np.tile(n.astype(float), 8)
     key, (zeros, ones) = _sum_by(np.concatenate(keys), np.where(bit, 0, n), np.where(bit, n, 0))
-    rows, log = _nodes(DEPTH, key, zeros, ones, None)
+    rows, log = _nodes(key, zeros, ones, None)
     levels = {DEPTH: (key, rows)}
     for depth in range(DEPTH - 1, 1, -1):
         key, (zeros, ones, log) = _sum_by(_up(depth + 1, key), zeros, ones, log)
-        rows, log = _nodes(depth, key, zeros, ones, log)
-        levels[depth] = key, rows
+        if depth > 2:
+            rows, log = _nodes(key, zeros, ones, log)
+            levels[depth] = key, rows
     return levels, (key, zeros, ones, log)
 
 
-def _below_two(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The nodes of ``_levels`` as parts of a table, and the topmost."""
-    levels, top = _levels(pdf["gram"].to_numpy().astype(np.uint64), pdf["n"].to_numpy())
-    return _with_rest(np.concatenate([rows for _, rows in levels.values()]), *top)
-
-
-def _one_up(depth: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, (zeros, ones, log) = _sum_by(_up(depth + 1, pdf["key"].to_numpy().astype(np.uint64)), *(pdf[c].to_numpy().astype(float) for c in ("zeros", "ones", "log")))
-        rows, log = _nodes(depth, key, zeros, ones, log)
-        return _with_rest(rows, key, zeros, ones, log)
-
-    return run
-
-
 class Tree:
     """log10 probabilities of grams under nodes that ``find(depth, key)`` gives: whether they are
     there, their estimates of a one, and the weights of these."""
@@ -273,42 +168,9 @@ class Tree:
         return total
 
 
-class Model(Tree):
-    """A tree in one table of 2^TABLE_BITS places that is large enough for it (nodes that meet in
-    a place put each other out, so ``score`` does not use it)."""
-
-    def __init__(self, tables: dict[str, np.ndarray]):
-        self.tag, self.one, self.own = (tables[name] for name in ("tag", "one", "own"))
-        self.grams = np.zeros(1 << MEMORY_BITS, np.uint64)
-        self.logs = np.zeros(1 << MEMORY_BITS, np.float32)
-        self.grams[0] = 1  # place 0 must not seem to hold gram 0
-
-    def find(self, depth: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        place, tag = _address(depth, key)
-        return self.tag[place] == tag, self.one[place], self.own[place]
-
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        """log10 probability of each text."""
-        out = []
-        for a, b in _stretches(texts):
-            code, starts = grams(texts[a:b])
-            place = ((code * _MIX) >> np.uint64(64 - MEMORY_BITS)).astype(np.int64)
-            logs = self.logs[place].astype(float)
-            new = np.flatnonzero(self.grams[place] != code)
-            if len(new):
-                fresh, back = np.unique(code[new], return_inverse=True)
-                found = self.gram_log10(fresh)
-                logs[new] = found[back]
-                place = ((fresh * _MIX) >> np.uint64(64 - MEMORY_BITS)).astype(np.int64)
-                place, first = np.unique(place, return_index=True)
-                self.grams[place], self.logs[place] = fresh[first], found[first]
-            out.append(np.add.reduceat(logs, starts))
-        return np.concatenate(out) if out else np.empty(0)
-
-
 class Slot(Tree):
-    """All nodes of a slot, and those with one byte of context or none (estimate and weight by
-    key; nan where there is no node)."""
+    """All nodes of a slot by depth (keys in ascending order, estimates), and those with one byte
+    of context or none (estimate and weight by key; nan where there is no node)."""
 
     def __init__(self, levels: dict[int, tuple[np.ndarray, np.ndarray]], upper: list[tuple[np.ndarray, np.ndarray]]):
         self.levels, self.upper = levels, upper
@@ -317,7 +179,7 @@ class Slot(Tree):
         if depth < 2:
             one, own = (x[key.astype(np.int64)] for x in self.upper[depth])
             return ~np.isnan(one), one, own
-        if depth not in self.levels:
+        if depth not in self.levels or not len(self.levels[depth][0]):
             none = np.zeros(len(key))
             return none > 0, none, none
         keys, rows = self.levels[depth]
@@ -325,177 +187,308 @@ class Slot(Tree):
         return keys[at] == key, rows["one"][at], rows["own"][at]
 
 
-def _merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct grams of a slot's rows, how often each is learned from, and the place among
-    them of each gram of the rows."""
-    code = np.frombuffer(b"".join(pdf["grams"]), np.uint64)
-    n = np.frombuffer(b"".join(pdf["n"]), np.uint32).astype(np.int64)
-    order = np.argsort(code, kind="stable")
-    new = np.concatenate([[True], code[order[1:]] != code[order[:-1]]])
-    back = np.empty(len(code), np.int64)
-    back[order] = np.cumsum(new) - 1
-    first = np.flatnonzero(new)
-    return code[order[first]], np.add.reduceat(n[order], first), back
+_ADDED = "key long, zeros double, ones double, log double"
+
+
+def _added(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What a slot's grams add to the nodes with two bytes of context."""
+    key, zeros, ones, log = _levels(pdf["gram"].to_numpy().astype(np.uint64), pdf["n"].to_numpy())[1]
+    return pd.DataFrame({"key": key.astype(np.int64), "zeros": zeros, "ones": ones, "log": log})
 
 
-def _topmost(pdf: pd.DataFrame) -> pd.DataFrame:
-    """What the nodes with two bytes of context add to each node with one."""
-    gram, n, _ = _merged(pdf)
-    if not n.any():
-        return pd.DataFrame({"key": [], "zeros": [], "ones": [], "log": []})
-    key, *values = _levels(gram[n > 0], n[n > 0])[1]
-    key, values = _sum_by(_up(2, key), *values)
-    return pd.DataFrame({"key": key.astype(np.int64), **dict(zip(("zeros", "ones", "log"), values, strict=True))})
+def _with_two(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Nodes with two bytes: estimate, weight, counts and log weighted probability."""
+    for pdf in batches:
+        zeros, ones = pdf["zeros"].to_numpy(), pdf["ones"].to_numpy()
+        rows, log = _nodes(pdf["key"].to_numpy(), zeros, ones, pdf["log"].to_numpy())
+        yield pd.DataFrame({"key": pdf["key"], "one": rows["one"], "own": rows["own"], "zeros": zeros, "ones": ones, "log": log})
 
 
 def _uppermost(key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, log: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Estimates and weights by key of the nodes without context, then of those with one byte."""
+    """Estimates and weights by key of the nodes without context, then of those with one byte,
+    from what those with two bytes add to the latter."""
     upper = []
     for depth in (1, 0):
         one, own = (np.full(1 << 8 * (depth + 1), np.nan, np.float32) for _ in range(2))
         if len(key):
-            key, (zeros, ones, log) = _sum_by(_up(depth + 1, key), zeros, ones, log)
-            rows, log = _nodes(depth, key, zeros, ones, log)
+            key, (zeros, ones, log) = _sum_by(key if depth else _up(1, key), zeros, ones, log)
+            rows, log = _nodes(key, zeros, ones, log)
             one[key.astype(np.int64)], own[key.astype(np.int64)] = rows["one"], rows["own"]
         upper.insert(0, (one, own))
     return upper
 
 
 def _answer(shipped):
-    """The rows of a slot to (stretch, grams, log10 of their probabilities)."""
+    """A slot's grams and nodes with two bytes to (gram, log10 of its probability)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        gram, n, back = _merged(pdf)
+    def run(grams_: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        gram, n = grams_["gram"].to_numpy().astype(np.uint64), grams_["n"].to_numpy()
+        if not len(gram):
+            return pd.DataFrame({"gram": [], "log": []})
         levels = _levels(gram[n > 0], n[n > 0])[0] if n.any() else {}
-        logs = Slot(levels, shipped.value).gram_log10(gram).astype(np.float32)[back]
-        stops = np.cumsum([len(g) // 8 for g in pdf["grams"]])
-        return pd.DataFrame({"stretch": pdf["stretch"], "grams": pdf["grams"], "logs": [x.tobytes() for x in np.split(logs, stops[:-1])]})
+        two = two.sort_values("key")
+        rows = np.empty(len(two), _ESTIMATE)
+        rows["one"], rows["own"] = two["one"], two["own"]
+        levels[2] = two["key"].to_numpy().astype(np.uint64), rows
+        return pd.DataFrame({"gram": grams_["gram"], "log": Slot(levels, shipped.value).gram_log10(gram).astype(np.float32)})
 
     return run
 
 
+def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, list, bool]]:
+    """Rows (stretch, learn, text) to runs (stretch, learn, texts, whether another stretch begins)."""
+    current = None
+    for batch in sliced(batches):
+        stretches, learned, texts = (c.to_pylist() for c in batch.columns)
+        start = 0
+        for stop in range(1, len(texts) + 1):
+            if stop < len(texts) and (stretches[stop], learned[stop]) == (stretches[start], learned[start]):
+                continue
+            yield stretches[start], learned[start], texts[start:stop], stretches[start] != current
+            current, start = stretches[start], stop
+
+
+def _ask_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (stretch, gram, n): the distinct grams of a stretch and how often they are learned from
+    there. Of a stretch whose rows lie in several tasks each tells its own."""
+    found, held, at = [], 0, None
+
+    def summed() -> None:
+        nonlocal found, held
+        code, (n,) = _sum_by(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+        found, held = [(code, n)], len(code) // 2
+
+    def told() -> Iterator[pa.RecordBatch]:
+        nonlocal found
+        if found:
+            summed()
+            (code, n), found = found[0], []
+            for k in range(0, len(code), 1 << 16):
+                part = slice(k, k + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code[part]), at, np.int32)), pa.array(code[part].astype(np.int64)), pa.array(n[part])], names=["stretch", "gram", "n"])
+
+    for stretch, learned, texts, new in _runs_of(batches):
+        if new:
+            yield from told()
+            at, held = stretch, 0
+        for a, b in _stretches(texts):
+            code, n = np.unique(grams(texts[a:b])[0], return_counts=True)
+            found.append((code, n if learned else np.zeros(len(code), np.int64)))
+            held += len(code)
+            if held >= COUNTED:
+                summed()
+    yield from told()
+
+
+def _ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (stretch, word, n): the distinct tokens of a stretch and how often they are learned from."""
+    seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
+    at = None
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for word in seen[False].keys() - seen[True].keys():
+            seen[True][word] = 0
+        if seen[True]:
+            found = list(seen[True].items())
+            for k in range(0, len(found), 1 << 16):
+                word, n = zip(*found[k : k + (1 << 16)], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), at, np.int32)), pa.array(word, pa.binary()), pa.array(n, pa.int64())], names=["stretch", "word", "n"])
+        seen[True].clear()
+        seen[False].clear()
+
+    for stretch, learned, texts, new in _runs_of(batches):
+        if new or len(seen[True]) + len(seen[False]) > COUNTED // 2:
+            yield from told()
+            at = stretch
+        for t in texts:
+            seen[learned].update(words(t))
+        seen[learned][END] += len(texts)
+    yield from told()
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (stretch, key, value) to (stretch, keys, values): numbers in bytes, words in lists."""
+    held, n = [], 0
+
+    def packed() -> Iterator[pa.RecordBatch]:
+        nonlocal held, n
+        if held:
+            stretch, key, value = pa.Table.from_batches(held).combine_chunks().columns
+            stretch = stretch.to_numpy()
+            order = np.argsort(stretch, kind="stable")
+            numbers, first = np.unique(stretch[order], return_index=True)
+            if pa.types.is_binary(key.type):
+                offsets = pa.array([*first, len(order)], pa.int32())
+                columns = [pa.ListArray.from_arrays(offsets, x.take(pa.array(order)).combine_chunks()) for x in (key, value)]
+            else:
+                columns = [pa.array([p.tobytes() for p in np.split(x.to_numpy()[order], first[1:])], pa.binary()) for x in (key, value)]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), *columns], names=["stretch", "keys", "values"])
+            held, n = [], 0
+
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= PACKED:
+            yield from packed()
+    yield from packed()
+
+
 class Answers:
-    """log10 probabilities of the grams of one stretch."""
+    """log10 probabilities of the grams of one stretch, and of its words that are known."""
 
-    def __init__(self, gram: list[bytes], logs: list[bytes]):
+    def __init__(self, gram: list[bytes], logs: list[bytes], known: dict[bytes, float], unknown: float):
         code = np.frombuffer(b"".join(gram), np.uint64)
         order = np.argsort(code, kind="stable")
         self.code, self.logs = code[order], np.frombuffer(b"".join(logs), np.float32)[order]
         self.first = np.zeros(1 << PLACES_BITS, np.int32)
         self.first[self._place(self.code)] = np.arange(len(code))
+        self.known, self.unknown = known, unknown
 
     @staticmethod
     def _place(code: np.ndarray) -> np.ndarray:
         return ((code * _MIX) >> np.uint64(64 - PLACES_BITS)).astype(np.int64)
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        """log10 probability of each text."""
-        out = []
+    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each text, and the bytes that it codes."""
+        out, sizes = [np.empty(0)], [np.empty(0, np.int64)]
         for a, b in _stretches(texts):
             code, starts = grams(texts[a:b])
             at = self.first[self._place(code)]
             other = np.flatnonzero(self.code[at] != code)
-            at[other] = np.searchsorted(self.code, code[other])
-            if not (self.code[np.minimum(at, len(self.code) - 1)] == code).all():
+            at[other] = np.minimum(np.searchsorted(self.code, code[other]), len(self.code) - 1)
+            if not (self.code[at] == code).all():
                 raise ValueError("a gram without an answer")
             out.append(np.add.reduceat(self.logs[at].astype(float), starts))
-        return np.concatenate(out) if out else np.empty(0)
+            sizes.append(np.diff([*starts, len(code)]))
+        return np.concatenate(out), np.concatenate(sizes)
 
+    def bases(self, texts: list[str | None]) -> tuple[list[int], list[int], list[float]]:
+        """Of each text the tokens, those known, and the log10 of the smoothed word frequencies."""
+        tokens, known, base = [], [], []
+        for t in texts:
+            own = [*words(t), END]
+            logs = [x for x in map(self.known.get, own) if x is not None]
+            tokens.append(len(own))
+            known.append(len(logs))
+            base.append(float(sum(logs) + self.unknown * (len(own) - len(logs))))
+        return tokens, known, base
 
-def _read_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (stretch, kind, grams, logs, row, text) in order of (stretch, kind), the answers
-    (kind 0) before the texts (kind 1), to (row, score)."""
-    current, gram, logs, answers = None, [], [], None
-    for batch in sliced(batches):
-        stretches, kinds = (batch.column(k).to_numpy() for k in (0, 1))
-        turns = np.flatnonzero((stretches[1:] != stretches[:-1]) | (kinds[1:] != kinds[:-1])) + 1
-        for a, b in zip([0, *turns], [*turns, len(kinds)], strict=True):
-            part = batch.slice(a, b - a)
-            if stretches[a] != current:
-                current, gram, logs, answers = stretches[a], [], [], None
-            if kinds[a] == 0:
-                gram += part.column(2).to_pylist()
-                logs += part.column(3).to_pylist()
-                continue
-            if answers is None:
-                answers, gram, logs = Answers(gram, logs), [], []
-            yield pa.RecordBatch.from_arrays([part.column(4), pa.array(answers.scores(part.column(5).to_pylist()), pa.float64())], names=["tree__row", "tree__score"])
-
-
-def tree_scores(rows: DataFrame, tokens: int) -> DataFrame:
-    """(tree__row, tree__score) for rows (row, stretch, learn, text): the log10 probability of
-    each text under the tree of all texts to learn from."""
-    spark = rows.sparkSession
-    slots = int(min(SLOTS, max(8, tokens // PER_SLOT)))
-    asked = settle(rows.mapInArrow(_ask(slots), "slot int, stretch long, grams binary, n binary"))
-    top = asked.groupBy("slot").applyInPandas(_topmost, "key long, zeros double, ones double, log double")
+
+_SCORES = [("tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("bytes", pa.int64())]
+
+
+def _read_answers(total: int, distinct: int, text_at: int, own: int):
+    """Rows (stretch, kind, grams, logs, words, counts, .., text perhaps) in order of (stretch,
+    kind), the answers (kind 0) before the texts (kind 1), to (.., the columns of ``_SCORES``)."""
+    floor = float(total + distinct + 1)
+    log = lambda n: float(np.log10((n + 1) / floor))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, gram, logs, known, answers = None, [], [], {}, None
+        for batch in sliced(batches):
+            stretches, kinds = (batch.column(k).to_numpy() for k in (0, 1))
+            turns = np.flatnonzero((stretches[1:] != stretches[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for a, b in zip([0, *turns], [*turns, len(kinds)], strict=True):
+                part = batch.slice(a, b - a)
+                if stretches[a] != current:
+                    current, gram, logs, known, answers = stretches[a], [], [], {}, None
+                if kinds[a] == 0:
+                    gram += [x for x in part.column(2).to_pylist() if x]
+                    logs += [x for x in part.column(3).to_pylist() if x]
+                    for ws, ns in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True):
+                        known.update((w, log(n)) for w, n in zip(ws or (), ns or (), strict=True))
+                    continue
+                if answers is None:
+                    answers, gram, logs = Answers(gram, logs, known, log(0)), [], []
+                texts = part.column(6 + text_at).to_pylist()
+                score, size = answers.scores(texts)
+                found = (*answers.bases(texts), score, size)
+                yield pa.RecordBatch.from_arrays([*part.columns[6 : 6 + own], *(pa.array(x, t) for x, (_, t) in zip(found, _SCORES, strict=True))], names=[*part.schema.names[6 : 6 + own], *(f"tree__{c}" for c, _ in _SCORES)])
+
+    return run
+
+
+def gram_answers(counts: DataFrame) -> DataFrame:
+    """(gram, log) for every row of ``counts(gram, n)``: the log10 probability of its last byte
+    after the others, under the tree of all grams with their counts n."""
+    spark = counts.sparkSession
+    two, third = F.expr("shiftright(gram, 8) & 65535"), F.expr("shiftright(gram, 24) & 255")
+    sizes = counts.groupBy(two.alias("two")).agg(F.count(F.lit(1)).alias("size")).collect()  # 65 536 rows at most
+    slots = int(max(12, -(-sum(r["size"] for r in sizes) // PER_SLOT)))
+    cuts = F.broadcast(spark.createDataFrame([(r["two"], min(256, -(-r["size"] // PER_SLOT))) for r in sizes], "two long, cuts int"))
+    slot = lambda cut: F.pmod(F.xxhash64("two", cut), F.lit(slots)).cast("int").alias("slot")
+    dealt = counts.withColumn("two", two).join(cuts, "two").select("gram", "n", slot(F.pmod(F.xxhash64(third), "cuts")))
+    added = dealt.where("n > 0").groupBy("slot").applyInPandas(_added, _ADDED)
+    nodes = settle(added.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "log"))).mapInPandas(_with_two, "key long, one float, own float, zeros double, ones double, log double"))
     # 255 nodes for each byte at most
-    top = top.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "log"))).toPandas().sort_values("key")
-    shipped = spark.sparkContext.broadcast(_uppermost(top["key"].to_numpy().astype(np.uint64), *(top[c].to_numpy().astype(float) for c in ("zeros", "ones", "log"))))
-    answers = settle(asked.groupBy("slot").applyInPandas(_answer(shipped), "stretch long, grams binary, logs binary"))
-    drop_step(asked)
-    said = answers.select("stretch", F.lit(0).alias("kind"), "grams", "logs", F.lit(None).cast("long").alias("row"), F.lit(None).cast("string").alias("text"))
-    texts = rows.select("stretch", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("grams"), F.lit(None).cast("binary").alias("logs"), "row", "text")
-    met = said.union(texts).repartition("stretch").sortWithinPartitions("stretch", "kind")
-    scores = settle(met.mapInArrow(_read_answers, "tree__row long, tree__score double"))
-    del said, met
-    drop_step(answers)
-    return scores
+    top = nodes.groupBy(F.expr("key & 65535").alias("key")).agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "log"))).toPandas().sort_values("key")
+    upper = spark.sparkContext.broadcast(_uppermost(top["key"].to_numpy().astype(np.uint64), *(top[c].to_numpy().astype(float) for c in ("zeros", "ones", "log"))))
+    # nodes with two bytes go to every slot that has grams of theirs
+    spread = nodes.withColumn("two", F.expr("shiftright(key, 8)")).join(cuts, "two").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    spread = spread.select("key", "one", "own", slot(F.col("cut").cast("long")))
+    return dealt.groupBy("slot").cogroup(spread.groupBy("slot")).applyInPandas(_answer(upper), "gram long, log float")
 
 
 def score(docs: DataFrame, learn: Column, text_col: str = "text", span: int = SPAN) -> DataFrame:
     """``docs`` plus ``tree__tokens``, ``tree__known``, ``tree__all`` (tokens learned from),
-    ``tree__base`` (log10 of smoothed word frequencies) and ``tree__score`` (log10 probability
-    of the text under the tree)."""
+    ``tree__base`` (log10 of smoothed word frequencies), ``tree__score`` (log10 probability of the
+    text under the tree), ``tree__bytes`` (that it codes) and ``tree__bits`` (code length a byte)."""
     spark = docs.sparkSession
-    texts = docs.where(learn).select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    vocabulary = settle(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    common = {bytes(r["word"]): r["n"] for r in vocabulary.where(F.col("n") * COMMON >= total).collect()}
-    shipped = spark.sparkContext.broadcast(common)
-    floor = float(total + distinct + 1)
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    frame = docs.select(*own, F.coalesce(learn, F.lit(False)).alias("tree__learn"), F.col(f"`{text_col}`").cast("string").alias("tree__text"))
-    plain = [T.StructField("tree__row", T.LongType()), T.StructField("tree__stretch", T.LongType()), T.StructField("tree__tokens", T.LongType()), T.StructField("tree__near", T.LongType()), T.StructField("tree__part", T.DoubleType()), T.StructField("tree__rare", T.ArrayType(T.BinaryType()))]
-    schema = T.StructType([*docs.schema.fields, T.StructField("tree__learn", T.BooleanType()), *plain])
+    fields, own = docs.schema.fields, [F.col(f"`{c}`") for c in docs.columns]
+    text = F.col(f"`{text_col}`")
+    frame = docs.select(*own, F.coalesce(learn, F.lit(False)).alias("tree__learn"), F.coalesce(F.length(text), F.lit(0)).alias("tree__chars"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = {w: np.log10((n + 1) / floor) for w, n in shipped.value.items()}
-        row = stretch = TaskContext.get().partitionId() << 33
-        held = 0
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretch, held = TaskContext.get().partitionId() << 33, 0
         for batch in sliced(batches, ROWS):
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            tokens, near, part, rare, stretches = [], [], [], [], []
-            for t in texts:
+            stretches = []
+            for n in batch.column(batch.num_columns - 1).to_pylist():
                 if held >= span:
                     stretch, held = stretch + 1, 0
-                held += len(t or "")
+                held += n
                 stretches.append(stretch)
-                own_words = words(t)
-                own_words.append(END)
-                known = [x for x in map(logs.get, own_words) if x is not None]
-                tokens.append(len(own_words))
-                near.append(len(known))
-                part.append(float(sum(known)))
-                rare.append([w for w in own_words if w not in logs] if len(known) < len(own_words) else [])
-            ids = pa.array(np.arange(row, row + len(texts)))
-            row += len(texts)
-            new = [ids, pa.array(stretches, pa.int64()), pa.array(tokens, pa.int64()), pa.array(near, pa.int64()), pa.array(part, pa.float64()), pa.array(rare, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], *(f.name for f in plain)])
-
-    done = settle(frame.mapInArrow(run, schema))
-    tokens = done.agg(F.coalesce(F.sum("tree__tokens"), F.lit(0))).first()[0]
-    scores = tree_scores(done.select(F.col("tree__row").alias("row"), F.col("tree__stretch").alias("stretch"), F.col("tree__learn").alias("learn"), F.col(f"`{text_col}`").cast("string").alias("text")), tokens)
-    words_of = done.select("tree__row", F.explode("tree__rare").alias("word"))
-    found = words_of.join(vocabulary.where(F.col("n") * COMMON < total), "word", "left")
-    sums = found.groupBy("tree__row").agg(F.count("n").alias("tree__more"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(floor))).alias("tree__add"))
-    out = done.drop("tree__rare").join(sums, "tree__row", "left").join(scores, "tree__row")
-    return out.select(*own, "tree__tokens", (F.col("tree__near") + F.coalesce("tree__more", F.lit(0))).alias("tree__known"), F.lit(int(total)).cast("long").alias("tree__all"), (F.col("tree__part") + F.coalesce("tree__add", F.lit(0.0))).alias("tree__base"), "tree__score")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(stretches, pa.int64())], names=[*batch.schema.names[:-1], "tree__stretch"])
+
+    done = settle(frame.mapInArrow(deal, T.StructType([*frame.schema.fields[:-1], T.StructField("tree__stretch", T.LongType())])))
+    # a row for each stretch; numbered, neighbours together where there are very many
+    ids = np.sort(done.select("tree__stretch").distinct().toPandas()["tree__stretch"].to_numpy())
+    together = -(-len(ids) // STRETCHES) or 1
+    stretches = -(-len(ids) // together) or 1
+    numbers = spark.createDataFrame([(int(i), k // together) for k, i in enumerate(ids)], "tree__stretch long, tree__at int")
+    rows = done.join(F.broadcast(numbers) if len(ids) <= NUMBERS else numbers, "tree__stretch")
+    texts = rows.select("tree__at", "tree__learn", text.cast("string").alias("tree__text"))
+
+    # in the joins below both sides grow with the corpus: never a broadcast, at no size
+    asked = settle(texts.mapInArrow(_ask_words, "stretch int, word binary, n long"))
+    vocabulary = settle(asked.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"))
+    total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    told = asked.select("stretch", "word").join(vocabulary.hint("merge"), "word").select("stretch", "word", "n")
+    known = told.mapInArrow(_pack, "stretch int, keys array<binary>, values array<bigint>")
+
+    asked = settle(texts.mapInArrow(_ask_grams, "stretch int, gram long, n long"))
+    counts = settle(asked.groupBy("gram").agg(F.sum("n").alias("n")))
+    told = asked.select("stretch", "gram").join(gram_answers(counts).hint("merge"), "gram").select("stretch", "gram", "log")
+    answers = told.mapInArrow(_pack, "stretch int, keys binary, values binary")
+
+    texts_too = [] if dict(docs.dtypes)[text_col] == "string" else [text.cast("string").alias("tree__text")]
+    none = lambda *kinds: [F.lit(None).cast(k) for k in kinds]
+    gone = none(*(f.dataType for f in fields), *("string" for _ in texts_too))
+    union = answers.select("stretch", F.lit(0), "keys", "values", *none("array<binary>", "array<bigint>"), *gone)
+    union = union.union(known.select("stretch", F.lit(0), *none("binary", "binary"), "keys", "values", *gone))
+    union = union.union(rows.select("tree__at", F.lit(1), *none("binary", "binary", "array<binary>", "array<bigint>"), *own, *texts_too))
+    union = union.toDF("tree__at", "tree__kind", "tree__grams", "tree__logs", "tree__words", "tree__counts", *docs.columns, *("tree__text" for _ in texts_too))
+    met = union.repartitionById(stretches, F.col("tree__at")).sortWithinPartitions("tree__at", "tree__kind")
+    kinds = {pa.int64(): T.LongType(), pa.float64(): T.DoubleType()}
+    schema = T.StructType([*fields, *(T.StructField(f"tree__{c}", kinds[t]) for c, t in _SCORES)])
+    text_at = len(fields) if texts_too else docs.columns.index(text_col)
+    found = met.mapInArrow(_read_answers(total, distinct, text_at, len(fields)), schema)
+    return found.select(*own, "tree__tokens", "tree__known", F.lit(int(total)).cast("long").alias("tree__all"), "tree__base", "tree__score", "tree__bytes", (F.col("tree__score") * -np.log2(10) / F.col("tree__bytes")).alias("tree__bits"))
 
 
 def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base and model scores of every document; those of fold 2 of 7 are not learned from."""
+    """Base and model scores of every document, and its code length in bits a byte; those of fold
+    2 of 7 are not learned from."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = fold(F.col("doc_id"), 7) == 2
     done = score(docs.withColumn("held_out", held), ~F.col("held_out"))
-    return done.select("doc_id", "held_out", F.col("tree__tokens").alias("n_tokens"), F.col("tree__known").alias("n_known"), F.col("tree__all").alias("train_tokens"), F.col("tree__base").alias("base_score"), F.col("tree__score").alias("score"))
+    return done.select("doc_id", "held_out", F.col("tree__tokens").alias("n_tokens"), F.col("tree__known").alias("n_known"), F.col("tree__all").alias("train_tokens"), F.col("tree__base").alias("base_score"), F.col("tree__score").alias("score"), F.col("tree__bits").alias("bits_per_byte"))

@@ -9,7 +9,6 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from tessella.llm import context_tree, line_dedup, registry, sharding, shingle_join, suffix_dedup
@@ -223,30 +222,6 @@ def test_context_tree_base(spark, tmp_path):
         assert r["score"] < 0
 
 
-def test_context_tree_equals_direct_sums(monkeypatch):
-    """The same probabilities by a dictionary of nodes, one decision at a time, with a table so
-    large that hardly any nodes meet in it."""
-    monkeypatch.setattr(context_tree, "TABLE_BITS", 26)
-    texts = [r[1] for r in corpus(4, 12) if len(r[1] or "") < 700]
-    train = texts[::2]
-    code, n = np.unique(context_tree.grams(train)[0], return_counts=True)
-    step = context_tree._below_two(pd.DataFrame({"gram": code.astype(np.int64), "n": n}))
-    parts = []
-    for depth in (1, 0, None):
-        parts += [np.frombuffer(r, context_tree._NODE) for r in step["rows"][step["part"].notna()]]
-        if depth is not None:
-            step = context_tree._one_up(depth)(step[step["part"].isna()])
-    rows = np.concatenate(parts)
-    tables = {name: np.zeros(1 << 26, rows.dtype[name]) for name in ("tag", "one", "own")}
-    for name, table in tables.items():
-        table[rows["place"]] = rows[name]
-    model = context_tree.Model(tables)
-    want = direct_scores([[*words(t), b"\n"] for t in train], [[*words(t), b"\n"] for t in texts])
-    for _ in range(2):  # from the table, then from memory
-        got = model.scores(texts)
-        assert np.mean(np.isclose(got, want, rtol=1e-6)) > 0.7 and np.allclose(got, want, rtol=3e-2)
-
-
 def direct_scores(train, score):
     depth = context_tree.DEPTH
     nodes: dict = {}
@@ -323,13 +298,20 @@ def test_clashing_names(spark):
     assert SCHEMA
 
 
-def test_context_tree_keeps_every_node(spark):
-    """The query's scores are those of the whole tree: no two nodes compete for a place."""
+def test_context_tree_equals_direct_sums(spark, monkeypatch):
+    """Scores as shipped are those of the whole tree, and as many slots as grams change nothing."""
     rows = [(r[0], r[1]) for r in corpus(4, 16) if len(r[1] or "") < 700]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("learn", F.col("doc_id") % 3 > 0)
-    got = {r["doc_id"]: r["tree__score"] for r in context_tree.score(df, F.col("learn")).collect()}
-    want = direct_scores([[*words(t), b"\n"] for i, t in rows if i % 3 > 0], [[*words(t), b"\n"] for _, t in rows])
-    assert len(got) == len(rows) and np.allclose([got[i] for i, _ in rows], want, rtol=1e-6)
+    rows += [(rows[0][0], rows[0][1]), (rows[1][0], "another text under an id"), (None, "no id"), (None, None)]
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, at int").repartition(3).withColumn("learn", F.col("at") % 3 > 0)
+    train = [[*words(t), b"\n"] for n, (_, t) in enumerate(rows) if n % 3 > 0]
+    want = direct_scores(train, [[*words(t), b"\n"] for _, t in rows])
+    for per_slot in (context_tree.PER_SLOT, 5):
+        monkeypatch.setattr(context_tree, "PER_SLOT", per_slot)
+        got = {r["at"]: r for r in context_tree.score(df, F.col("learn")).collect()}
+        assert len(got) == len(rows) and np.allclose([got[n]["tree__score"] for n in range(len(rows))], want, rtol=1e-6)
+        for n, (_, t) in enumerate(rows):
+            size = len(b" ".join(words(t))) + 1
+            assert got[n]["tree__bytes"] == size and math.isclose(got[n]["tree__bits"], -got[n]["tree__score"] / math.log10(2) / size, rel_tol=1e-9)
 
 
 def test_context_tree_in_small_stretches(spark):
