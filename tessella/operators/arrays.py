@@ -32,8 +32,10 @@ class BlockedArray:
         self._checked(first, first + n)
         return self.rows.where((F.col("idx") >= first) & (F.col("idx") < first + n))
 
-    def put(self, new: DataFrame) -> BlockedArray:
-        """Overwrite the cells in ``new(idx, value)``; an index outside raises when it is read."""
+    def put(self, new: DataFrame, order: list[str] | None = None) -> BlockedArray:
+        """Overwrite the cells in ``new(idx, value)``; an index outside raises when it is read. Of
+        several writes of a cell the last in ``order`` stays, without one the greatest value."""
+        new = new.groupBy("idx").agg(F.max_by("value", F.struct(*(order or []), "value")).alias("value"))
         bad = F.when((F.col("idx") < 0) | (F.col("idx") >= self.length), F.raise_error(F.concat(F.lit("index out of range: "), F.col("idx").cast("string"))).cast("long")).otherwise(F.col("idx"))
         fresh = new.select(bad.alias("idx"), F.col("value").alias("array__new"), F.lit(True).alias("array__hit"))
         both = self.rows.join(fresh, "idx", "full_outer")

@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import next_kmer
+from ..session import drop, scratch
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """A round's rows in the folder of spark.checkpoint.dir (a local session may go without);
-    the files go when the session ends."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or getattr(context, "_tessella_chains", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = context._tessella_chains = tempfile.mkdtemp(prefix="tessella-chains-")
-    path = f"{folder}/chain-{uuid.uuid4().hex}"
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
+    """A round's rows in the shared folder, and where."""
+    path = scratch(df.sparkSession, "chain")
     df.write.parquet(path)
-    at = context._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def walk(nodes: DataFrame, node: str, following: str) -> DataFrame:
@@ -35,9 +23,12 @@ def walk(nodes: DataFrame, node: str, following: str) -> DataFrame:
     before = nodes.where(F.col(following).isNotNull()).select(F.col(following).alias("node"), F.col(node).alias("to"))
     every = nodes.select(F.col(node).alias("node"))
     state = every.join(before, "node", "left").select("node", F.coalesce("to", "node").alias("to"), F.when(F.col("to").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("far"), F.col("to").isNull().alias("done"))
-    left = None
+    left, last = None, None
     while True:
-        state = _written(state)
+        state, path = _written(state)
+        if last:
+            drop(nodes.sparkSession, last)  # this round was made of it
+        last = path
         now = state.where("not done").count()
         if now == 0 or now == left:
             break

@@ -8,10 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import placement
+
 #: Folds that need no order: name to aggregate.
 MONOIDS: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "min": F.min, "max": F.max, "or": F.bit_or, "and": F.bit_and, "xor": F.bit_xor, "land": F.bool_and, "count": F.count}
 
@@ -85,14 +89,27 @@ class KeyedTable:
         mine = self.rows.select(*[F.col(k).alias(f"keyed__{k}") for k in self.key])
         return probes.join(mine, [probes[on[k]] == mine[f"keyed__{k}"] for k in self.key], how)
 
-    def find_or_insert(self, probes: DataFrame, defaults: dict[str, Column]) -> tuple[DataFrame, KeyedTable]:
-        """Each probe with the value there, or else the given one (and ``inserted``), and the
-        table that holds both."""
-        got = self.find(probes)
-        seen = got.select(*probes.columns, *[F.when(F.col("found"), F.col(c)).otherwise(d).alias(c) for c, d in defaults.items()], (~F.col("found")).alias("inserted"))
-        fresh = seen.where("inserted").groupBy(*self.key).agg(*[F.min(c).alias(c) for c in defaults])
+    def find_or_insert(self, probes: DataFrame, defaults: dict[str, Column], order: list[str]) -> tuple[DataFrame, KeyedTable]:
+        """Each probe with the value there, or else the one that the first probe of the key in
+        ``order`` gave and inserted (``inserted`` is true for that probe alone), and the table that
+        holds both."""
+        asked = probes.select("*", *[d.alias(f"keyed__{c}") for c, d in defaults.items()])
+        first = asked.groupBy(*[F.col(k).alias(f"keyed__of_{k}") for k in self.key]).agg(F.min(F.struct(*order, *[f"keyed__{c}" for c in defaults])).alias("keyed__first"))
+        mine = self.rows.select(*[F.col(k).alias(f"keyed__of_{k}") for k in self.key], F.struct(*defaults).alias("keyed__old"))
+        held = first.join(mine, [f"keyed__of_{k}" for k in self.key], "left")
+        joined = probes.join(held, [F.col(k).eqNullSafe(F.col(f"keyed__of_{k}")) for k in self.key], "left")
+        new = F.col("keyed__old").isNull()
+        values = [F.when(new, F.col("keyed__first")[f"keyed__{c}"]).otherwise(F.col("keyed__old")[c]).alias(c) for c in defaults]
+        own = reduce(and_, (F.col(c).eqNullSafe(F.col("keyed__first")[c]) for c in order), new)
+        seen = joined.select(*probes.columns, *values, own.alias("inserted"))
+        fresh = held.where("keyed__old is null").select(*[F.col(f"keyed__of_{k}").alias(k) for k in self.key], *[F.col("keyed__first")[f"keyed__{c}"].alias(c) for c in defaults])
         return seen, KeyedTable(self.rows.select(*self.key, *defaults).unionByName(fresh), self.key, tuple(defaults))
 
+    def placed(self, ranks: int, hashed: Callable[[Column], Column] = placement.xxhash64) -> DataFrame:
+        """Entries with the rank that owns them, by a hash of their key."""
+        key = F.col(self.key[0]) if len(self.key) == 1 else F.concat_ws("|", *self.key)
+        return self.rows.withColumn("rank", F.pmod(hashed(key), F.lit(ranks)).cast("int"))
+
     def scan(self) -> DataFrame:
         """All entries."""
         return self.rows

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Bytes of a filter's rows (bucket and word) up to which they are broadcast.
+BROADCAST = 64 << 20
+
+
 def sizing(n: int, p: float = 0.01, ranks: int = 1) -> tuple[int, int]:
     """(buckets, hash functions) for n elements at a false-positive rate of p."""
     bits = -log2(p) / log(2)
@@ -45,13 +49,20 @@ class BlockedBloom:
         return cls(words, buckets, hashes)
 
     def test(self, probes: DataFrame, column: str, into: str = "maybe") -> DataFrame:
-        """Probes with whether the value may have been inserted: false is certain."""
+        """Probes with whether the value may have been inserted: false is certain. Words of at
+        most ``BROADCAST`` bytes go to the probes, which then stay where they are."""
         v = F.col(column)
         marked = probes.withColumns({"bloom__bucket": self._bucket(v, self.buckets), "bloom__mask": self._mask(v, self.hashes)})
-        joined = marked.join(self.words, F.col("bloom__bucket") == F.col("bucket"), "left")
-        hit = F.coalesce(F.col("word").bitwiseAND(F.col("bloom__mask")) == F.col("bloom__mask"), F.lit(False))
+        words = self.words.select(F.col("bucket").alias("bloom__of"), F.col("word").alias("bloom__word"))
+        joined = marked.join(F.broadcast(words) if self.buckets * 16 <= BROADCAST else words, F.col("bloom__bucket") == F.col("bloom__of"), "left")
+        hit = F.coalesce(F.col("bloom__word").bitwiseAND(F.col("bloom__mask")) == F.col("bloom__mask"), F.lit(False))
         return joined.select(*probes.columns, hit.alias(into))
 
+    def insert_seen(self, values: DataFrame, column: str, into: str = "maybe") -> tuple[DataFrame, BlockedBloom]:
+        """Values with whether they may have been there before this batch, and the filter that
+        holds them too."""
+        return self.test(values, column, into), self.insert(values, column)
+
     def insert(self, values: DataFrame, column: str) -> BlockedBloom:
         v = F.col(column)
         more = values.where(v.isNotNull()).select(self._bucket(v, self.buckets).alias("bucket"), self._mask(v, self.hashes).alias("word"))
@@ -59,11 +70,13 @@ class BlockedBloom:
 
 
 def bloom_semijoin(probes: DataFrame, on: str, build: DataFrame, column: str, n: int, p: float = 0.01) -> DataFrame:
-    """Rows of ``probes`` whose key is in ``build``: the filter drops most others before the
-    exact join, whose result it cannot change."""
-    maybe = BlockedBloom.build(build, column, n, p).test(probes, on).where("maybe").drop("maybe")
-    keys = build.select(F.col(column).alias("bloom__key"))
-    return maybe.join(keys, F.col(on) == F.col("bloom__key"), "left_semi")
+    """Rows of ``probes`` whose key is in ``build``. A filter that can be broadcast drops most of
+    the others before the exact join, whose result it cannot change; a larger one would move the
+    probes that it should spare, so then the exact join is all there is."""
+    keys = build.select(F.col(column).alias("bloom__key")).distinct()
+    if sizing(n, p)[0] * 16 <= BROADCAST:
+        probes = BlockedBloom.build(build, column, n, p).test(probes, on).where("maybe").drop("maybe")
+    return probes.join(keys, F.col(on) == F.col("bloom__key"), "left_semi")
 
 
 def seen_before(df: DataFrame, value: str, order: list[str], into: str = "seen") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scan import ticket
@@ -46,6 +46,23 @@ class RecordQueue:
         told = more.join(ok, [self.host, batch], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False))).select(*more.columns, "accepted")
         return replace(self, rows=self.rows.unionByName(told.where("accepted").drop("accepted"))), told
 
+    def push_after(self, more: DataFrame, after: str) -> tuple[RecordQueue, DataFrame]:
+        """As ``push``, but a row is taken only if ``after`` names the last row of its host at the
+        time: of the rows that do, the first in order. Rows that name another one are not taken."""
+        last = self.rows.groupBy(F.col(self.host).alias("queue__host")).agg(F.max(self.seq).alias("queue__last"))
+        first = more.join(last, F.col(self.host).eqNullSafe(F.col("queue__host"))).where(F.col(after) == F.col("queue__last")).groupBy("queue__host").agg(F.min(self.seq).alias("queue__first"))
+        told = more.join(first, F.col(self.host).eqNullSafe(F.col("queue__host")), "left")
+        told = told.select(*more.columns, F.coalesce(F.col(self.seq) == F.col("queue__first"), F.lit(False)).alias("accepted"))
+        return replace(self, rows=self.rows.unionByName(told.where("accepted").select(*self.rows.columns))), told
+
+    def push_waiting(self, more: DataFrame) -> DataFrame:
+        """Pushes that wait for room: each with the number of pops of its host after which it is
+        taken (0: at once)."""
+        size = self.rows.groupBy(F.col(self.host).alias("queue__host")).agg(F.count(F.lit(1)).alias("queue__size"))
+        placed = ticket(more, [self.seq], [self.host], "queue__at").join(size, F.col(self.host).eqNullSafe(F.col("queue__host")), "left")
+        pops = F.col("queue__at") + F.coalesce("queue__size", F.lit(0)) + 1 - (self.capacity if self.capacity is not None else 2**62)
+        return placed.select(*more.columns, F.greatest(pops, F.lit(0).cast("long")).alias("after_pops"))
+
     def pop(self, n: int = 1, whole: bool = False) -> tuple[DataFrame, RecordQueue]:
         """(popped, queue): the first n of every host; with ``whole`` nothing where fewer are left."""
         placed = self._tickets()
@@ -82,18 +99,32 @@ class RecordQueue:
         on = F.col(self.host).eqNullSafe(F.col("queue__host")) & (F.col("slot") == F.col("queue__slot")) & (F.col("lap") == F.col("queue__lap"))
         return slotted.join(last, on).select(*self.rows.columns, "slot", "lap")
 
-    def with_checksum(self, value: str, capacity: int) -> DataFrame:
-        """Rows with a checksum that tells laps apart: 42 for a hash of 0, inverted on odd laps."""
+    @staticmethod
+    def _checksum(value: str, capacity: int) -> Column:
         h = F.xxhash64(value)
         h = F.when(h == 0, F.lit(42).cast("long")).otherwise(h)
-        odd = F.expr(f"ticket div {capacity}") % 2 == 1
-        return self._tickets().withColumn("checksum", F.when(odd, F.bitwise_not(h)).otherwise(h))
+        return F.when(F.expr(f"ticket div {capacity}") % 2 == 1, F.bitwise_not(h)).otherwise(h)
+
+    def with_checksum(self, value: str, capacity: int) -> DataFrame:
+        """Rows with a checksum that tells laps apart: 42 for a hash of 0, inverted on odd laps."""
+        return self._tickets().withColumn("checksum", self._checksum(value, capacity))
 
     def slabs(self, slab: int) -> DataFrame:
         """Rows with the slab (segment) of an unbounded queue and the place in it."""
         return self._tickets().withColumns({"slab": F.expr(f"ticket div {slab}"), "at": F.col("ticket") % slab}).drop("ticket")
 
 
+def pop_checked(rows: DataFrame, host: str, value: str, capacity: int, n: int) -> tuple[DataFrame, DataFrame]:
+    """(popped, left) of rows with ticket and checksum: of each host the first n whose checksum
+    fits, as far as there is none before them that does not (its writer is not done: a pop waits)."""
+    ok = F.col("checksum") == RecordQueue._checksum(value, capacity)
+    bad = rows.where(~F.coalesce(ok, F.lit(False))).groupBy(F.col(host).alias("queue__host")).agg(F.min("ticket").alias("queue__bad"))
+    first = rows.groupBy(F.col(host).alias("queue__of")).agg(F.min("ticket").alias("queue__first"))
+    joined = rows.join(bad, F.col(host).eqNullSafe(F.col("queue__host")), "left").join(first, F.col(host).eqNullSafe(F.col("queue__of")))
+    out = (F.col("ticket") < F.coalesce("queue__bad", F.lit(2**62))) & (F.col("ticket") < F.col("queue__first") + n)
+    return joined.where(out).select(*rows.columns), joined.where(~out).select(*rows.columns)
+
+
 def merge_producers(rows: DataFrame, host: str, producer: str, seq: str) -> DataFrame:
     """One ring for each producer, drained in turns: order by the place in the producer's own
     ring, then by producer."""

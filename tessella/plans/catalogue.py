@@ -11,12 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import strings
+from ..functions import placement, strings
 from ..operators import arrays, calls, exchange, graph, membership, queues, reduce, scan
 from ..operators.keyed import KeyedTable
-from ..operators.matrix import Matrix
-from ..session import table
-from .layout import Blocking
+from ..operators.matrix import Matrix, check_csr
+from ..session import scratch, table
+from ..sources import matrix_files
+from ..streaming import live_queue
+from .layout import Blocking, block_matmul, factor
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -103,10 +105,51 @@ def map_present(spark, d):
     return KeyedTable(sold, ("l_partkey",), ()).present(table(spark, d, "part").select("p_partkey"), {"l_partkey": "p_partkey"})
 
 
-@query("SELECT d.doc_id, coalesce(l.quality, -1)::INT AS quality, l.doc_id IS NULL AS inserted FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+@query("""WITH held AS (SELECT c_custkey AS k, c_nationkey AS v FROM customer WHERE c_custkey % 2 = 0),
+first AS (SELECT o_custkey AS k, min(o_orderkey) AS o FROM orders GROUP BY 1)
+SELECT o_orderkey, o_custkey AS k, coalesce(h.v, -f.o)::BIGINT AS v, h.k IS NULL AND f.o = o_orderkey AS inserted
+FROM orders LEFT JOIN held h ON h.k = o_custkey JOIN first f ON f.k = o_custkey""")
 def map_find_or_insert(spark, d):
-    labels = KeyedTable(table(spark, d, "labels").select("doc_id", "quality"), ("doc_id",), ("quality",))
-    return labels.find_or_insert(table(spark, d, "documents").select("doc_id"), {"quality": F.lit(-1)})[0]
+    held = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("long").alias("v"))
+    probes = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("k"))
+    return KeyedTable(held, ("k",), ("v",)).find_or_insert(probes, {"v": -F.col("o_orderkey")}, ["o_orderkey"])[0]
+
+
+@query("""WITH held AS (SELECT c_custkey AS k, c_nationkey::BIGINT AS v FROM customer WHERE c_custkey % 2 = 0)
+SELECT k, v FROM held UNION ALL SELECT o_custkey, -min(o_orderkey) FROM orders WHERE o_custkey NOT IN (SELECT k FROM held) GROUP BY 1""")
+def map_after_find_or_insert(spark, d):
+    held = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("long").alias("v"))
+    probes = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("k"))
+    return KeyedTable(held, ("k",), ("v",)).find_or_insert(probes, {"v": -F.col("o_orderkey")}, ["o_orderkey"])[1].scan()
+
+
+@query("SELECT user_id AS k, max_by(event_type, event_id) AS v FROM events GROUP BY 1")
+def map_local_scan(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("k"), F.col("event_type").alias("v"), "event_id")
+    return KeyedTable.load(e, ["k"], ["v"], ["event_id"]).local_scan().where("partition >= 0").select("k", "v")
+
+
+_DJB2 = "list_reduce(list_prepend(5381::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 33 + c) & 4294967295)"
+
+
+@query(f"SELECT ({_DJB2.format('c_name')} % 8)::INT AS rank, count(*)::BIGINT AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer GROUP BY 1")
+def map_placed_djb2(spark, d):
+    c = KeyedTable(table(spark, d, "customer").select("c_name", "c_custkey"), ("c_name",), ("c_custkey",))
+    return c.placed(8, placement.djb2).groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"))
+
+
+@query("SELECT ((c_custkey * 107) % 8)::INT AS rank, count(*)::BIGINT AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer GROUP BY 1")
+def map_placed_times107(spark, d):
+    c = KeyedTable(table(spark, d, "customer").select("c_name", "c_custkey"), ("c_custkey",), ("c_name",))
+    return c.placed(8, placement.times107).groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"))
+
+
+@query("""WITH a AS (SELECT c_custkey, xor(c_custkey, c_custkey >> 16)::HUGEINT * 2246822507 & 4294967295 AS h FROM customer),
+b AS (SELECT c_custkey, xor(h, h >> 13) * 3266489909 & 4294967295 AS h FROM a)
+SELECT (xor(h, h >> 16) % 8)::INT AS rank, count(*)::BIGINT AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM b GROUP BY 1""")
+def map_placed_mix32(spark, d):
+    c = KeyedTable(table(spark, d, "customer").select("c_name", "c_custkey"), ("c_custkey",), ("c_name",))
+    return c.placed(8, placement.mix32).groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"))
 
 
 @query("SELECT url AS k, length(html)::BIGINT AS v FROM pages")
@@ -133,11 +176,20 @@ def bloom_semijoin(spark, d):
     return membership.bloom_semijoin(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_partkey", small, "p_partkey", max(n, 1))
 
 
-@query("SELECT 0::BIGINT AS missed, count(*)::BIGINT AS inserted FROM part")
+@query("SELECT p_size <= 25 AS inside, bool_or(p_size <= 25) AS some, count(*) FILTER (p_size <= 25)::BIGINT AS surely, TRUE AS few_others FROM part GROUP BY 1")
 def bloom_no_false_negatives(spark, d):
-    p = table(spark, d, "part")
-    seen = membership.BlockedBloom.build(p, "p_name", max(p.count(), 1)).test(p.select("p_name"), "p_name")
-    return seen.agg(F.coalesce(F.sum((~F.col("maybe")).cast("long")), F.lit(0)).alias("missed"), F.count(F.lit(1)).alias("inserted"))
+    """Of the names put in all are found; of the others at most one in twenty (1 % expected)."""
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_size") <= 25).alias("inside"))
+    own = p.where("inside")
+    seen = membership.BlockedBloom.build(own, "p_partkey", max(own.count(), 1)).test(p, "p_partkey")
+    hits = F.sum(F.col("maybe").cast("long"))
+    return seen.groupBy("inside").agg(F.bool_or(F.col("maybe") & F.col("inside")).alias("some"), F.when(F.col("inside"), hits).otherwise(F.lit(0).cast("long")).alias("surely"), (F.col("inside") | (hits <= F.count(F.lit(1)) * 0.05)).alias("few_others"))
+
+
+@query("""SELECT n::BIGINT AS n, CASE WHEN floor(n * bits * -ln(0.01) / 64 + 0.5) < 1 THEN 4 ELSE ceil(floor(n * bits * -ln(0.01) / 64 + 0.5) / 4) * 4 END::BIGINT AS buckets, 7::BIGINT AS hashes
+FROM (SELECT unnest([1, 10, 1000, 5000, 123456]) AS n, -log2(0.01) / ln(2) AS bits)""")
+def bloom_sizing(spark, d):
+    return spark.createDataFrame([(n, *membership.sizing(n, 0.01, 4)) for n in (1, 10, 1000, 5000, 123456)], "n long, buckets long, hashes long")
 
 
 # exchange, sort, histogram
@@ -229,6 +281,59 @@ def queue_producers(spark, d):
     return queues.merge_producers(rows, "host", "producer", "event_id").select("host", "event_id", "ticket")
 
 
+@query(f"""WITH q AS ({_HOSTS}), b AS (SELECT *, (rn - 1) // 10 AS batch, count(*) OVER (PARTITION BY host, (rn - 1) // 10) AS size, max((rn - 1) // 10) OVER (PARTITION BY host) AS last FROM q)
+SELECT host, event_id, batch, batch < 100 OR (batch = last AND size <= 5) AS accepted FROM b""")
+def queue_push_batches(spark, d):
+    """Batches of ten into room for 1005: a hundred are taken, and a last one of five or less."""
+    pushes = scan.ticket(event_queue(spark, d).rows, ["event_id"], ["host"]).select("host", "event_id", F.expr("ticket div 10").alias("batch"))
+    return queues.RecordQueue(pushes.limit(0), "host", "event_id", 1005).push_batches(pushes, "batch")[1]
+
+
+@query(f"SELECT host, event_id, greatest(rn - 300, 0)::BIGINT AS after_pops FROM ({_HOSTS})")
+def queue_push_waiting(spark, d):
+    pushes = event_queue(spark, d).rows
+    return queues.RecordQueue(pushes.limit(0), "host", "event_id", 300).push_waiting(pushes)
+
+
+@query("""WITH q AS (SELECT user_id % 4 AS host, event_id FROM events WHERE event_id % 3 > 0), l AS (SELECT host, max(event_id) AS last FROM q GROUP BY 1),
+m AS (SELECT user_id % 4 AS host, event_id + 10000000 AS event_id, CASE WHEN event_id % 2 = 0 THEN event_id END AS seen FROM events WHERE event_id % 3 = 0),
+n AS (SELECT m.host, m.event_id, coalesce(seen, last) AS after FROM m JOIN l ON l.host = m.host)
+SELECT n.host, n.event_id, after, coalesce(after = last AND n.event_id = min(CASE WHEN after = last THEN n.event_id END) OVER (PARTITION BY n.host), FALSE) AS accepted FROM n JOIN l ON l.host = n.host""")
+def queue_push_after(spark, d):
+    e = table(spark, d, "events").select((F.col("user_id") % 4).alias("host"), "event_id")
+    q = queues.RecordQueue(e.where("event_id % 3 > 0"), "host", "event_id")
+    last = q.rows.groupBy("host").agg(F.max("event_id").alias("last"))
+    more = e.where("event_id % 3 = 0").join(last, "host").select("host", (F.col("event_id") + 10000000).alias("event_id"), F.when(F.col("event_id") % 2 == 0, F.col("event_id")).otherwise(F.col("last")).alias("after"))
+    return q.push_after(more, "after")[1]
+
+
+@query(f"""WITH q AS ({_HOSTS}), b AS (SELECT host, min(rn) AS bad FROM q WHERE event_id % 97 = 0 GROUP BY 1)
+SELECT q.host, q.event_id FROM q LEFT JOIN b ON b.host = q.host WHERE rn <= 50 AND (bad IS NULL OR rn < bad)""")
+def queue_pop_checked(spark, d):
+    """Records whose writer is not done (their checksum is of another value) end a pop."""
+    sums = event_queue(spark, d).with_checksum("event_id", 16)
+    broken = sums.withColumn("checksum", F.when(F.col("event_id") % 97 == 0, F.lit(0).cast("long")).otherwise(F.col("checksum")))
+    return queues.pop_checked(broken, "host", "event_id", 16, 50)[0].select("host", "event_id")
+
+
+@query("SELECT user_id % 4 AS host, string_agg(event_id::VARCHAR, ',' ORDER BY event_id DESC) AS items FROM events GROUP BY 1")
+def queue_local_sort(spark, d):
+    """What each host holds, sorted in its place."""
+    held = event_queue(spark, d).as_vector("event_id")
+    return held.select("host", F.array_join(F.sort_array("items", asc=False).cast("array<string>"), ",").alias("items"))
+
+
+@query("SELECT DISTINCT user_id % 4 AS host, event_id FROM events")
+def queue_stream(spark, d):
+    """Events through a stream, each of them pushed twice and taken once."""
+    source = scratch(spark, "stream")
+    rows = event_queue(spark, d).rows
+    rows.union(rows).write.parquet(source)
+    out = scratch(spark, "drained")
+    live_queue.drain(live_queue.once(live_queue.listen(spark, source, rows.schema, 2), "host", "event_id"), out, scratch(spark, "offsets")).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)
+
+
 # reductions and atomics
 
 
@@ -237,6 +342,77 @@ def fetch_and_add(spark, d):
     return reduce.fetch_and_add(table(spark, d, "events").select("event_id", "user_id"), ["user_id"], ["event_id"], F.col("event_id") % 7)
 
 
+def _fetch_sql(op: str, value: str, init: str) -> str:
+    own = f"{op} OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"SELECT event_id, user_id, {value.format(own=own, init=init)} AS before FROM events"
+
+
+def _fetch(spark, d, op: str, operand, init):
+    return reduce.fetch_and(op, table(spark, d, "events").select("event_id", "user_id"), ["user_id"], ["event_id"], operand, init)
+
+
+@query(_fetch_sql("sum(CAST(event_id % 7 AS DOUBLE) / CAST(2 AS DOUBLE))", "coalesce({own}, 0) + {init}", "CAST(0.25 AS DOUBLE)"))
+def fetch_and_add_double(spark, d):
+    return _fetch(spark, d, "plus", (F.col("event_id") % 7).cast("double") / 2, F.lit(0.25))
+
+
+@query(_fetch_sql("min(event_id * 7919 % 1000)", "least({init}, coalesce({own}, {init}))::BIGINT", "900"))
+def fetch_and_min(spark, d):
+    return _fetch(spark, d, "min", F.col("event_id") * 7919 % 1000, F.lit(900).cast("long"))
+
+
+@query(_fetch_sql("max(event_id * 7919 % 1000)", "greatest({init}, coalesce({own}, {init}))::BIGINT", "100"))
+def fetch_and_max(spark, d):
+    return _fetch(spark, d, "max", F.col("event_id") * 7919 % 1000, F.lit(100).cast("long"))
+
+
+@query(_fetch_sql("bit_or(1::BIGINT << (event_id % 40)::INT)", "coalesce({own}, 0) | {init}::BIGINT", "1"))
+def fetch_and_or(spark, d):
+    return _fetch(spark, d, "or", F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("event_id") % 40).cast("int")), F.lit(1).cast("long"))
+
+
+@query(_fetch_sql("bit_and(event_id | 3)", "coalesce({own}, {init}::BIGINT) & {init}::BIGINT", "1048575"))
+def fetch_and_and(spark, d):
+    return _fetch(spark, d, "and", F.col("event_id").bitwiseOR(F.lit(3).cast("long")), F.lit(1048575).cast("long"))
+
+
+@query(_fetch_sql("bit_xor(event_id)", "xor(coalesce({own}, 0), {init}::BIGINT)", "5"))
+def fetch_and_xor(spark, d):
+    return _fetch(spark, d, "xor", F.col("event_id"), F.lit(5).cast("long"))
+
+
+@query("SELECT event_id, user_id, coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id), -1)::BIGINT AS before FROM events")
+def fetch_and_swap(spark, d):
+    return _fetch(spark, d, "swap", F.col("event_id"), F.lit(-1).cast("long"))
+
+
+@query("SELECT event_id, coalesce(sum(user_id) OVER (ORDER BY event_id // 100000, event_type, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM events")
+def scan_skewed_order(spark, d):
+    """A scan over everything whose first order column is nearly constant."""
+    e = table(spark, d, "events").select("event_id", "event_type", "user_id", F.expr("event_id div 100000").alias("most"))
+    return scan.exclusive_scan(e, F.col("user_id"), ["most", "event_type", "event_id"], [], "before", per_cell=500).select("event_id", "before")
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS nth FROM lineitem)
+SELECT l_orderkey, count(DISTINCT CASE WHEN nth = l_linenumber THEN nth END)::BIGINT AS final, count(DISTINCT CASE WHEN nth = l_linenumber THEN nth END)::BIGINT AS swaps FROM l GROUP BY 1""")
+def compare_and_swap(spark, d):
+    """Every line of an order swaps its number in for the one before."""
+    ops = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("desired"), (F.col("l_linenumber").cast("long") - 1).alias("expected"))
+    return reduce.compare_and_swap(ops, ["l_orderkey"], "desired", "expected", "desired", F.lit(0))
+
+
+@query("SELECT max_by(event_type, event_id) AS swap, CAST(sum(event_id) AS BIGINT) AS plus FROM events")
+def reduce_swap(spark, d):
+    e = table(spark, d, "events").select("event_id", "event_type")
+    return reduce.reduce_all(e, "event_type", ["swap"], ["event_id"]).crossJoin(reduce.reduce_all(e, "event_id", ["plus"]))
+
+
+@query("SELECT r.rank, s_suppkey FROM (SELECT DISTINCT s_nationkey AS rank FROM supplier) r, supplier WHERE s_nationkey = 3")
+def broadcast_from_root(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("rank"), "s_suppkey")
+    return reduce.broadcast_from(s, "rank", 3, ["s_suppkey"])
+
+
 @query("SELECT l_orderkey, min_by(l_suppkey, l_linenumber * 1000 + l_suppkey) AS winner FROM lineitem GROUP BY 1")
 def cas_claim(spark, d):
     return reduce.claim(table(spark, d, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_suppkey"], "l_suppkey")
@@ -291,6 +467,13 @@ def sp_gemm_maxmin(spark, d):
     return a.T.dot(a, "max", F.least, salt=4).cells
 
 
+@query(f"WITH a AS ({A_SQL}) SELECT x.j AS i, y.j AS j, CAST(bit_xor(x.v * y.v) AS BIGINT) AS v FROM a x JOIN a y ON x.i = y.i GROUP BY 1, 2")
+def sp_gemm_custom(spark, d):
+    """A product with an aggregate and a map of one's own, split by the counts of each inner index."""
+    a = orders_by_suppliers(spark, d)
+    return a.T.dot(a, F.bit_xor, lambda x, y: x * y, salt="auto").cells
+
+
 _B_SQL = "SELECT s_suppkey AS i, c.j AS j, ((s_suppkey * 31 + c.j * 17) % 101)::BIGINT AS v FROM supplier, range(4) c(j)"
 
 
@@ -336,11 +519,27 @@ def sp_compression(spark, d):
     return a.T.compression(a)
 
 
-@query(f"WITH a AS ({A_SQL}), n AS (SELECT i, count(*) AS c FROM a GROUP BY 1) SELECT i, coalesce(CAST(sum(c) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS row_ptr FROM n")
+_PTR = f"WITH a AS ({A_SQL}), n AS (SELECT i, count(*) AS c FROM a GROUP BY 1), m AS (SELECT max(o_orderkey) + 1 AS m FROM orders) SELECT r.i::BIGINT AS i, coalesce(CAST(sum(coalesce(c, 0)) OVER (ORDER BY r.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS row_ptr FROM (SELECT unnest(range(m + 1)) AS i FROM m) r LEFT JOIN n ON n.i = r.i"
+
+
+@query(_PTR)
 def sp_row_ptr(spark, d):
     return orders_by_suppliers(spark, d).row_ptr()
 
 
+@query(_PTR)
+def sp_gather(spark, d):
+    """Row pointers of the whole matrix as the driver gathers it."""
+    ptr, columns, values = orders_by_suppliers(spark, d).gather_csr()
+    assert len(columns) == len(values) == ptr[-1]
+    return spark.createDataFrame(enumerate(ptr.tolist()), "i long, row_ptr long")
+
+
+@query(f"WITH a AS ({A_SQL}) SELECT i, j, v, (row_number() OVER (ORDER BY i, j) - 1)::BIGINT AS pos FROM a")
+def sp_sorted(spark, d):
+    return scan.ticket(orders_by_suppliers(spark, d).cells, ["i", "j"], [], "pos")
+
+
 @query(f"WITH a AS ({A_SQL}) SELECT i - 100 AS i, j - 10 AS j, v FROM a WHERE i >= 100 AND i < 2000 AND j >= 10 AND j < 60")
 def sp_slice(spark, d):
     return orders_by_suppliers(spark, d).slice((100, 2000), (10, 60)).cells
@@ -356,10 +555,20 @@ def sp_transpose(spark, d):
     return orders_by_suppliers(spark, d).T.cells
 
 
-@query(f"WITH a AS ({A_SQL}) SELECT i, string_agg(j || ':' || v, ' ' ORDER BY j) AS entries FROM a GROUP BY 1")
+@query(f"WITH p AS ({_PTR}), a AS ({A_SQL}), e AS (SELECT i, string_agg(j || ':' || v, ' ' ORDER BY j) AS entries FROM a GROUP BY 1) SELECT p.i, p.row_ptr, coalesce(entries, '') AS entries FROM p LEFT JOIN e ON e.i = p.i WHERE p.i <= (SELECT max(o_orderkey) FROM orders)")
 def sp_csr(spark, d):
     csr = orders_by_suppliers(spark, d).to_csr()
-    return csr.select("i", F.array_join(F.zip_with("col_ind", "vals", lambda j, v: F.concat(j.cast("string"), F.lit(":"), v.cast("string"))), " ").alias("entries"))
+    return csr.select("i", "row_ptr", F.array_join(F.zip_with("col_ind", "vals", lambda j, v: F.concat(j.cast("string"), F.lit(":"), v.cast("string"))), " ").alias("entries"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS k FROM lineitem),
+u AS (SELECT l_orderkey, bool_or(l_suppkey <= p) AS bad FROM (SELECT *, lag(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY k) AS p FROM l) GROUP BY 1)
+SELECT (SELECT count(*) FROM u WHERE bad)::BIGINT AS unsorted, (SELECT count(*) FROM l WHERE l_suppkey >= 40)::BIGINT AS outside, (SELECT count(*) FROM u WHERE l_orderkey % 10 = 0)::BIGINT AS uneven""")
+def csr_check(spark, d):
+    """Rows in order of their lines, not of their columns; some with a value too many."""
+    l = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("i")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))).alias("e"))
+    vals = F.when(F.col("i") % 10 == 0, F.array_append(F.col("e.l_linenumber"), F.lit(0).cast(dict(table(spark, d, "lineitem").dtypes)["l_linenumber"]))).otherwise(F.col("e.l_linenumber"))
+    return check_csr(l.select("i", F.col("e.l_suppkey").alias("col_ind"), vals.alias("vals")), (1, 40))
 
 
 @query(f"WITH a AS ({A_SQL}) SELECT i, j, v // 10 AS v FROM a WHERE v // 10 <> 0")
@@ -367,9 +576,11 @@ def sp_remove_zeros(spark, d):
     return orders_by_suppliers(spark, d).apply(lambda v: F.floor(v / 10).cast("long")).remove_zeros().cells
 
 
-@query("SELECT 0::BIGINT AS outside, 0::BIGINT AS repeated")
+@query("SELECT count(*) FILTER (l_suppkey >= 50)::BIGINT AS outside, (count(*) - count(DISTINCT (l_orderkey // 4, l_suppkey)))::BIGINT AS repeated FROM lineitem")
 def sp_verify(spark, d):
-    return orders_by_suppliers(spark, d).verify()
+    """Entries that repeat, and columns beyond the shape."""
+    rows = table(spark, d, "lineitem").select(F.expr("l_orderkey div 4").alias("i"), F.col("l_suppkey").alias("j"), F.lit(1).alias("v"))
+    return Matrix(rows, (1 << 40, 50)).verify()
 
 
 @query("SELECT l_orderkey AS i, l_suppkey AS j, max_by(CAST(l_quantity AS BIGINT), (CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey) * 100 + CAST(l_quantity AS BIGINT)) AS v FROM lineitem GROUP BY 1, 2")
@@ -381,10 +592,10 @@ def sp_last_wins(spark, d):
 # dense matrices
 
 
-@query(f"WITH e AS ({E_SQL}) SELECT x.i, y.i AS j, CAST(sum(x.v * y.v) AS BIGINT) AS v FROM e x JOIN e y ON x.j = y.j WHERE x.i < 50 AND y.i < 50 GROUP BY 1, 2")
+@query(f"WITH e AS ({E_SQL}) SELECT x.j AS i, y.j AS j, CAST(sum(x.v * y.v) AS BIGINT) AS v FROM e x JOIN e y ON x.i = y.i GROUP BY 1, 2")
 def dm_gemm(spark, d):
-    e = quantised(spark, d).slice((0, 50), (0, 64))
-    return e.dot(e.T).cells
+    e = quantised(spark, d)
+    return e.T.dot(e).cells
 
 
 @query(f"WITH e AS ({E_SQL}) SELECT x.j AS i, y.j AS j, CAST(sum(x.v * y.v) AS DOUBLE) AS v FROM e x JOIN e y ON x.i = y.i GROUP BY 1, 2")
@@ -393,13 +604,20 @@ def dm_gemm_tiled(spark, d):
     return e.T.dot_tiled(e, 64).cells
 
 
-@query(f"WITH e AS (SELECT * FROM ({E_SQL}) WHERE i < 64) SELECT x.i, x.j, x.v + y.v AS added, x.v - y.v AS subtracted, x.v * y.v AS multiplied FROM e x JOIN e y ON x.i = y.j AND x.j = y.i")
+@query(f"WITH e AS ({E_SQL}) SELECT x.i, x.j, x.v + y.v AS added, x.v - y.v AS subtracted, x.v * y.v AS multiplied, CASE WHEN y.v <> 0 THEN CAST(x.v AS DOUBLE) / CAST(y.v AS DOUBLE) END AS divided FROM e x JOIN e y ON x.i = y.i AND x.j = 63 - y.j")
 def dm_binary(spark, d):
-    e = quantised(spark, d).slice((0, 64), (0, 64))
-    both = e.zip(e.T, lambda a, b: F.struct((a + b).alias("added"), (a - b).alias("subtracted"), (a * b).alias("multiplied")))
+    """E with its columns in reverse."""
+    e = quantised(spark, d)
+    turned = Matrix(e.cells.select("i", (63 - F.col("j")).alias("j"), "v"), e.shape, True)
+    both = e.zip(turned, lambda a, b: F.struct((a + b).alias("added"), (a - b).alias("subtracted"), (a * b).alias("multiplied"), F.try_divide(a.cast("double"), b.cast("double")).alias("divided")))
     return both.cells.select("i", "j", "v.*")
 
 
+@query(f"SELECT i, j, 7::BIGINT AS v FROM ({E_SQL})")
+def dm_fill(spark, d):
+    return quantised(spark, d).fill(7).cells
+
+
 @query(f"SELECT CAST(sum(v) AS BIGINT) AS total FROM ({E_SQL})")
 def dm_sum(spark, d):
     return quantised(spark, d).sum()
@@ -446,10 +664,12 @@ def dm_fill_range(spark, d):
     return Matrix.fill_range(spark, (40, 50), 71).cells
 
 
-@query("SELECT 0::BIGINT AS differing")
+@query(f"SELECT count(*) FILTER (i % 5 = 0 OR j = 3)::BIGINT AS differing FROM ({E_SQL})")
 def dm_allclose(spark, d):
+    """One row in five is off by one, one column is missing, the others differ by rounding."""
     e = quantised(spark, d).apply(lambda v: v.cast("double"))
-    return e.allclose(e.apply(lambda v: v * (1 + 1e-9)))
+    other = e.apply_by_index(lambda i, j, v: v * (1 + 1e-9) + F.when(i % 5 == 0, 1.0).otherwise(0.0))
+    return e.allclose(Matrix(other.cells.where("j <> 3"), e.shape))
 
 
 # arrays
@@ -462,12 +682,20 @@ def array_blocks(spark, d):
     return arrays.BlockedArray(o, n, 8).placed()
 
 
-@query("SELECT o_orderkey AS idx, CASE WHEN o_orderkey BETWEEN 10 AND 19 THEN -1 ELSE o_custkey END AS value FROM orders")
+@query("SELECT o_orderkey AS idx, CASE WHEN o_orderkey BETWEEN 10 AND 19 THEN -2 ELSE o_custkey END AS value FROM orders")
 def array_put(spark, d):
+    """Two writes of each cell, of which the later stays."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_custkey").alias("value"))
     n = o.agg(F.max("idx")).first()[0] + 1
-    new = o.where("idx between 10 and 19").select("idx", F.lit(-1).cast("long").alias("value"))
-    return arrays.BlockedArray(o, n).put(new).rows
+    cells = o.where("idx between 10 and 19")
+    new = cells.select("idx", F.lit(-1).cast("long").alias("value"), F.lit(1).alias("seq")).union(cells.select("idx", F.lit(-2).cast("long"), F.lit(2)))
+    return arrays.BlockedArray(o, n).put(new, ["seq"]).rows
+
+
+@query("SELECT o_orderkey AS idx, CASE WHEN o_orderkey NOT BETWEEN 10 AND 19 THEN o_custkey END AS value FROM orders")
+def array_free(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_custkey").alias("value"))
+    return arrays.BlockedArray(o, o.agg(F.max("idx")).first()[0] + 1).free(10, 10).rows
 
 
 @query("SELECT o_orderkey - 100 AS idx, o_custkey AS value FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 150")
@@ -495,7 +723,7 @@ def kmer_steps(spark, d):
 
 
 @query("SELECT conv_id, count(*)::BIGINT AS turns, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations GROUP BY 1")
-def contig_walk(spark, d):
+def chain_walk(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", "role")
     name = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
     nodes = c.select("conv_id", name(F.col("turn")).alias("node"), name(F.col("turn") + 1).alias("next"), "role")
@@ -505,10 +733,130 @@ def contig_walk(spark, d):
     return placed.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "role"))), lambda x: x["role"]), ">").alias("roles"))
 
 
-@query("SELECT event_id, user_id % 8 AS dest, CASE WHEN event_id % 2 = 0 THEN event_id * user_id ELSE event_id + user_id END AS result FROM events")
+@query(f"SELECT p_partkey, s AS unpacked, ceil(length(s) / 4)::BIGINT AS bytes FROM (SELECT p_partkey, {_BASES} AS s FROM part)")
+def kmer_pack(spark, d):
+    s = table(spark, d, "part").select("p_partkey", F.expr(_BASES).alias("s"))
+    packed = strings.pack_kmer(F.col("s"))
+    return s.select("p_partkey", strings.unpack_kmer(packed, F.length("s")).alias("unpacked"), F.octet_length(packed).cast("long").alias("bytes"))
+
+
+_DNA = "translate(printf('%08d', p_partkey) || printf('%08d', (p_partkey * 7919) % 99999989) || printf('%08d', (p_partkey * 104729) % 99999989), '0123456789', 'ACGTACGTAC') || printf('%08d', p_partkey)"
+_READS = f"SELECT p_partkey, translate(reverse({_DNA}), '0123456789', 'GTCAGTCAGT') AS s FROM part"
+
+
+def reads(spark, d) -> DataFrame:
+    """A made-up sequence of 32 bases for each part."""
+    digits = lambda x: F.lpad(x.cast("string"), 8, "0")
+    key = F.col("p_partkey").cast("long")
+    head = F.translate(F.concat(digits(key), digits(key * 7919 % 99999989), digits(key * 104729 % 99999989)), "0123456789", "ACGTACGTAC")
+    return table(spark, d, "part").select("p_partkey", F.translate(F.reverse(F.concat(head, digits(key))), "0123456789", "GTCAGTCAGT").alias("s"))
+
+
+def kmers(spark, d) -> DataFrame:
+    """The four 29-mers of each read with their extensions; those that several reads share are left out."""
+    k = F.explode(F.sequence(F.lit(1), F.lit(4)))
+    cut = reads(spark, d).select("s", k.alias("k")).select(F.expr("substring(s, k, 29)").alias("kmer"), F.when(F.col("k") == 1, "F").otherwise(F.expr("substring(s, k - 1, 1)")).alias("bwd"), F.when(F.col("k") == 4, "F").otherwise(F.expr("substring(s, k + 29, 1)")).alias("fwd"), "s")
+    once = cut.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n = 4").select("s")
+    return cut.join(once, "s").select("kmer", "bwd", "fwd")
+
+
+_WHOLE = f"SELECT s FROM ({_READS}) GROUP BY 1 HAVING count(*) = 1"
+
+
+@query(f"SELECT substr(s, 1, 29) AS start, s AS contig, 4::BIGINT AS nodes FROM ({_WHOLE})")
+def contigs(spark, d):
+    return graph.contigs(kmers(spark, d))
+
+
+@query(f"SELECT substr(s, k, 29) AS kmer, CASE WHEN k = 1 THEN 'F' ELSE substr(s, k - 1, 1) END AS bwd, CASE WHEN k = 4 THEN 'F' ELSE substr(s, k + 29, 1) END AS fwd FROM ({_WHOLE}), (SELECT unnest([1, 2, 3, 4]) AS k)")
+def kmer_file(spark, d):
+    """K-mers written as fixed lines and read again."""
+    path = scratch(spark, "kmers")
+    kmers(spark, d).select(F.concat("kmer", F.lit(" "), "bwd", "fwd")).write.text(path)
+    return matrix_files.read_kmers(spark, path, 29)
+
+
+@query(f"SELECT s AS contig FROM ({_WHOLE})")
+def contig_file(spark, d):
+    path = scratch(spark, "contigs")
+    found = graph.contigs(kmers(spark, d))
+    matrix_files.write_contigs(found.union(found.limit(1).select("start", F.lit("ACGT"), "nodes")), path, 30)
+    return spark.read.text(path).select(F.col("value").alias("contig"))
+
+
+# files
+
+
+@query(f"SELECT i, j, CAST(v AS DOUBLE) AS v FROM ({A_SQL})")
+def market_file(spark, d):
+    """A matrix written as part files of text and read again."""
+    path = scratch(spark, "market") + ".mtx"
+    matrix_files.write_matrix_market(orders_by_suppliers(spark, d), path, parts=None)
+    return matrix_files.read_matrix(spark, path).cells
+
+
+@query("SELECT max(o_orderkey) + 1 AS m, (SELECT max(s_suppkey) + 1 FROM supplier) AS n, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem))::BIGINT AS nnz FROM orders")
+def market_info(spark, d):
+    path = scratch(spark, "market") + ".mtx"
+    matrix_files.write_matrix_market(orders_by_suppliers(spark, d), path)
+    info = matrix_files.matrix_info(spark, path)
+    return spark.createDataFrame([(*info.shape, info.nnz)], "m long, n long, nnz long")
+
+
+@query(f"SELECT i, j, CAST(v AS DOUBLE) AS v FROM ({E_SQL})")
+def binary_file(spark, d):
+    """A matrix written as one binary file and read in parts."""
+    path = scratch(spark, "matrix") + ".binary"
+    matrix_files.write_binary(quantised(spark, d), path)
+    return matrix_files.read_matrix(spark, path).cells
+
+
+@query(f"SELECT i - 20 AS i, j, CAST(v AS DOUBLE) AS v FROM ({E_SQL}) WHERE i >= 20 AND i < 45")
+def binary_file_rows(spark, d):
+    path = scratch(spark, "matrix") + ".binary"
+    matrix_files.write_binary(quantised(spark, d), path)
+    return matrix_files.read_binary(spark, path, rows=(20, 45)).cells
+
+
+# layouts
+
+
+@query("SELECT n::BIGINT AS n, (n // max(q))::BIGINT AS p, max(q)::BIGINT AS q, floor(sqrt(n))::BIGINT AS side FROM range(1, 200) r(n), range(1, 15) s(q) WHERE n % q = 0 AND q * q <= n GROUP BY n")
+def layout_factor(spark, d):
+    return spark.createDataFrame([(n, *factor(n), Blocking.square(n).grid[0]) for n in range(1, 200)], "n long, p long, q long, side long")
+
+
+@query("""WITH f AS (SELECT n, n // max(q) AS p, max(q) AS q FROM range(1, 200) r(n), range(1, 15) s(q) WHERE n % q = 0 AND q * q <= n GROUP BY n)
+SELECT n::BIGINT AS n, p::BIGINT AS a0, ceil(n / p)::BIGINT AS a1, ceil(n / p)::BIGINT AS b0, q::BIGINT AS b1, p::BIGINT AS c0, q::BIGINT AS c1 FROM f""")
+def layout_matmul(spark, d):
+    return spark.createDataFrame([(n, *(x for b in block_matmul(300, 100, 200, n) for x in b.grid)) for n in range(1, 200)], "n long, a0 long, a1 long, b0 long, b1 long, c0 long, c1 long")
+
+
+# calls
+
+
+@query("SELECT event_id, user_id % 8 AS dest, (user_id % 8)::INT AS rank, CASE WHEN event_id % 2 = 0 THEN event_id * user_id ELSE event_id + user_id END AS result FROM events")
 def rpc_calls(spark, d):
-    c = table(spark, d, "events").select("event_id", (F.col("user_id") % 8).alias("dest"), F.col("event_id").alias("a"), F.col("user_id").alias("b"), F.when(F.col("event_id") % 2 == 0, "mul").otherwise("add").alias("fn"))
-    return calls.call(c, {"mul": lambda a, b: a * b, "add": lambda a, b: a + b}, ["a", "b"]).select("event_id", "dest", "result")
+    """Calls that run where they are sent."""
+    return calls.call_remote(_calls(spark, d), "dest", 8, _FUNCTIONS, ["a", "b"]).select("event_id", "dest", "rank", "result")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id * user_id ELSE event_id + user_id END AS result FROM events")
+def rpc_async(spark, d):
+    """Calls as a job of its own, whose results are waited for."""
+    return calls.call_async(_calls(spark, d), _FUNCTIONS, ["a", "b"], scratch(spark, "calls")).get().select("event_id", "result")
+
+
+_FUNCTIONS = {"mul": lambda a, b: a * b, "add": lambda a, b: a + b}
+
+
+def _calls(spark, d) -> DataFrame:
+    return table(spark, d, "events").select("event_id", (F.col("user_id") % 8).alias("dest"), F.col("event_id").alias("a"), F.col("user_id").alias("b"), F.when(F.col("event_id") % 2 == 0, "mul").otherwise("add").alias("fn"))
+
+
+@query("SELECT id::BIGINT AS id, (id * id)::BIGINT AS value FROM range(1000) r(id)")
+def launch(spark, d):
+    return calls.launch(spark, 1000, lambda i: i * i)
 
 
 @query("SELECT (event_id % 13)::BIGINT AS lane, event_id, (row_number() OVER (PARTITION BY event_id % 13 ORDER BY event_id) - 1)::BIGINT AS ticket FROM events")

@@ -77,18 +77,14 @@ class Blocking:
 
     @classmethod
     def fitted(cls, m: int, n: int, ranks: int, least: int = 1024, pieces: int = 8) -> Blocking:
-        """A grid with the aspect ratio of the matrix, and tiles split along the longer side
-        while they are at least ``least`` long, into at most ``pieces``."""
+        """A grid with the aspect ratio of the matrix. Where it has few columns, tiles are split
+        along the columns, into at most ``pieces`` (or the grid's columns) of at least ``least``."""
         p, q = max(1, int(sqrt(m * ranks / n))), max(1, int(sqrt(n * ranks / m)))
         if p * q != ranks:
-            if p < q:
-                p = max(d for d in range(1, min(p, ranks) + 1) if ranks % d == 0)
-                q = ranks // p
-            else:
-                q = max(d for d in range(1, min(q, ranks) + 1) if ranks % d == 0)
-                p = ranks // q
-        cut = lambda size, parts: ceil(ceil(size / parts) / max(1, min(pieces, ceil(size / parts) // least)))
-        return cls((p, q), (cut(m, p), cut(n, q)))
+            lesser = max(d for d in range(1, min(p, q, ranks) + 1) if ranks % d == 0)
+            p, q = (lesser, ranks // lesser) if p <= q else (ranks // lesser, lesser)
+        parts = q if q >= pieces else next((k for k in range(pieces, q, -1) if ceil(n / k) >= least), q)
+        return cls((p, q), (ceil(m / p), ceil(n / parts)))
 
     def tile_shape(self, m: int, n: int) -> tuple[int, int]:
         return self.tile[0] or ceil(m / self.grid[0]), self.tile[1] or ceil(n / self.grid[1])

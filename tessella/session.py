@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,3 +35,26 @@ def reachable(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables below ``sf_dir``; projections and filters reach the scan."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``, whose files go when the session ends.
+    Where that is unset a local session gets a temporary folder; a cluster must name one that all
+    its machines share."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or getattr(context, "_tessella_scratch", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = context._tessella_scratch = tempfile.mkdtemp(prefix="tessella-")
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a path of ``scratch`` that nothing reads any more."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)

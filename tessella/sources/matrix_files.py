@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import struct
+import tempfile
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.matrix import Matrix
+from ..operators.scan import exclusive_scan
 
 BANNER = "%%MatrixMarket"
 
@@ -32,31 +35,46 @@ def file_type(path: str) -> str:
 def matrix_info(spark: SparkSession, path: str) -> MatrixInfo:
     """Shape and number of entries, from the header alone."""
     if file_type(path) == "binary":
-        head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 24).alias("h")).first()["h"]
-        m, n, nnz = struct.unpack("<QQQ", bytes(head))
+        m, n, nnz = struct.unpack("<QQQ", b"".join(spark.sparkContext.binaryRecords(path, 8).take(3)))
         return MatrixInfo((m, n), nnz)
-    size = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != "")).first()["value"]
-    m, n, nnz = map(int, size.split())
-    return MatrixInfo((m, n), nnz)
+    return _header(spark, path)[0]
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their file, where their part of it begins, and a number that ascends in a part."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+
+
+def _header(spark: SparkSession, path: str) -> tuple[MatrixInfo, dict, list[str]]:
+    """Sizes, where their line is, and the words of the banner. Of several part files one has both."""
+    lines = _lines(spark, path).where("block = 0")
+    banner = lines.where(F.col("value").startswith(BANNER)).orderBy("file", "line").first()
+    if banner is None:
+        size = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "")).orderBy("file", "line").first()
+    else:
+        size = lines.where((F.col("file") == banner["file"]) & ~F.col("value").startswith("%") & (F.trim("value") != "")).orderBy("line").first()
+    m, n, nnz = map(int, size["value"].split())
+    return MatrixInfo((m, n), nnz), size.asDict(), banner["value"].split() if banner else []
 
 
 def read_matrix_market(spark: SparkSession, path: str, one_indexed: bool = True) -> Matrix:
     """Coordinate files, any field (``pattern`` reads as 1), general or symmetric. Of equal
     coordinates the first line stays. Errors: another banner or symmetry, entries outside the
     shape, more entries than declared; fewer are accepted."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
-    banner = lines.first()["value"].split()
-    if len(banner) < 5 or banner[0] != BANNER or [b.lower() for b in banner[1:3]] != ["matrix", "coordinate"]:
+    info, header, banner = _header(spark, path)
+    if len(banner) < 5 or [b.lower() for b in banner[1:3]] != ["matrix", "coordinate"]:
         raise ValueError(f"not a coordinate Matrix Market file: {path}")
     field, symmetry = banner[3].lower(), banner[4].lower()
     if symmetry not in ("general", "symmetric"):
         raise ValueError(f"unsupported symmetry {symmetry}")
-    data = lines.where(~F.col("value").startswith("%") & (F.trim("value") != ""))
-    header = data.orderBy("line").first()
-    m, n, nnz = map(int, header["value"].split())
+    data = _lines(spark, path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    (m, n), nnz = info.shape, info.nnz
     parts, shift = F.split(F.trim("value"), r"\s+"), int(one_indexed)
     v = F.lit(1.0) if field == "pattern" else parts[2].cast("double")
-    rows = data.where(F.col("line") != header["line"]).select((parts[0].cast("long") - shift).alias("i"), (parts[1].cast("long") - shift).alias("j"), v.alias("v"), "line")
+    # in a part file lines are known by file, part and number
+    line = F.struct("file", "block", "line")
+    rest = data.where((F.col("file") != header["file"]) | (F.col("block") != 0) | (F.col("line") != header["line"]))
+    rows = rest.select((parts[0].cast("long") - shift).alias("i"), (parts[1].cast("long") - shift).alias("j"), v.alias("v"), line.alias("line"))
     found, low_i, low_j, high_i, high_j = rows.agg(F.count(F.lit(1)), F.min("i"), F.min("j"), F.max("i"), F.max("j")).first()
     if found > nnz:
         raise ValueError(f"{found} entries where {nnz} are declared")
@@ -67,8 +85,10 @@ def read_matrix_market(spark: SparkSession, path: str, one_indexed: bool = True)
     return Matrix.from_coo(rows, (m, n), "first", "line")
 
 
-def write_matrix_market(matrix: Matrix, path: str, one_indexed: bool = True) -> None:
-    """One text file in order of (i, j), with the field of the values."""
+def write_matrix_market(matrix: Matrix, path: str, one_indexed: bool = True, parts: int | None = 1) -> None:
+    """Text in order of (i, j), with the field of the values: one file, or with ``parts`` None as
+    many part files as the sort makes (the first one holds the header; ``read_matrix_market``
+    reads the folder)."""
     kind = dict(matrix.cells.dtypes)["v"]
     field = "integer" if kind in ("bigint", "int", "smallint", "tinyint") else "real"
     nnz = matrix.cells.count()
@@ -76,17 +96,67 @@ def write_matrix_market(matrix: Matrix, path: str, one_indexed: bool = True) ->
     spark = matrix.cells.sparkSession
     head = spark.createDataFrame([(-2, -1, f"{BANNER} matrix coordinate {field} general"), (-1, -1, f"{matrix.shape[0]} {matrix.shape[1]} {nnz}")], "i long, j long, value string")
     body = matrix.cells.select("i", "j", F.concat_ws(" ", (F.col("i") + shift).cast("string"), (F.col("j") + shift).cast("string"), F.col("v").cast("string")).alias("value"))
-    head.unionByName(body).coalesce(1).sortWithinPartitions("i", "j").select("value").write.text(path)
+    both = head.unionByName(body)
+    ordered = both.coalesce(1).sortWithinPartitions("i", "j") if parts == 1 else both.repartitionByRange(*([parts] if parts else []), "i", "j").sortWithinPartitions("i", "j")
+    ordered.select("value").write.text(path)
+
+
+#: Bytes of a record that a binary file is read in, at most.
+RECORD = 1 << 20
+
+
+def _words(spark: SparkSession, path: str, total: int) -> DataFrame:
+    """(at, raw): a binary file of ``total`` 8-byte words in records, with the number of their
+    first word; tasks read parts of the file."""
+    per = max(d for d in range(1, min(total, RECORD // 8) + 1) if total % d == 0)
+    records = spark.sparkContext.binaryRecords(path, 8 * per).zipWithIndex()
+    return spark.createDataFrame(records.map(lambda x: (x[1] * per, bytearray(x[0]))), "at long, raw binary")
 
 
-def read_binary(spark: SparkSession, path: str, value: str = "<f8", index: str = "<i8") -> Matrix:
-    """Raw CSR: three uint64 (rows, columns, entries), values, column indices, row pointers."""
+def read_binary(spark: SparkSession, path: str, value: str = "<f8", index: str = "<i8", rows: tuple[int, int] | None = None) -> Matrix:
+    """Raw CSR: three uint64 (rows, columns, entries), values, column indices, row pointers; with
+    ``rows`` only [first, end) of them, numbered from 0, of which no other entry is kept.
+
+    Files of 8-byte values and indices are read in parts by many tasks; words find their entry by
+    its number, and entries their row by a scan over the row pointers. Others are read whole by
+    one task (up to 2 GB)."""
     info = matrix_info(spark, path)
+    (m, n), nnz = info.shape, info.nnz
+    if np.dtype(value).itemsize == np.dtype(index).itemsize == 8:
+        words = _words(spark, path, 4 + 2 * nnz + m)
+
+        def section(begin: int, size: int, dtype: str, kind: str) -> DataFrame:
+            """(e, x): words begin .. begin + size as numbers, numbered from 0."""
+
+            def decode(batches):
+                for pdf in batches:
+                    for at, raw in zip(pdf["at"], pdf["raw"], strict=True):
+                        x = np.frombuffer(raw, dtype)
+                        e = np.arange(at - begin, at - begin + len(x))
+                        inside = (e >= 0) & (e < size)
+                        yield pd.DataFrame({"e": e[inside], "x": x[inside]})
+
+            near = words.where((F.col("at") < begin + size) & (F.col("at") + F.octet_length("raw") / 8 > begin))
+            return near.mapInPandas(decode, f"e long, x {kind}")
+
+        pointers = section(3 + 2 * nnz, m + 1, index, "long")
+        first, end = rows or (0, m)
+        end = min(end, m)
+        low, high = 0, nnz
+        if rows:  # two pointers tell which entries the rows hold
+            ends = {r["e"]: r["x"] for r in pointers.where(F.col("e").isin(first, end)).collect()}
+            low, high = ends[first], ends[end]
+        inside = (F.col("e") >= low) & (F.col("e") < high)
+        values = section(3, nnz, value, "double").where(inside).withColumnRenamed("x", "v")
+        columns = section(3 + nnz, nnz, index, "long").where(inside).withColumnRenamed("x", "j")
+        entries = values.join(columns, "e").select("e", F.lit(1).alias("of"), F.lit(None).cast("long").alias("i"), "j", "v")
+        starts = pointers.where((F.col("e") >= first) & (F.col("e") < end)).select(F.col("x").alias("e"), F.lit(0).alias("of"), F.col("e").alias("i"), F.lit(None).cast("long").alias("j"), F.lit(None).cast("double").alias("v"))
+        placed = exclusive_scan(entries.union(starts), F.col("i"), ["e", "of", "i"], [], "row", "max").where("of = 1")
+        return Matrix(placed.select((F.col("row") - first).alias("i"), "j", "v"), (max(0, end - first), n))
 
     def decode(batches):
         for pdf in batches:
             for raw in pdf["content"]:
-                m, _, nnz = struct.unpack("<QQQ", raw[:24])
                 wv, wi = np.dtype(value).itemsize, np.dtype(index).itemsize
                 v = np.frombuffer(raw, value, nnz, 24)
                 j = np.frombuffer(raw, index, nnz, 24 + wv * nnz)
@@ -97,18 +167,60 @@ def read_binary(spark: SparkSession, path: str, value: str = "<f8", index: str =
                     yield pd.DataFrame({"i": i[cut].astype(np.int64), "j": j[cut].astype(np.int64), "v": v[cut].astype(np.float64)})
 
     cells = spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, "i long, j long, v double")
-    return Matrix(cells, info.shape)
+    whole = Matrix(cells, info.shape)
+    return whole.slice(rows, (0, n)) if rows else whole
+
+
+class _Sink:
+    """A file in any store that Spark reaches, written from the driver."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        context = spark.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        self._out = at.getFileSystem(context._jsc.hadoopConfiguration()).create(at, True)
+
+    def write(self, raw: bytes) -> None:
+        self._out.write(bytearray(raw))
+
+    def __enter__(self) -> _Sink:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._out.close()
 
 
 def write_binary(matrix: Matrix, path: str, value: str = "<f8", index: str = "<i8") -> None:
-    """The inverse of ``read_binary`` for a matrix that the driver can hold: the format is one
-    file of contiguous arrays."""
-    rows = matrix.cells.orderBy("i", "j").toPandas()
-    ptr = np.concatenate([[0], np.cumsum(np.bincount(rows["i"], minlength=matrix.shape[0]))])
-    with open(path, "wb") as f:
-        f.write(struct.pack("<QQQ", *matrix.shape, len(rows)))
-        for array, kind in ((rows["v"], value), (rows["j"], index), (ptr, index)):
-            f.write(np.asarray(array).astype(kind).tobytes())
+    """The inverse of ``read_binary``. The format is one file of contiguous arrays, so the driver
+    writes it, from one sorted partition at a time: it holds no more than that."""
+    nnz, (m, n) = matrix.cells.count(), matrix.shape
+    sorted_ = matrix.cells.select("i", "j", "v").orderBy("i", "j")
+    with _Sink(matrix.cells.sparkSession, path) as out, tempfile.TemporaryFile() as columns, tempfile.TemporaryFile() as pointers:
+        out.write(struct.pack("<QQQ", m, n, nnz))
+        row, seen = -1, 0
+        batch: list = []
+
+        def flush() -> None:
+            nonlocal row, seen
+            i = np.array([r[0] for r in batch], np.int64)
+            out.write(np.array([r[2] for r in batch]).astype(value).tobytes())
+            columns.write(np.array([r[1] for r in batch]).astype(index).tobytes())
+            # the pointer of every row up to the last one met: entries before it
+            reach = np.arange(row + 1, i[-1] + 1)
+            pointers.write((seen + np.searchsorted(i, reach)).astype(index).tobytes())
+            row, seen = int(i[-1]), seen + len(i)
+            batch.clear()
+
+        for r in sorted_.toLocalIterator():
+            batch.append(r)
+            if len(batch) == 1 << 16:
+                flush()
+        if batch:
+            flush()
+        for start in range(row + 1, m + 1, 1 << 16):
+            pointers.write(np.full(min(1 << 16, m + 1 - start), seen).astype(index).tobytes())
+        for part in (columns, pointers):
+            part.seek(0)
+            shutil.copyfileobj(part, out)
 
 
 def read_matrix(spark: SparkSession, path: str) -> Matrix:

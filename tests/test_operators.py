@@ -36,9 +36,11 @@ def test_map_array_values(spark):
 
 def test_find_or_insert_returns_table(spark):
     old = KeyedTable(spark.createDataFrame([(1, 10)], "k long, v int"), ("k",), ("v",))
-    seen, table = old.find_or_insert(spark.createDataFrame([(1,), (2,), (2,)], "k long"), {"v": F.lit(0)})
-    assert rows(seen, "k") == [(1, 10, False), (2, 0, True), (2, 0, True)]
-    assert rows(table.scan(), "k") == [(1, 10), (2, 0)]
+    seen, table = old.find_or_insert(spark.createDataFrame([(1, 0), (2, 1), (2, 2)], "k long, at int"), {"v": F.col("at") + 5}, ["at"])
+    assert rows(seen, "at") == [(1, 0, 10, False), (2, 1, 6, True), (2, 2, 6, False)]
+    assert rows(table.scan(), "k") == [(1, 10), (2, 6)]
+    twice, _ = table.find_or_insert(spark.createDataFrame([(2, 9)], "k long, at int"), {"v": F.col("at")}, ["at"])
+    assert rows(twice) == [(2, 9, 6, False)]
 
 
 def test_bloom_sizes_and_rates(spark):
@@ -50,6 +52,15 @@ def test_bloom_sizes_and_rates(spark):
     assert bloom.test(outside, "x").where("maybe").count() < 400
     more = bloom.insert(outside.limit(10), "x")
     assert more.test(outside.limit(10), "x").where("not maybe").count() == 0
+    before, _ = bloom.insert_seen(outside, "x")
+    assert before.where("maybe").count() < 400
+
+
+def test_bloom_semijoin_without_a_small_filter(spark, monkeypatch):
+    probes, build = spark.range(100).toDF("a"), spark.range(0, 300, 3).toDF("b")
+    for limit in (membership.BROADCAST, 0):
+        monkeypatch.setattr(membership, "BROADCAST", limit)
+        assert membership.bloom_semijoin(probes, "a", build, "b", 100).count() == 34
 
 
 def test_exchange_capacity(spark):
@@ -66,6 +77,30 @@ def test_scan_with_nulls_and_ties(spark):
     assert scan.ticket(df.limit(0), ["x", "y"]).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["skewed", "constant", "string", "date", "tied"])
+@pytest.mark.parametrize("op", ["plus", "min", "xor", "swap"])
+def test_scan_in_many_cells(spark, kind, op):
+    """Groups cut into cells of forty rows, in orders that even widths would not cut."""
+    x = {"skewed": "case when id = 0 then 1000000000 else id % 500 end", "constant": "1", "string": "concat('k', lpad(id * 7919 % 1000, 4, '0'))", "date": "date_add(date'2020-01-01', int(id * 31 % 700))", "tied": "id div 300"}[kind]
+    df = spark.range(1000).selectExpr("id", "id % 2 as g", f"{x} as x", "id * 37 % 101 as v")
+    got = {r["id"]: r["out"] for r in scan.exclusive_scan(df, F.col("v"), ["x", "id"], ["g"], "out", op, per_cell=40).collect()}
+    step = {"plus": lambda a, b: a + b, "min": min, "xor": lambda a, b: a ^ b, "swap": lambda a, b: b}[op]
+    held = {}
+    for r in sorted(df.collect(), key=lambda r: (r["x"], r["id"])):
+        assert got[r["id"]] == held.get(r["g"], 0 if op == "plus" else None)
+        held[r["g"]] = r["v"] if r["g"] not in held else step(held[r["g"]], r["v"])
+    cells = scan.with_cells(df, ["x", "id"], ["g"], 40, 100).groupBy("scan__cell").count().agg(F.max("count")).first()[0]
+    assert cells <= (400 if kind == "constant" else 140)
+
+
+def test_fetch_keeps_the_type(spark):
+    df = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "c int, at int")
+    assert [r[2] for r in rows(reduce.fetch_and_add(df, ["c"], ["at"], F.lit(0.5)), "at")] == [0.0, 0.5, 1.0]
+    assert [r[2] for r in rows(reduce.fetch_and("max", df, ["c"], ["at"], F.col("at"), F.lit(2)), "at")] == [2, 2, 2]
+    with pytest.raises(ValueError):
+        reduce.broadcast_from(df, "c", 1, ["at"], limit=2)
+
+
 def test_queue_batches_and_whole_pop(spark):
     empty = spark.createDataFrame([], "host int, seq long, batch int, value int")
     pushes = spark.createDataFrame([(0, i, i // 4, i) for i in range(10)], "host int, seq long, batch int, value int")
@@ -107,6 +142,9 @@ def test_layout():
     assert Team.of([3, 1, 3]).members == (1, 3) and Team.of([3, 1]).resolve(3) == 1 and 2 not in Team.of([1])
     assert [len(t) for t in split_world(10, 3)] == [4, 4, 2]
     assert Blocking.fitted(1000, 10, 8).grid == (8, 1)
+    # only columns are split: a hundred thousand rows over eight stay 12 500
+    assert Blocking.fitted(100_000, 10, 8).tile == (12_500, 10)
+    assert Blocking.fitted(100_000, 100_000, 4).tile == (50_000, 12_500) and Blocking.fitted(4000, 4000, 4).tile == (2000, 1334)
     assert Blocking.square(10).grid == (3, 3) and Blocking.rect(10).grid == (5, 2)
     a, b, c = block_matmul(100, 100, 100, 4)
     assert a.grid[1] == b.grid[0] and c.grid == (2, 2)
@@ -130,6 +168,15 @@ def test_matrix_algebra(spark):
         a.dot(a)
     csr = Matrix.from_csr(a.to_csr(), a.shape)
     assert csr.allclose(a).first()[0] == 0
+    assert np.allclose(to(a.dot(b, salt="auto")), want) and np.allclose(a.dot(b).to_numpy(), want)
+    assert np.allclose(to(a.dot(b, F.max)), (to(a)[:, :, None] * to(b)[None]).max(1))
+    with pytest.raises(ValueError):
+        a.to_numpy(limit=10)
+    assert [x.tolist() for x in Matrix(spark.createDataFrame([(2, 1, 5)], "i long, j long, v long"), (4, 3)).gather_csr()] == [[0, 0, 0, 1, 1], [1], [5]]
+    assert a.put(spark.createDataFrame([(0, 0, 1.0, 1), (0, 0, 2.0, 2), (0, 0, 9.0, 0)], "i long, j long, v double, at int"), ["at"]).cells.where("i = 0 and j = 0").first()["v"] == 2.0
+    assert a.show(1).startswith("13 by 9, 117 entries")
+    random = Matrix.random(spark, (5, 4), 3)
+    assert random.cells.where("v >= 0 and v < 1").count() == 20 and random.allclose(Matrix.random(spark, (5, 4), 3)).first()[0] == 0
     assert Matrix.zeros(spark, (2, 2)).dot(Matrix.zeros(spark, (2, 2))).cells.count() == 0
     sparse = Matrix(spark.createDataFrame([(0, 0, 1.0)], "i long, j long, v double"), (2, 2))
     other = Matrix(spark.createDataFrame([(1, 1, 2.0)], "i long, j long, v double"), (2, 2))
@@ -146,6 +193,13 @@ def test_matrix_files(spark, tmp_path):
     matrix_files.write_binary(m, out)
     assert rows(matrix_files.read_matrix(spark, out).cells, "i", "j") == rows(m.cells, "i", "j")
     assert matrix_files.matrix_info(spark, out) == matrix_files.MatrixInfo((3, 3), 4)
+    assert rows(matrix_files.read_binary(spark, out, rows=(1, 3)).cells, "i", "j") == [(0, 0, -1.0), (1, 2, 4.0)]
+    small = str(tmp_path / "b.binary")
+    matrix_files.write_binary(m, small, "<f4", "<i4")
+    assert rows(matrix_files.read_binary(spark, small, "<f4", "<i4").cells, "i", "j") == rows(m.cells, "i", "j")
+    parts = str(tmp_path / "parts.mtx")
+    matrix_files.write_matrix_market(m, parts, parts=3)
+    assert rows(matrix_files.read_matrix(spark, parts).cells, "i", "j") == rows(m.cells, "i", "j")
     text = str(tmp_path / "out.mtx")
     matrix_files.write_matrix_market(m, text)
     assert rows(matrix_files.read_matrix_market(spark, text).cells, "i", "j") == rows(m.cells, "i", "j")
@@ -190,6 +244,8 @@ def test_contigs(spark, tmp_path):
     path.write_text("\n".join(lines) + "\n")
     kmers = matrix_files.read_kmers(spark, str(path), k)
     assert sorted(r["contig"] for r in graph.contigs(kmers).collect()) == sorted([text, other])
+    matrix_files.write_contigs(graph.contigs(kmers), str(tmp_path / "out"), 10)
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()] == [text]
     cycle = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", None)], "n string, f string")
     assert rows(graph.walk(cycle, "n", "f")) == [("c", "c", 0)]
 
