@@ -23,13 +23,22 @@ def local_session(cores: str | int = "*", name: str = "tessella") -> SparkSessio
     )
 
 
+#: Bytes of a batch that goes to a Python worker, where the session names no limit of its own.
+BATCH = 4 << 20
+
+
 def reachable(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it, whatever folder the
-    session was started in. Where executors have it installed this changes nothing."""
+    session was started in (where executors have it installed this changes nothing), and bound the
+    batches that they get by bytes: ten thousand long texts in one would cost an executor more
+    memory than the work on them."""
     root = str(Path(__file__).resolve().parents[1])
     environment = spark.sparkContext.environment
     if root not in environment.get("PYTHONPATH", "").split(":"):
         environment["PYTHONPATH"] = ":".join(filter(None, [root, environment.get("PYTHONPATH")]))
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(limit):
+        spark.conf.set(limit, str(BATCH))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
