@@ -31,7 +31,9 @@ from .common import fold, sliced
 PER_LABEL, WINDOWS, LABELS = 500, 6, 256
 HIDDEN, STEPS, BATCH, SPAN, RATE = 8, 300, 256, 48, 0.02
 #: Bytes of a window when labelling, and windows that are read side by side.
-READ, SIDE = 128, 4096
+READ, SIDE = 128, 2048
+#: A document of a learned language is as sure as a window of it, but for this much.
+MARGIN = 0.1
 UNDECIDED = "und"
 _PLAIN = re.compile("[A-Za-z]").search
 
@@ -39,13 +41,15 @@ _PLAIN = re.compile("[A-Za-z]").search
 @dataclass
 class Network:
     """Weights. ``table`` [direction, gate row, byte], ``turn`` [direction, gate row, hidden],
-    ``out`` [label, both directions' hidden], ``bias`` [label]. Gate rows: update, reset, new."""
+    ``out`` [label, both directions' hidden], ``bias`` [label]. Gate rows: update, reset, new.
+    ``floor``: a score below that of every window that it was trained on, by ``MARGIN`` at least."""
 
     labels: list[str]
     table: np.ndarray
     turn: np.ndarray
     out: np.ndarray
     bias: np.ndarray
+    floor: float = 0.0
 
 
 def _begin(labels: list[str], hidden: int, seed: int) -> Network:
@@ -105,6 +109,28 @@ def _backward(turn: np.ndarray, x: np.ndarray, trace: list, into: np.ndarray) ->
     return d_table.astype(np.float32), d_turn
 
 
+def gradients(net: Network, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross entropy of all positions of bytes [time, side] with answers [side], and its
+    gradient for each weight."""
+    hidden = net.turn.shape[2]
+    traces: tuple[list, list] = ([], [])
+    ahead = _forward(net.table[0], net.turn[0], x, traces[0])
+    behind = _forward(net.table[1], net.turn[1], x[::-1], traces[1])[::-1]
+    both = np.concatenate([ahead, behind], axis=1)
+    logits = net.out @ both + net.bias[:, None]
+    logits -= logits.max(axis=1, keepdims=True)
+    p = np.exp(logits)
+    p /= p.sum(axis=1, keepdims=True)
+    side = np.arange(len(y))
+    loss = float(-np.log(np.maximum(p[:, y, side], 1e-30)).mean())
+    p[:, y, side] -= 1
+    p /= p.shape[0] * p.shape[2]
+    d_both = net.out.T @ p
+    a = _backward(net.turn[0], x, traces[0], d_both[:, :hidden])
+    b = _backward(net.turn[1], x[::-1], traces[1], d_both[::-1, hidden:])
+    return loss, {"table": np.stack([a[0], b[0]]), "turn": np.stack([a[1], b[1]]), "out": np.einsum("tlb,tkb->lk", p, both), "bias": p.sum(axis=(0, 2))}
+
+
 def train(windows: np.ndarray, answers: np.ndarray, labels: list[str], hidden: int = HIDDEN, steps: int = STEPS, seed: int = 1) -> Network:
     """Adam on the cross entropy of every position. ``windows`` [n, time] bytes, ``answers`` [n]."""
     net = _begin(labels, hidden, seed)
@@ -115,21 +141,7 @@ def train(windows: np.ndarray, answers: np.ndarray, labels: list[str], hidden: i
     chance = (1 / share[answers]) / np.sum(1 / share[answers])  # every language as often
     for step in range(1, steps + 1):
         pick = rng.choice(len(windows), BATCH, p=chance)
-        x, y = windows[pick].T, answers[pick]
-        traces: tuple[list, list] = ([], [])
-        ahead = _forward(net.table[0], net.turn[0], x, traces[0])
-        behind = _forward(net.table[1], net.turn[1], x[::-1], traces[1])[::-1]
-        both = np.concatenate([ahead, behind], axis=1)
-        logits = net.out @ both + net.bias[:, None]
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(axis=1, keepdims=True)
-        p[:, y, np.arange(len(y))] -= 1
-        p /= p.shape[0] * p.shape[2]
-        d_both = net.out.T @ p
-        a = _backward(net.turn[0], x, traces[0], d_both[:, :hidden])
-        b = _backward(net.turn[1], x[::-1], traces[1], d_both[::-1, hidden:])
-        grads = {"table": np.stack([a[0], b[0]]), "turn": np.stack([a[1], b[1]]), "out": np.einsum("tlb,tkb->lk", p, both), "bias": p.sum(axis=(0, 2))}
+        _, grads = gradients(net, windows[pick].T, answers[pick])
         size = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         rate = RATE * (1 - 0.9 * step / steps)
         for k, g in grads.items():
@@ -140,6 +152,13 @@ def train(windows: np.ndarray, answers: np.ndarray, labels: list[str], hidden: i
     return net
 
 
+def least_score(net: Network, windows: np.ndarray) -> float:
+    """The least score among windows [n, time], whose padding is zero bytes."""
+    lengths = windows.shape[1] - (windows[:, ::-1] != 0).argmax(axis=1)
+    parts = [(windows[k : k + SIDE], lengths[k : k + SIDE]) for k in range(0, len(windows), SIDE)]
+    return float(min((label_windows(net, np.ascontiguousarray(w.T), n).max(axis=0) / n).min() for w, n in parts))
+
+
 def label_windows(net: Network, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sums over the first ``lengths`` positions of each window of every position's language
     probabilities: [label, side] of bytes [time, side]. Backward states start at the right end
@@ -234,7 +253,11 @@ def training_sample(docs: DataFrame, learn: Column, per_label: int, id_col: str,
 def fit(docs: DataFrame, learn: Column, per_label: int = PER_LABEL, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Network | None:
     """A network for the rows where ``learn`` holds; None where they have no label."""
     x, y, labels = training_sample(docs, learn, per_label, id_col, text_col, label_col)
-    return train(x, y, labels) if labels else None
+    if not labels:
+        return None
+    net = train(x, y, labels)
+    net.floor = min(0.5, least_score(net, x) - MARGIN)
+    return net
 
 
 def identify(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower
+from .common import SPACES, ascii_lower, settle
 
 MIN_DOCS, MIN_POINTS = 10, 1
 
@@ -43,7 +43,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_points: int = MIN
     lines = docs.select(F.col(f"`{id_col}`").alias(of), F.xxhash64(text).alias(row[1]), F.posexplode(_lines(text)).alias(pos, "line_dedup__line"))
     keyed = lines.select(*row, pos, line_key(F.col("line_dedup__line")).alias("line_dedup__key")).where(F.length(key) >= max(min_points, 1))
     hashed = keyed.select(*row, pos, F.xxhash64(key).alias(hashes[0]), F.xxhash64(F.lit(1), key).alias(hashes[1]))
-    common = hashed.select(*hashes, of).distinct().groupBy(*hashes).agg(F.count(F.lit(1)).alias("line_dedup__docs")).where(F.col("line_dedup__docs") >= min_docs).select(*hashes)
+    # written, so the join below has both its exchanges to itself: those of a line in very many
+    # documents can then be split
+    common = settle(hashed.select(*hashes, of).distinct().groupBy(*hashes).agg(F.count(F.lit(1)).alias("line_dedup__docs")).where(F.col("line_dedup__docs") >= min_docs).select(*hashes))
     drops = hashed.join(common, hashes, "left_semi").groupBy(*row).agg(F.collect_set(pos).alias("line_dedup__drop"))
     drops = drops.select(F.col(of).alias("line_dedup__of"), F.col(row[1]).alias("line_dedup__as"), "line_dedup__drop")
     joined = docs.withColumns({row[1]: F.xxhash64(text)}).join(drops, F.col(f"`{id_col}`").eqNullSafe(F.col("line_dedup__of")) & (F.col(row[1]) == F.col("line_dedup__as")), "left")

@@ -17,7 +17,8 @@ with a probability of at least ``RECALL`` (the windows come on top), whatever th
 Results in odd cases: a vector that is null, zero or holds null or non-finite components, or
 has no label or id, links with nothing and is its own component; vectors of different lengths
 never link; rows equal in id, label and vector count as one vector; an id with several vectors
-is one node of the graph, with the links of all; equal vectors all link; an
+is one node of the graph, and each of them counts the vectors linked with it, whatever their ids;
+equal vectors all link; an
 empty table gives an empty table; extra columns pass through.
 """
 
@@ -102,7 +103,7 @@ def _compare(threshold: float, window: int):
         kind, left, right = (int(pdf[c].iloc[0]) for c in ("near__kind", "near__i", "near__j"))
         pdf = pdf.sort_values("near__rank")
         rank, own = pdf["near__rank"].to_numpy(), pdf["near__own"].to_numpy()
-        ids, weight, nth = pdf["near__rep"].to_numpy(), pdf["near__copies"].to_numpy(), pdf["near__pass"].to_numpy()
+        ids, cls, weight, nth = (pdf[f"near__{c}"].to_numpy() for c in ("rep", "cls", "copies", "pass"))
         label, dims = pdf["near__label"].to_numpy(), pdf["near__dim"].to_numpy()
         ranks, heads = np.stack(pdf["near__ranks"].to_list()), np.stack(pdf["near__heads"].to_list())
         counts, links = np.zeros(len(pdf), np.int64), []
@@ -130,7 +131,7 @@ def _compare(threshold: float, window: int):
         a, b = (np.concatenate(x) for x in zip(*links, strict=True))
         u, v = _forest_of(ids, a, b)
         some = counts > 0
-        return pd.DataFrame({"near__u": np.concatenate([u, ids[some]]), "near__v": np.concatenate([v, ids[some]]), "near__n": np.concatenate([np.zeros(len(u), np.int64), counts[some]])})
+        return pd.DataFrame({"near__u": np.concatenate([u, ids[some]]), "near__v": np.concatenate([v, cls[some]]), "near__n": np.concatenate([np.zeros(len(u), np.int64), counts[some]])})
 
     return run
 
@@ -169,23 +170,24 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, passes: int |
     run = ["near__pass", *_GROUP, "near__head"]
     runs = ranked.groupBy(*run).agg(F.min("near__rank").alias("near__first"), F.count(F.lit(1)).alias("near__size"))
     seen = ranked.join(runs, run).groupBy("near__rep", "near__h", *_GROUP).agg(F.sort_array(F.collect_list(F.struct("near__pass", "near__rank", "near__head", "near__first", "near__size"))).alias("near__seen"))
-    rows = settle(classes.join(seen, ["near__rep", "near__h", *_GROUP]).select("near__rep", *_GROUP, "near__copies", "near__vector", "near__seen"))
+    rows = settle(classes.join(seen, ["near__rep", "near__h", *_GROUP]).select("near__rep", F.xxhash64(*cls).alias("near__cls"), *_GROUP, "near__copies", "near__vector", "near__seen"))
 
     found = []
     for start in range(0, passes, AT_ONCE):
-        some = rows.select("near__rep", *_GROUP, "near__copies", "near__vector", F.col("near__seen.near__rank").alias("near__ranks"), F.col("near__seen.near__head").alias("near__heads"), F.explode(F.slice("near__seen", start + 1, min(AT_ONCE, passes - start))).alias("s"))
+        some = rows.select("near__rep", "near__cls", *_GROUP, "near__copies", "near__vector", F.col("near__seen.near__rank").alias("near__ranks"), F.col("near__seen.near__head").alias("near__heads"), F.explode(F.slice("near__seen", start + 1, min(AT_ONCE, passes - start))).alias("s"))
         rank, first, size = F.col("s.near__rank"), F.col("s.near__first"), F.col("s.near__size")
         chunk, at, tiles = F.floor(rank / tile), F.floor((rank - first) / tile).cast("int"), F.ceil(size / tile).cast("int")
         task = lambda kind, i, j, a, own: F.struct(F.lit(kind).alias("near__kind"), i.cast("long").alias("near__i"), j.cast("long").alias("near__j"), a.cast("long").alias("near__run"), own.alias("near__own"))
         own = F.array(task(0, chunk, F.lit(0), F.lit(0), F.lit(True)))
         halo = F.when(rank % tile < window, F.array(task(0, chunk - 1, F.lit(0), F.lit(0), F.lit(False)))).otherwise(F.array().cast(_TASKS))
         inside = F.when(size > window + 1, F.transform(F.sequence(F.lit(0), tiles - 1), lambda j: task(1, F.least(at, j), F.greatest(at, j), first, at <= j))).otherwise(F.array().cast(_TASKS))
-        tasks = some.select("near__rep", *_GROUP, "near__copies", "near__vector", "near__ranks", "near__heads", F.col("s.near__pass").alias("near__pass"), rank.alias("near__rank"), F.explode(F.concat(own, halo, inside)).alias("t")).select("*", "t.*").drop("t")
+        tasks = some.select("near__rep", "near__cls", *_GROUP, "near__copies", "near__vector", "near__ranks", "near__heads", F.col("s.near__pass").alias("near__pass"), rank.alias("near__rank"), F.explode(F.concat(own, halo, inside)).alias("t")).select("*", "t.*").drop("t")
         found.append(settle(tasks.groupBy("near__kind", "near__run", "near__i", "near__j").applyInPandas(_compare(threshold, window), "near__u long, near__v long, near__n long")))
     every = reduce(DataFrame.union, found)
     joined = components(every.where("near__n = 0").select(F.col("near__u").alias("u"), F.col("near__v").alias("v")))
-    counts = every.where("near__n > 0").groupBy("near__u").agg(F.sum("near__n").alias("near__n"))
-    of = classes.select(*[F.col(c).alias(f"{c}_") for c in cls], "near__rep", "near__copies").join(counts.withColumnRenamed("near__u", "near__rep"), "near__rep", "left").join(joined.withColumnRenamed("id", "near__rep"), "near__rep", "left")
+    # by class: an id with several vectors has a count for each
+    counts = every.where("near__n > 0").groupBy(F.col("near__u").alias("near__rep"), F.col("near__v").alias("near__cls")).agg(F.sum("near__n").alias("near__n"))
+    of = classes.select(*[F.col(c).alias(f"{c}_") for c in cls], "near__rep", F.xxhash64(*cls).alias("near__cls"), "near__copies").join(counts, ["near__rep", "near__cls"], "left").join(joined.withColumnRenamed("id", "near__rep"), "near__rep", "left")
     on = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"{c}_") for c in cls))
     out = marked.join(of, on, "left")
     own_cols = [F.col(f"`{c}`") for c in vectors.columns]

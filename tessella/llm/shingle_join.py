@@ -341,9 +341,10 @@ def link_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _classes(known: DataFrame) -> DataFrame:
-    """(doc, rep, cls): the least id with an equal set, and the set's class key."""
+    """(doc, rep, cls): the least id with an equal set, and the set's class key. The least ids are
+    written, so the join has both its exchanges to itself and those of a large class can be split."""
     same = ["n", "one", "two", "cls"]
-    least = known.groupBy(*same).agg(F.min("doc").alias("rep"))
+    least = settle(known.groupBy(*same).agg(F.min("doc").alias("rep")))
     return known.join(least, same).select("doc", "rep", "cls").distinct()
 
 

@@ -90,21 +90,54 @@ def test_language_held_out_accuracy(spark, tmp_path):
 
 
 def test_gradients():
-    """Backpropagation through time against finite differences."""
+    """Backpropagation through time against finite differences, for every kind of weight."""
     rng = np.random.default_rng(0)
-    x = rng.integers(0, 256, (5, 3)).astype(np.uint8)
-    net = language._begin(["a", "b"], 4, 0)
-    table, turn = net.table[0].astype(np.float64), net.turn[0].astype(np.float64)
-    into = rng.normal(size=(5, 4, 3))
-    trace: list = []
-    language._forward(table.astype(np.float32), turn.astype(np.float32), x, trace)
-    _, d_turn = language._backward(turn.astype(np.float32), x, trace, into.astype(np.float32))
-    loss = lambda u: float((language._forward(table.astype(np.float32), u.astype(np.float32), x) * into).sum())
-    for at in [(0, 0), (5, 2), (9, 3), (11, 1)]:
-        up, down = turn.copy(), turn.copy()
-        up[at] += 1e-2
-        down[at] -= 1e-2
-        assert abs((loss(up) - loss(down)) / 2e-2 - d_turn[at]) < 2e-2
+    x, y = rng.integers(97, 103, (5, 6)).astype(np.uint8), np.array([0, 1, 2, 0, 1, 1])
+    net = language._begin(["a", "b", "c"], 4, 0)
+    _, grads = language.gradients(net, x, y)
+    for name, places in {"table": [(0, 1, 98), (0, 6, 100), (1, 3, 97), (1, 11, 102)], "turn": [(0, 0, 0), (0, 5, 2), (1, 9, 3), (1, 11, 1)], "out": [(0, 0), (1, 5), (2, 7)], "bias": [(0,), (2,)]}.items():
+        w = getattr(net, name)
+        for at in places:
+            kept = float(w[at])
+            w[at] = kept + 1e-2
+            up, _ = language.gradients(net, x, y)
+            w[at] = kept - 1e-2
+            down, _ = language.gradients(net, x, y)
+            w[at] = kept
+            assert abs((up - down) / 2e-2 - grads[name][at]) < 2e-4, (name, at)
+
+
+def test_prediction_equals_a_plain_loop(monkeypatch):
+    """Every byte of every window, one at a time, pooled over the text."""
+    monkeypatch.setattr(language, "READ", 16)
+    monkeypatch.setattr(language, "SIDE", 3)
+    net = language._begin(["a", "b", "c"], 4, 5)
+    texts = ["short", "é" * 20, "a longer text of several windows, read in stretches " * 3, None, "12 3"]
+
+    def states(window: bytes, of: int) -> list:
+        k, h, out = 4, np.zeros(4), []
+        for byte in window:
+            seen, held = net.table[of][:, byte].astype(float), net.turn[of].astype(float) @ h
+            z, r = (1 / (1 + np.exp(-(seen[a : a + k] + held[a : a + k]))) for a in (0, k))
+            n = np.tanh(seen[2 * k :] + r * held[2 * k :])
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out
+
+    labels, scores = language.predict(net, texts)
+    for t, label, score in zip(texts, labels, scores, strict=True):
+        if not language.has_letter(t):
+            assert (label, score) == ("und", 0.0)
+            continue
+        raw, total = t.encode(), np.zeros(3)
+        for start in range(0, len(raw), 16):
+            window = raw[start : start + 16]
+            padded = window.ljust(16, b"\0")
+            ahead, behind = states(padded, 0), states(padded[::-1], 1)[::-1]
+            for a, b, _ in zip(ahead, behind, window):
+                p = np.exp(net.out @ np.concatenate([a, b]) + net.bias)
+                total += p / p.sum()
+        assert label == net.labels[int(total.argmax())] and abs(score - total.max() / len(raw)) < 1e-4
 
 
 def test_language_without_labels(spark):
@@ -190,8 +223,12 @@ def test_near_vectors_equal_brute_force(spark, tmp_path):
 
 def test_near_vectors_repeated_ids(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.0, 2.0], 0)], "vec_id long, embedding array<double>, label int")
-    got = sorted((r["vec_id"], r["near__component"]) for r in near_vectors.link_vectors(df.withColumn("near", F.lit(1))).collect())
-    assert got == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1)]
+    got = sorted((r["vec_id"], r["near__links"], r["near__component"]) for r in near_vectors.link_vectors(df.withColumn("near", F.lit(1))).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+    # two vectors of an id that link with each other and with a third: each has two others
+    df = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [1.0, 0.1], 0), (2, [1.0, 0.05], 0), (1, [1.0, 0.0], 5), (4, [1.0, 0.0], 5)], "vec_id long, embedding array<double>, label int")
+    got = sorted((r["label"], r["vec_id"], r["near__links"]) for r in near_vectors.link_vectors(df).collect())
+    assert got == [(0, 1, 2), (0, 1, 2), (0, 2, 2), (5, 1, 1), (5, 4, 1)]
 
 
 def test_near_vectors_recall_does_not_fall_with_size(spark):
@@ -218,7 +255,7 @@ def test_pipeline_stages(spark, tmp_path):
     rows += [(5000, f"some words before {leak} and after", "en", "s", 10), (5001, "2 3 4", "en", "s", 5)]
     d = saved(spark, tmp_path, rows, benchmark=spark.createDataFrame([(1, leak)], "item_id long, text string"))
     docs, kept = spark.read.parquet(f"{d}/documents.parquet"), []
-    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, d)
         if number < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == docs.columns and out.dtypes == docs.dtypes
@@ -239,3 +276,50 @@ def test_pipeline_stages(spark, tmp_path):
     whole = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, d).collect()}
     assert whole == {i: r["ids"] for i, r in kept[4].items()}
     assert 3 <= len(corpus_pipeline.STAGES) <= 5
+
+
+ODD_ROWS = [(1, None, "en", "s", 0), (1, "", None, "s", 0), (None, "a text without an id that has some words", "en", "s", 1), (2, "word " * 30_000, "en", None, 1), (3, "some plain words that stand here twice", "en", "s", 1), (3, "some plain words that stand here twice", "en", "s", 1), (3, "another text under the same id, quite different", "de", "s", None)]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows(spark, tmp_path, name):
+    """Null and repeated ids, nulls, repeated rows, a very long text, columns with clashing names."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    d = saved(spark, tmp_path, benchmark=spark.createDataFrame([(1, "nothing of this is there"), (None, None)], "item_id long, text string"))
+    docs = frame(spark, ODD_ROWS)
+    for c in ("n", "doc", "kind", "stretch", "ids", "ends", "hash", "label", "block"):
+        docs = docs.withColumn(c, F.lit(1))
+    got = stage(spark, docs, d)
+    rows = [(r["doc_id"], r["text"]) if "text" in got.columns else r["doc_id"] for r in got.collect()]
+    before = [r[:2] for r in ODD_ROWS]
+    if name == "encoding":
+        assert sorted(rows, key=str) == sorted((r[0] for r in ODD_ROWS), key=str)
+    else:
+        want = {"language_id": [r for r in before if r[1]], "line_dedup": [(i, t or "") for i, t in before]}.get(name, before)
+        assert got.columns == docs.columns and sorted(rows, key=str) == sorted(want, key=str)
+    assert stage(spark, docs.limit(0), d).count() == 0
+    again = stage(spark, docs.drop("lang").withColumn("lang", F.lit(None).cast("string")).select(docs.columns), d)
+    assert again.count() == len(rows) or name == "language_id" and again.count() == len(ODD_ROWS)  # nothing to learn from, nothing rejected
+
+
+def test_memory_of_units_is_bounded(monkeypatch):
+    own = pieces.Pieces(MODEL)
+    long = "ab" * 100_000
+    own.encode(long + " word")
+    assert own.memory and max(map(len, own.memory)) <= pieces.UNIT
+    monkeypatch.setattr(pieces, "MEMORY", 5000)
+    for k in range(2000):
+        own.encode(f"unit{k}")
+        assert own.held <= 5000 + 2000
+
+
+def test_decontamination_of_long_texts_and_odd_rows(spark):
+    item = "the quick brown fox jumps over the lazy dog again and again"
+    long = "filler words " * 40_000
+    rows = [(1, long + item.replace("lazy", "laxy") + " " + long), (1, "clean"), (None, item), (1, None), (2, item + " " + item), (2, item + " " + item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("block", F.lit(0))
+    items = spark.createDataFrame([(7, item), (8, item.upper()), (None, "another item that is not there at all")] + [(100 + k, f"item number {k} which no document holds") for k in range(50)], "item_id long, text string")
+    want = sorted([((1, rows[0][1]), [(7, 1)]), ((1, "clean"), []), ((None, item), [(7, 0)]), ((1, None), []), ((2, rows[4][1]), [(7, 0)]), ((2, rows[4][1]), [(7, 0)])], key=str)
+    for block in (decontaminate.BLOCK, 300):
+        got = decontaminate.find_items(docs, items, block=block).collect()
+        assert sorted((((r["doc_id"], r["text"]), list(zip(r["decontaminate__items"], r["decontaminate__edits"], strict=True))) for r in got), key=str) == want
