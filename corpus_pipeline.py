@@ -28,9 +28,9 @@ from tessella.llm.shingle_join import keep_one
 @found_by_workers
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that are ``und`` (null, or without a letter) or whose score is below
-    ``Network.floor``, the least score of a window that the network has learned from: clean text
-    of a learned language is surer than that. The network learns from the labelled documents;
-    where there are none it rejects nothing, and all documents stay."""
+    ``Network.floor``, which is less by a margin than that of any window that the network has
+    learned from: clean text of a learned language is surer. The network learns from the labelled
+    documents; where there are none it rejects nothing, and all documents stay."""
     net = fit(docs, F.lit(True))
     if net is None:
         return docs
