@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import drop, scratch
+
 #: The ASCII white space of the word and line contracts: \x20 and \x09-\x0D.
 SPACES = " \t\n\x0b\f\r"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -28,18 +28,6 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER_TABLE).split() if text else []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where that is unset a local session gets a
-    temporary folder; a cluster must name one that all its machines share."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or getattr(context, "_tessella_shared", None)
-    if not named:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = context._tessella_shared = tempfile.mkdtemp(prefix="tessella-")
-    return named
-
-
 def settle(df: DataFrame) -> DataFrame:
     """Write a step to the shared folder and read it back: later steps survive lost executors
     and nothing before it runs twice. The written files go when the session ends; shuffle files
@@ -47,26 +35,21 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
+    path = scratch(spark, "step")
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     schema = df.schema
     del df
     gc.collect()
-    jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
 def drop_step(df: DataFrame) -> None:
     """Delete the files of a settled step that no later step reads, and what it left in shuffles."""
-    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(folder)
-        at.getFileSystem(conf).delete(at, True)
+        drop(df.sparkSession, folder)
     gc.collect()
-    jvm.System.gc()
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 _kept: dict = {}
@@ -136,7 +119,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = settle(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        last, e = e, settle(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        drop_step(last)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
         if now == mark:
             break

@@ -14,14 +14,18 @@ n - o + l elements. The first ``PREFIX`` part of a set by hash (shingles in more
 the documents last) is taken such that linked sets share l = about a tenth of it; of that part,
 ordered by how many parts hold each shingle, all but the last l - 1 must then have one in
 common. A document whose part is rare enough throughout stays alone. Shingles common in the
-corpus are few by their definition (2000 times the mean set size at most), so they are broadcast;
-they, and passages that many documents share, fall out of the part unless a document is made of
-them. Blocks of more than ``TILE`` classes are compared tile by tile. No link is lost.
+corpus are few by their definition (2000 times the mean set size at most), so the ``COMMON_MOST``
+most frequent (eight bytes each) are broadcast; they, and passages that many documents share, fall
+out of the part unless a document is made of them. Blocks of more than ``TILE`` classes are
+compared tile by tile. No link is lost.
+
+The result are components; links are not counted, as pairs of one component are not all verified.
 
 Results in odd cases: a null text or one without words has an empty set and links with nothing;
 fewer than five words are one shingle; rows that repeat an id are one node of the graph, with
-the links of all its texts; a null id is no node: its component is null; very long texts are read whole;
-an empty table gives an empty table, and columns beyond id and text are not looked at.
+the links of all its texts; a null id is no node: its component is null; ids must be whole numbers
+(a text id that is none stops with a cast error); very long texts are read whole; an empty table
+gives an empty table, and columns beyond id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ from .common import components, settle, sliced, words
 WORDS, PERCENT = 5, 75
 #: Part of a set by which linked documents must share more than one shingle.
 SLACK = 0.10
-COMMON_SHARE, COMMON_LEAST = 2000, 64
+COMMON_SHARE, COMMON_LEAST, COMMON_MOST = 2000, 64, 2_000_000
 #: Classes of a tile; shingles for each bucket; documents for each task group; points of a leaf.
 TILE, PER_BUCKET, PER_GROUP, LEAF, FAN = 1024, 500_000, 256, 32, 8
 STRETCH = 4 << 20
@@ -309,8 +313,10 @@ def link_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     known = facts.where("n is not null").select("doc", "n", "one", "two", "cls")
     rows, total = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     common = facts.where("hash is not null").groupBy("hash").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= max(COMMON_LEAST, rows // COMMON_SHARE))
-    # each of them takes a 2000th of the rows out of the sum of all set sizes
-    shipped = spark.sparkContext.broadcast(np.sort(np.array([r["hash"] for r in common.select("hash").collect()], np.int64).astype(np.uint64)))
+    # each of them takes a 2000th of the rows out of the sum of all set sizes. Where that allows for
+    # very many, the most frequent are enough: which shingles come last loses no link
+    common = common.orderBy(F.desc("seen"), "hash").limit(COMMON_MOST).select("hash").toPandas()["hash"]
+    shipped = spark.sparkContext.broadcast(np.sort(common.to_numpy(np.int64).astype(np.uint64)))
     own = settle(_classes(known.where("n > 0 and doc is not null")))
 
     buckets = max(12, -(-total // PER_BUCKET))

@@ -5,8 +5,9 @@ id. Each string has one minimizer, the least hash of its 20-byte grams, and equa
 equal minimizers; so strings are dealt out by minimizer, and a string whose minimizer occurs in
 no other document has no match and does not travel. What remains goes in batches, in order of
 document id, into a logarithmic family of suffix arrays: a batch's suffixes are sorted to the
-length of a match, scanned against every level by binary search, then become a level themselves,
-and levels of equal size merge into one of twice the size. As levels hold smaller ids only, a
+length of a match, merge-scanned against every level (both ascend, so each search goes on from
+where the one before ended), then become a level themselves, and levels of equal size merge into
+one of twice the size. As levels hold smaller ids only, a
 hit means a match with an earlier document. A level keeps equal suffixes once.
 
 Exact copies are settled by text hash first, so a group of copies enters the family once.
