@@ -200,3 +200,17 @@ def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
     done = link_vectors(vectors)
     return done.select("vec_id", F.col("near__links").alias("n_links"), F.col("near__component").alias("component_id"), F.col("vec_id").eqNullSafe(F.col("near__component")).alias("kept"))
+
+
+#: All pairs of a label, for tables on which that is feasible; the query finds nearly all of them.
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v
+       WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+         WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+reach(vec_id, seen) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.y FROM reach r JOIN link l ON r.seen = l.x),
+n AS (SELECT x, count(*) AS links FROM link GROUP BY 1)
+SELECT r.vec_id, coalesce(max(links), 0)::BIGINT AS n_links, min(seen) AS component_id, r.vec_id = min(seen) AS kept
+FROM reach r LEFT JOIN n ON n.x = r.vec_id GROUP BY r.vec_id
+"""

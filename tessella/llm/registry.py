@@ -39,4 +39,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_shingle_join": shingle_join.SQL, "op5_line_dedup": line_dedup.SQL}
+    return {"op2_shingle_join": shingle_join.SQL, "op5_line_dedup": line_dedup.SQL, "op6_suffix_dedup": suffix_dedup.SQL, "op8_near_vectors": near_vectors.SQL}

@@ -335,3 +335,18 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     done = remove_repeats(docs)
     return done.select("doc_id", F.col("suffix__bytes").alias("n_bytes"), F.col("suffix__removed").alias("n_removed"), F.col("suffix__spans").alias("n_spans"), F.sha2("suffix__kept", 256).alias("kept_sha256"))
+
+
+SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, b[i:i + 49] AS k FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 48)) AS i FROM d)),
+m AS (SELECT k, min(doc_id) AS least FROM w GROUP BY k),
+h AS (SELECT w.doc_id, i, lag(i) OVER (PARTITION BY w.doc_id ORDER BY i) AS p FROM w JOIN m ON w.k = m.k WHERE least < w.doc_id),
+g AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM h),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS z FROM g GROUP BY 1, 2),
+k AS (SELECT *, lag(z, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS y FROM r),
+t AS (SELECT d.doc_id, count(*) AS spans, sum(z - a) AS removed, max(z) AS z, string_agg(hex(b[y:a - 1]), '' ORDER BY a) AS head FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY 1)
+SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || hex(b[coalesce(z, 1):]))) AS kept_sha256
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id
+"""

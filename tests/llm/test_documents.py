@@ -122,8 +122,12 @@ def brute_repeats(rows):
 
 def test_suffix_dedup_equals_brute_force(spark, tmp_path):
     rows = corpus(9, 80) + [(10_000 + k, "ab" * 300 + "é" * k, None, None, 0) for k in range(4)]
-    got = {r["doc_id"]: tuple(r) for r in registry.queries()["op6_suffix_dedup"](spark, saved(spark, tmp_path, rows)).collect()}
+    d = saved(spark, tmp_path, rows)
+    got = {r["doc_id"]: tuple(r) for r in registry.queries()["op6_suffix_dedup"](spark, d).collect()}
     assert got == brute_repeats(rows)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet/*.parquet'")
+    assert {r[0]: r for r in con.sql(registry.oracle_sql()["op6_suffix_dedup"]).fetchall()} == got
 
 
 def test_suffix_family_levels():
