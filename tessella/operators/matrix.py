@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.layout import Blocking
-from .scan import exclusive_scan
+from .scan import CELLS, PER_CELL, exclusive_scan
 
 Fold = Callable[[Column], Column]
 #: Reductions of a semiring that combine before the shuffle.
@@ -157,7 +157,8 @@ class Matrix:
         counts = self.cells.groupBy("i").agg(F.count(F.lit(1)).alias("csr__n"))
         every = self.cells.sparkSession.range(self.shape[0] + 1).select(F.col("id").alias("i"))
         placed = every.join(counts, "i", "left").withColumn("csr__n", F.coalesce("csr__n", F.lit(0).cast("long")))
-        return exclusive_scan(placed, F.col("csr__n"), ["i"], [], "row_ptr").select("i", "row_ptr")
+        width = max(PER_CELL, -(-self.shape[0] // CELLS))
+        return exclusive_scan(placed, F.col("csr__n"), ["i"], [], "row_ptr", cell=F.expr(f"i div {width}")).select("i", "row_ptr")
 
     def to_csr(self) -> DataFrame:
         """(i, row_ptr, col_ind, vals) for every row of the matrix, columns ascending: a row in one

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Rows of a cell, and cells at most.
-PER_CELL, CELLS = 200_000, 8192
+PER_CELL, CELLS = 100_000, 8192
 Fold = Callable[[Column], Column]
 #: What a scan can combine, as an aggregate.
 SCANS: dict[str, Fold] = {"plus": F.sum, "min": F.min, "max": F.max, "or": F.bit_or, "and": F.bit_and, "xor": F.bit_xor, "swap": F.last}
@@ -41,6 +41,10 @@ def _bucket(df: DataFrame, number: str, bounds: list[float], into: str) -> DataF
     return Bucketizer(splits=splits, inputCol=number, outputCol=into, handleInvalid="keep").transform(df).withColumn(into, F.col(into).cast("int"))
 
 
+#: Quantiles that the first look at an order takes.
+LOOK = 1024
+
+
 def _bounds(df: DataFrame, number: str, cells: int) -> list[float]:
     """Quantiles that cut the rows into cells; a value of several cells stands several times."""
     found = df.agg(F.percentile_approx(number, [k / cells for k in range(1, cells)], max(10_000, 4 * cells))).first()[0]
@@ -50,15 +54,19 @@ def _bounds(df: DataFrame, number: str, cells: int) -> list[float]:
 def with_cells(df: DataFrame, order: list[str], partition: list[str], per_cell: int, most: int) -> DataFrame:
     """``df`` plus ``scan__cell``, which ascends with ``order``: quantiles of its first column,
     and where a single value fills several cells, of the second one too. One cell where no group
-    is larger than a cell. One job counts, one more finds the bounds where there are any."""
-    counted = df.groupBy(*partition).count().agg(F.max("count")) if partition else df.agg(F.count(F.lit(1)))
-    largest = counted.first()[0] or 0
-    total = df.count() if partition and largest > per_cell else largest
-    cells = min(most, -(-total // per_cell))
-    if largest <= per_cell or cells < 2:
+    is larger than a cell. One job counts and finds the bounds (another one where there are more
+    than ``LOOK`` cells, or values of several)."""
+    if partition and (df.groupBy(*partition).count().agg(F.max("count")).first()[0] or 0) <= per_cell:
         return df.withColumn("scan__cell", F.lit(0))
     first = df.withColumn("scan__first", as_number(df, order[0]))
-    found = _bounds(first, "scan__first", cells)
+    total, look = first.agg(F.count(F.lit(1)), F.percentile_approx("scan__first", [k / LOOK for k in range(1, LOOK)])).first()
+    cells = min(most, -(-total // per_cell))
+    if cells < 2:
+        return df.withColumn("scan__cell", F.lit(0))
+    if cells > LOOK:
+        found = _bounds(first, "scan__first", cells)
+    else:
+        found = [x for x in (look[k * LOOK // cells - 1] for k in range(1, cells)) if abs(x) != float("inf")]
     heavy = sorted({a for a, b in zip(found, found[1:]) if a == b})
     marked = _bucket(first, "scan__first", sorted(set(found)), "scan__cell")
     if heavy and len(order) > 1:
@@ -69,7 +77,7 @@ def with_cells(df: DataFrame, order: list[str], partition: list[str], per_cell:
     return marked.drop("scan__first")
 
 
-def exclusive_scan(df: DataFrame, value: Column, order: list[str], partition: list[str] | None = None, into: str = "scan", op: str = "plus", per_cell: int = PER_CELL, cells: int = CELLS) -> DataFrame:
+def exclusive_scan(df: DataFrame, value: Column, order: list[str], partition: list[str] | None = None, into: str = "scan", op: str = "plus", per_cell: int = PER_CELL, cells: int = CELLS, cell: Column | None = None) -> DataFrame:
     """``df`` plus ``into``: ``op`` over ``value`` in the rows of the same partition that come
     before in ``order`` (columns of numbers, dates, times or strings; ties go by the next ones).
     Sums begin at 0 and keep the type of a sum of the values; other operations begin at null.
@@ -77,9 +85,11 @@ def exclusive_scan(df: DataFrame, value: Column, order: list[str], partition: li
     A group larger than a cell is cut by quantiles of the order. Totals of cells are one partial
     aggregate; their running totals join the rows as the first row of each cell, so the rows move
     once, and each cell is a window of its own. A group without end is thus scanned by many tasks.
+    Who knows the order's values gives the number of each row's ``cell``, and no job looks for it.
     """
     partition, fold = partition or [], SCANS[op]
-    marked = with_cells(df, order, partition, per_cell, cells).withColumn("scan__value", value)
+    marked = df.withColumn("scan__cell", cell) if cell is not None else with_cells(df, order, partition, per_cell, cells)
+    marked = marked.withColumn("scan__value", value)
     at = F.struct(*order)
     total = F.max_by("scan__value", at) if op == "swap" else fold("scan__value")
     keys = [*partition, "scan__cell"]
