@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 from .common import only
 
 META = "▁"
-#: Bytes of a worker's memory of units, which is emptied when full; characters of a unit that it
-#: takes; what an entry takes besides its characters and pieces.
-MEMORY, UNIT, ENTRY = 24 << 20, 48, 200
+#: Bytes of a worker's memory of units, half of it for those met since the other half was full;
+#: characters of a unit that it takes; what an entry takes besides its characters and pieces.
+MEMORY, UNIT, ENTRY = 64 << 20, 48, 200
 #: Rows and characters of an output batch.
 ROWS, CHARS = 256, 1_000_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -99,6 +99,7 @@ class Pieces:
         self.cut = re.compile(f"{unit}|{line}" if line else unit, re.DOTALL).findall
         self.surface = [b"" if p.type == _CONTROL else self.unknown_surface if p.type == _UNKNOWN else bytes([int(p.piece[3:5], 16)]) if p.type == _BYTE else p.piece.replace(META, " ").encode() for p in proto.pieces]
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
     def normalise(self, text: str) -> tuple[str, list[int] | None]:
@@ -188,6 +189,8 @@ class Pieces:
 
     def _known(self, unit: str) -> bytes:
         """Id and source bytes of each piece, as packed int32, where characters stand for themselves."""
+        if found := self.older.get(unit):
+            return self._remember(unit, found)
         ids, lengths = self._unit(unit)
         if not unit.lstrip(META).isascii():
             at = 0
@@ -198,12 +201,13 @@ class Pieces:
         pairs = array("i", ids + lengths)
         pairs[0::2], pairs[1::2] = array("i", ids), array("i", lengths)
         found = pairs.tobytes()
-        if len(unit) <= UNIT:  # longer ones rarely come again
-            if self.held >= MEMORY:
-                self.memory.clear()
-                self.held = 0
-            self.memory[unit] = found
-            self.held += ENTRY + 4 * len(unit) + len(found)
+        return self._remember(unit, found) if len(unit) <= UNIT else found  # longer ones rarely come again
+
+    def _remember(self, unit: str, found: bytes) -> bytes:
+        if self.held >= MEMORY // 2:
+            self.older, self.memory, self.held = self.memory, {}, 0
+        self.memory[unit] = found
+        self.held += ENTRY + 4 * len(unit) + len(found)
         return found
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:

@@ -310,7 +310,8 @@ def test_memory_of_units_is_bounded(monkeypatch):
     monkeypatch.setattr(pieces, "MEMORY", 5000)
     for k in range(2000):
         own.encode(f"unit{k}")
-        assert own.held <= 5000 + 2000
+        assert own.held <= 2500 + 2000 and len(own.older) + len(own.memory) <= 5000 / pieces.ENTRY + 10
+    assert own.encode("unit1999")[0].tolist() == pieces.Pieces(MODEL).encode("unit1999")[0].tolist()
 
 
 def test_decontamination_of_long_texts_and_odd_rows(spark):
