@@ -28,7 +28,7 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER_TABLE).split() if text else []
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write a step to the shared folder and read it back: later steps survive lost executors
     and nothing before it runs twice. The written files go when the session ends; shuffle files
     of the steps before go first, as the JVM is asked to collect what is unreachable."""
@@ -36,7 +36,7 @@ def settle(df: DataFrame) -> DataFrame:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     path = scratch(spark, "step")
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     schema = df.schema
     del df
     gc.collect()

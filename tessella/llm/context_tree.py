@@ -26,16 +26,18 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, settle, sliced, words
+from .common import drop_step, fold, settle, sliced, words
 
 DEPTH = 5
 #: Characters that are looked at together; rows of a batch; grams held before they are summed.
@@ -281,7 +283,8 @@ def _ask_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (stretch, word, n): the distinct tokens of a stretch and how often they are learned from."""
+    """Rows (stretch, word, n): the distinct tokens of a stretch (the end as the empty one) and how
+    often they are learned from."""
     seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
     at = None
 
@@ -292,6 +295,7 @@ def _ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = list(seen[True].items())
             for k in range(0, len(found), 1 << 16):
                 word, n = zip(*found[k : k + (1 << 16)], strict=True)
+                word = [b"" if w == END else w for w in word]  # no word is empty
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), at, np.int32)), pa.array(word, pa.binary()), pa.array(n, pa.int64())], names=["stretch", "word", "n"])
         seen[True].clear()
         seen[False].clear()
@@ -307,7 +311,7 @@ def _ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (stretch, key, value) to (stretch, keys, values): numbers in bytes, words in lists."""
+    """Rows (stretch, key, value) to (stretch, keys, values) in bytes, words with ends between."""
     held, n = [], 0
 
     def packed() -> Iterator[pa.RecordBatch]:
@@ -317,12 +321,13 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stretch = stretch.to_numpy()
             order = np.argsort(stretch, kind="stable")
             numbers, first = np.unique(stretch[order], return_index=True)
+            cut = lambda x: pa.array([p.tobytes() for p in np.split(x.to_numpy()[order], first[1:])], pa.binary())
             if pa.types.is_binary(key.type):
-                offsets = pa.array([*first, len(order)], pa.int32())
-                columns = [pa.ListArray.from_arrays(offsets, x.take(pa.array(order)).combine_chunks()) for x in (key, value)]
+                lists = pa.ListArray.from_arrays(pa.array([*first, len(order)], pa.int32()), key.take(pa.array(order)).combine_chunks())
+                keys = pc.binary_join(lists, pa.scalar(END, pa.binary()))
             else:
-                columns = [pa.array([p.tobytes() for p in np.split(x.to_numpy()[order], first[1:])], pa.binary()) for x in (key, value)]
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), *columns], names=["stretch", "keys", "values"])
+                keys = cut(key)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), keys, cut(value)], names=["stretch", "keys", "values"])
             held, n = [], 0
 
     for batch in batches:
@@ -381,7 +386,6 @@ def _read_answers(total: int, distinct: int, text_at: int, own: int):
     """Rows (stretch, kind, grams, logs, words, counts, .., text perhaps) in order of (stretch,
     kind), the answers (kind 0) before the texts (kind 1), to (.., the columns of ``_SCORES``)."""
     floor = float(total + distinct + 1)
-    log = lambda n: float(np.log10((n + 1) / floor))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, gram, logs, known, answers = None, [], [], {}, None
@@ -396,10 +400,11 @@ def _read_answers(total: int, distinct: int, text_at: int, own: int):
                     gram += [x for x in part.column(2).to_pylist() if x]
                     logs += [x for x in part.column(3).to_pylist() if x]
                     for ws, ns in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True):
-                        known.update((w, log(n)) for w, n in zip(ws or (), ns or (), strict=True))
+                        if ns:  # the end stands between words as the empty one
+                            known.update(zip((w or END for w in ws.split(END)), np.log10((np.frombuffer(ns, np.int64) + 1) / floor).tolist(), strict=True))
                     continue
                 if answers is None:
-                    answers, gram, logs = Answers(gram, logs, known, log(0)), [], []
+                    answers, gram, logs = Answers(gram, logs, known, float(np.log10(1 / floor))), [], []
                 texts = part.column(6 + text_at).to_pylist()
                 score, size = answers.scores(texts)
                 found = (*answers.bases(texts), score, size)
@@ -449,7 +454,8 @@ def score(docs: DataFrame, learn: Column, text_col: str = "text", span: int = SP
                 stretches.append(stretch)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(stretches, pa.int64())], names=[*batch.schema.names[:-1], "tree__stretch"])
 
-    done = settle(frame.mapInArrow(deal, T.StructType([*frame.schema.fields[:-1], T.StructField("tree__stretch", T.LongType())])))
+    step = partial(settle, codec="zstd")
+    done = step(frame.mapInArrow(deal, T.StructType([*frame.schema.fields[:-1], T.StructField("tree__stretch", T.LongType())])))
     # a row for each stretch; numbered, neighbours together where there are very many
     ids = np.sort(done.select("tree__stretch").distinct().toPandas()["tree__stretch"].to_numpy())
     together = -(-len(ids) // STRETCHES) or 1
@@ -459,23 +465,29 @@ def score(docs: DataFrame, learn: Column, text_col: str = "text", span: int = SP
     texts = rows.select("tree__at", "tree__learn", text.cast("string").alias("tree__text"))
 
     # in the joins below both sides grow with the corpus: never a broadcast, at no size
-    asked = settle(texts.mapInArrow(_ask_words, "stretch int, word binary, n long"))
-    vocabulary = settle(asked.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"))
+    asked = step(texts.mapInArrow(_ask_words, "stretch int, word binary, n long"))
+    vocabulary = step(asked.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"))
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     told = asked.select("stretch", "word").join(vocabulary.hint("merge"), "word").select("stretch", "word", "n")
-    known = told.mapInArrow(_pack, "stretch int, keys array<binary>, values array<bigint>")
+    known = step(told.mapInArrow(_pack, "stretch int, keys binary, values binary"))
+    del told
+    drop_step(asked)
+    drop_step(vocabulary)
 
-    asked = settle(texts.mapInArrow(_ask_grams, "stretch int, gram long, n long"))
-    counts = settle(asked.groupBy("gram").agg(F.sum("n").alias("n")))
+    asked = step(texts.mapInArrow(_ask_grams, "stretch int, gram long, n long"))
+    counts = step(asked.groupBy("gram").agg(F.sum("n").alias("n")))
     told = asked.select("stretch", "gram").join(gram_answers(counts).hint("merge"), "gram").select("stretch", "gram", "log")
-    answers = told.mapInArrow(_pack, "stretch int, keys binary, values binary")
+    answers = step(told.mapInArrow(_pack, "stretch int, keys binary, values binary"))
+    del told
+    drop_step(asked)
+    drop_step(counts)
 
     texts_too = [] if dict(docs.dtypes)[text_col] == "string" else [text.cast("string").alias("tree__text")]
     none = lambda *kinds: [F.lit(None).cast(k) for k in kinds]
     gone = none(*(f.dataType for f in fields), *("string" for _ in texts_too))
-    union = answers.select("stretch", F.lit(0), "keys", "values", *none("array<binary>", "array<bigint>"), *gone)
+    union = answers.select("stretch", F.lit(0), "keys", "values", *none("binary", "binary"), *gone)
     union = union.union(known.select("stretch", F.lit(0), *none("binary", "binary"), "keys", "values", *gone))
-    union = union.union(rows.select("tree__at", F.lit(1), *none("binary", "binary", "array<binary>", "array<bigint>"), *own, *texts_too))
+    union = union.union(rows.select("tree__at", F.lit(1), *none("binary", "binary", "binary", "binary"), *own, *texts_too))
     union = union.toDF("tree__at", "tree__kind", "tree__grams", "tree__logs", "tree__words", "tree__counts", *docs.columns, *("tree__text" for _ in texts_too))
     met = union.repartitionById(stretches, F.col("tree__at")).sortWithinPartitions("tree__at", "tree__kind")
     kinds = {pa.int64(): T.LongType(), pa.float64(): T.DoubleType()}
