@@ -170,14 +170,18 @@ def draw(entities: DataFrame, key: str) -> DataFrame:
     kind, script = F.col("kind"), F.regexp_extract("kind", "^name_(.*)$", 1)
     forms = F.when(script != "", F.array(*[_ended(script, F.col("surrogate"), F.lit(f)) for f in (False, True)])).otherwise(F.array("surrogate"))
     pending, taken = entities, None
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for attempt in range(ATTEMPTS):
-        drawn = pending.withColumn("surrogate", _surrogate(kind, F.col("canonical"), _bytes_of(kind, F.col("canonical"), F.lit(attempt), key), F.lit(attempt)))
+        # a draw costs more than a row says: it is made once, by as many tasks as there are
+        drawn = pending.repartition(parts, "kind", "canonical").withColumn("surrogate", _surrogate(kind, F.col("canonical"), _bytes_of(kind, F.col("canonical"), F.lit(attempt), key), F.lit(attempt)))
+        drawn = settle(drawn)
         best = drawn.groupBy("kind", "surrogate").agg(F.min("canonical").alias("best"))
         known = best.select("kind", "surrogate", F.explode(forms).alias("form")).join(originals, ["kind", "form"], "left_semi").select("kind", "surrogate")
         free = best.join(known, ["kind", "surrogate"], "left_anti")
         if taken is not None:
             free = free.join(taken.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
         step = settle(drawn.join(free, ["kind", "surrogate"], "left").withColumn("won", F.coalesce(F.col("best") == F.col("canonical"), F.lit(False))))
+        drop_step(drawn)
         won = step.where("won").select("kind", "canonical", "surrogate")
         taken = won if taken is None else taken.union(won)
         pending = step.where("not won").select("kind", "canonical")
