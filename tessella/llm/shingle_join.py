@@ -328,7 +328,7 @@ def link_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     centers = settle(prefixes.groupBy("hash").agg(F.min("doc").alias("center"), F.max("doc").alias("most")).where("center < most").select("hash", "center"))
     around = settle(prefixes.join(centers, "hash").select("center", "doc").distinct())
     members = around.join(own.select(F.col("cls").alias("doc"), "rep").distinct(), "doc")
-    sizes = members.groupBy("center").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = settle(members.groupBy("center").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))  # written: a large block's join can be split
     tiles = F.ceil(F.col("size") / TILE).cast("int")
     at = F.pmod(F.xxhash64("doc"), tiles).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), tiles - 1), lambda j: F.struct(F.least(at, j).alias("left"), F.greatest(at, j).alias("right")))
