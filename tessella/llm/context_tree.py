@@ -103,14 +103,27 @@ def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.
 _ESTIMATE = np.dtype([("one", "<f4"), ("own", "<f4")])
 
 
+def _packed(p: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Of p and 1 - p the lesser one, with a minus for 1 - p: as a short float p alone would be 1
+    where a node of millions of ones has seen no zero, and a zero there impossible."""
+    return np.where(p <= rest, p, -rest)
+
+
+def _unpacked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """p and 1 - p."""
+    x = x.astype(float)
+    low = np.signbit(x)
+    return np.where(low, 1 + x, x), np.where(low, -x, 1 - x)
+
+
 def _nodes(key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, deeper: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Estimates and weights of nodes, and their log weighted probabilities. ``deeper``: the sums
-    of the children's, None for leaves."""
+    """Estimates and weights of nodes (packed), and their log weighted probabilities. ``deeper``:
+    the sums of the children's, None for leaves."""
     block = kt_block(zeros, ones)
     total = block if deeper is None else np.logaddexp(block, deeper) - np.log(2)
     rows = np.empty(len(key), _ESTIMATE)
-    rows["one"] = (ones + 0.5) / (zeros + ones + 1.0)
-    rows["own"] = 1.0 if deeper is None else np.exp(np.minimum(block - np.log(2) - total, 0))
+    rows["one"] = _packed((ones + 0.5) / (zeros + ones + 1.0), (zeros + 0.5) / (zeros + ones + 1.0))
+    rows["own"] = -0.0 if deeper is None else _packed(*(np.exp(np.minimum(x - np.log(2) - total, 0)) for x in (block, deeper)))
     return rows, total
 
 
@@ -142,7 +155,7 @@ def _levels(gram: np.ndarray, n: np.ndarray) -> tuple[dict[int, tuple[np.ndarray
 
 class Tree:
     """log10 probabilities of grams under nodes that ``find(depth, key)`` gives: whether they are
-    there, their estimates of a one, and the weights of these."""
+    there, their estimates of a one, and the weights of these (packed)."""
 
     def find(self, depth: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raise NotImplementedError
@@ -154,19 +167,19 @@ class Tree:
         total = np.zeros(len(gram))
         for k in range(8):
             key = context | np.uint64(1 << k) | byte >> np.uint64(8 - k)
-            estimates, weights = [], []
-            seen, last = np.ones(len(gram), bool), np.full(len(gram), 0.5, np.float32)
+            bit = (byte >> np.uint64(7 - k) & np.uint64(1)).astype(bool)
+            estimates, weights = [], []  # those of the bit that comes, and (own, deeper)
+            seen, last = np.ones(len(gram), bool), np.full(len(gram), 0.5)
             for depth in range(DEPTH + 1):
                 there, one, own = self.find(depth, key & np.uint64((1 << 8 * (depth + 1)) - 1))
                 seen = seen & there
-                last = np.where(seen, one, last)
+                last = np.where(seen, np.where(bit, *_unpacked(one)), last)
                 estimates.append(last)
-                weights.append(np.where(seen, own, 1))
-            p = estimates[DEPTH].astype(float)
+                weights.append(_unpacked(np.where(seen, own, -0.0)))
+            p = estimates[DEPTH]
             for depth in range(DEPTH - 1, -1, -1):
-                p = p + weights[depth] * (estimates[depth] - p)
-            bit = (byte >> np.uint64(7 - k) & np.uint64(1)).astype(bool)
-            total += np.log10(np.where(bit, p, 1 - p))
+                p = weights[depth][0] * estimates[depth] + weights[depth][1] * p
+            total += np.log10(p)
         return total
 
 

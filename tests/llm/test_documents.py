@@ -354,3 +354,16 @@ def test_shingle_join_of_repeated_ids(spark):
     df = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
     got = {r["doc"]: r["component"] for r in shingle_join.link_table(df).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3}
+
+
+def test_context_tree_of_many_equal_decisions(spark):
+    """A byte that a tree of hundreds of millions of others has never seen is rare, not impossible."""
+    code = lambda b: int.from_bytes(b"\n" * 5 + b, "big")
+    counts = spark.createDataFrame([(code(b"a"), 400_000_000), (code(b"_"), 0), (code(b"\xc3"), 0)], "gram long, n long")
+    got = {r["gram"]: r["log"] for r in context_tree.gram_answers(counts).collect()}
+    assert all(math.isfinite(x) for x in got.values())
+    rare = lambda n: math.log10(0.5 / (n + 1))
+    # of the eight decisions the first that differs is the rare one, and what follows it is unknown
+    assert math.isclose(got[code(b"\xc3")], rare(4e8) + 7 * math.log10(0.5), abs_tol=1e-3)
+    assert math.isclose(got[code(b"_")], rare(4e8) + 5 * math.log10(0.5), abs_tol=1e-3)
+    assert abs(got[code(b"a")]) < 1e-6
