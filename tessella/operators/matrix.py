@@ -203,6 +203,18 @@ class Matrix:
         ptr = np.concatenate([[0], np.cumsum(np.bincount(found["i"].to_numpy(np.int64) if n else np.empty(0, np.int64), minlength=self.shape[0]))])
         return ptr, found["j"].to_numpy(), found["v"].to_numpy()
 
+    def gather_shared(self, path: str) -> tuple[DataFrame, DataFrame]:
+        """Row pointers (i, row_ptr) and entries (i, j, v), gathered below a path that driver and
+        executors share, in files in order of (i, j). It has no limit: what the driver holds does
+        not grow with the matrix."""
+        spark = self.cells.sparkSession
+        ordered = self.cells.select("i", "j", "v").repartitionByRange("i", "j").sortWithinPartitions("i", "j")
+        ordered.write.parquet(f"{path}/entries")
+        entries = spark.read.schema(ordered.schema).parquet(f"{path}/entries")
+        pointers = replace(self, cells=entries).row_ptr()
+        pointers.write.parquet(f"{path}/row_ptr")
+        return spark.read.schema(pointers.schema).parquet(f"{path}/row_ptr"), entries
+
     def info(self) -> dict:
         """Shape, kind, number of stored entries and the types of the cells."""
         return {"shape": self.shape, "dense": self.dense, "nnz": self.cells.count(), "types": dict(self.cells.dtypes)}

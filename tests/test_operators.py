@@ -1,5 +1,7 @@
 """Properties and small cases that the catalogue does not reach."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
@@ -9,6 +11,7 @@ from tessella.functions import strings
 from tessella.operators import arrays, calls, exchange, graph, membership, queues, reduce, scan
 from tessella.operators.keyed import KeyedTable
 from tessella.operators.matrix import Matrix
+from tessella.plans import catalogue
 from tessella.plans.layout import Blocking, Team, block_matmul, factor, same_layout, split_world
 from tessella.sources import matrix_files
 from tessella.streaming import live_queue
@@ -183,6 +186,20 @@ def test_matrix_algebra(spark):
     assert rows((sparse + other).cells, "i") == [(0, 0, 1.0), (1, 1, 2.0)]
 
 
+def test_gather_shared(spark, tmp_path, monkeypatch):
+    """A matrix of any size is gathered without its rows in the driver."""
+    cells = spark.range(2000).select((F.col("id") * 7 % 997).alias("i"), (F.col("id") % 13).alias("j"), F.col("id").alias("v"))
+    m = Matrix(cells, (1000, 13))
+    ptr, columns, values = m.gather_csr()
+    pointers, entries = m.gather_shared(str(tmp_path / "csr"))
+    assert [r["row_ptr"] for r in pointers.orderBy("i").collect()] == ptr.tolist()
+    assert rows(entries, "i", "j") == rows(cells, "i", "j") and entries.count() == len(columns) == len(values)
+    monkeypatch.setattr(Matrix, "gather_csr", None)
+    monkeypatch.setattr(type(spark), "createDataFrame", None)
+    if (data := Path("/root/testdata/sf0.001")).exists():
+        assert catalogue.queries()["sp_gather"](spark, str(data)).count() == 1501
+
+
 def test_matrix_files(spark, tmp_path):
     mtx = tmp_path / "a.mtx"
     mtx.write_text("%%MatrixMarket matrix coordinate real symmetric\n% note\n3 3 4\n1 1 2.5\n2 1 -1\n2 1 9\n3 3 4\n")
