@@ -41,9 +41,33 @@ def reachable(spark: SparkSession) -> None:
         spark.conf.set(limit, str(BATCH))
 
 
+#: Bytes of a file that a task reads, and of shuffled data (compressed) that it gets; bytes of a
+#: table for each partition of a shuffle, and partitions that are added for tables at most.
+SPLIT, SHARE, PER_PARTITION, PARTITIONS = 16 << 20, 4 << 20, 256 << 10, 2048
+
+
+def share_out(spark: SparkSession, size: int) -> None:
+    """Let the number of tasks grow with the input, not what one of them holds: short splits and
+    shuffled shares, and for a table of ``size`` bytes enough partitions to be put together again.
+    Adaptive execution would else deal 64 MB of compressed rows to each core. What the session
+    names itself stays."""
+    conf = spark._jsparkSession.sessionState().conf()
+    given = spark.sparkContext.__dict__.setdefault("_tessella_shares", {})
+    partitions = min(PARTITIONS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PER_PARTITION)))
+    wanted = {"spark.sql.files.maxPartitionBytes": SPLIT, "spark.sql.adaptive.advisoryPartitionSizeInBytes": SHARE, "spark.sql.adaptive.coalescePartitions.initialPartitionNum": partitions}
+    for key, value in wanted.items():
+        own = not conf.contains(key) or spark.conf.get(key) == given.get(key)
+        if own and value > int(given.get(key, 0)):
+            given[key] = str(value)
+            spark.conf.set(key, given[key])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the parquet tables below ``sf_dir``; projections and filters reach the scan."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One of the parquet tables below ``sf_dir``; projections and filters reach the scan, and
+    tasks are as many as its size asks for."""
+    found = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    share_out(spark, int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+    return found
 
 
 def scratch(spark: SparkSession, name: str) -> str:

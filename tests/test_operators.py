@@ -7,6 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from tessella import session
 from tessella.functions import strings
 from tessella.operators import arrays, calls, exchange, graph, membership, queues, reduce, scan
 from tessella.operators.keyed import KeyedTable
@@ -284,3 +285,26 @@ def test_stream_equals_batch(spark, tmp_path):
     got = []
     live_queue.deliver(live_queue.listen(spark, src, rows_in.schema), lambda df, _: got.append(df.count()), str(tmp_path / "cp2")).awaitTermination(60)
     assert sum(got) == 100
+
+
+def test_tasks_grow_with_tables(spark):
+    """A large table asks for more partitions of a shuffle, and short shares; what the session names stays."""
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+    given = spark.sparkContext.__dict__.pop("_tessella_shares", {})
+    try:
+        for k in keys:
+            spark.conf.unset(k)
+        spark.conf.set(keys[1], "123456")
+        session.share_out(spark, 100 << 20)
+        assert [spark.conf.get(k) for k in keys] == [str(16 << 20), "123456", "400"]
+        session.share_out(spark, 200 << 20)
+        session.share_out(spark, 1 << 20)
+        assert spark.conf.get(keys[2]) == "800"
+        session.share_out(spark, 1 << 40)
+        assert spark.conf.get(keys[2]) == "2048"
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+        for k, v in given.items():
+            spark.conf.set(k, v)
+        spark.sparkContext._tessella_shares = given
