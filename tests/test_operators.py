@@ -308,3 +308,10 @@ def test_tasks_grow_with_tables(spark):
         for k, v in given.items():
             spark.conf.set(k, v)
         spark.sparkContext._tessella_shares = given
+
+
+def test_chains_are_not_broadcast(spark):
+    kmers = spark.createDataFrame([("AC", "F", "G"), ("CG", "A", "T"), ("GT", "C", "F")], "kmer string, bwd string, fwd string")
+    found = graph.contigs(kmers)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found) == [("AC", "ACGT", 3)]
