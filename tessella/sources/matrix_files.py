@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.matrix import Matrix
 from ..operators.scan import exclusive_scan
+from ..session import drop, scratch
 
 BANNER = "%%MatrixMarket"
 
@@ -88,7 +89,8 @@ def read_matrix_market(spark: SparkSession, path: str, one_indexed: bool = True)
 def write_matrix_market(matrix: Matrix, path: str, one_indexed: bool = True, parts: int | None = 1) -> None:
     """Text in order of (i, j), with the field of the values: one file, or with ``parts`` None as
     many part files as the sort makes (the first one holds the header; ``read_matrix_market``
-    reads the folder)."""
+    reads the folder). One file is sorted by many tasks too, and their parts are put together as
+    streams of bytes."""
     kind = dict(matrix.cells.dtypes)["v"]
     field = "integer" if kind in ("bigint", "int", "smallint", "tinyint") else "real"
     nnz = matrix.cells.count()
@@ -97,8 +99,17 @@ def write_matrix_market(matrix: Matrix, path: str, one_indexed: bool = True, par
     head = spark.createDataFrame([(-2, -1, f"{BANNER} matrix coordinate {field} general"), (-1, -1, f"{matrix.shape[0]} {matrix.shape[1]} {nnz}")], "i long, j long, value string")
     body = matrix.cells.select("i", "j", F.concat_ws(" ", (F.col("i") + shift).cast("string"), (F.col("j") + shift).cast("string"), F.col("v").cast("string")).alias("value"))
     both = head.unionByName(body)
-    ordered = both.coalesce(1).sortWithinPartitions("i", "j") if parts == 1 else both.repartitionByRange(*([parts] if parts else []), "i", "j").sortWithinPartitions("i", "j")
-    ordered.select("value").write.text(path)
+    several = [parts] if parts and parts > 1 else []
+    ordered = both.repartitionByRange(*several, "i", "j").sortWithinPartitions("i", "j").select("value")
+    if parts != 1:
+        ordered.write.text(path)
+        return
+    made = scratch(spark, "parts")
+    ordered.write.text(made)
+    with _Sink(spark, f"{path}/part-00000.txt") as out:
+        for part, size in _parts(spark, made):
+            out.copy(part, [(0, size)])
+    drop(spark, made)
 
 
 #: Bytes of a record that a binary file is read in, at most.
@@ -171,17 +182,38 @@ def read_binary(spark: SparkSession, path: str, value: str = "<f8", index: str =
     return whole.slice(rows, (0, n)) if rows else whole
 
 
+def _parts(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """Part files of a folder in their order, with their sizes."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(folder)
+    found = at.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(at)
+    return sorted((str(f.getPath()), f.getLen()) for f in found if f.getPath().getName().startswith("part-"))
+
+
 class _Sink:
     """A file in any store that Spark reaches, written from the driver."""
 
     def __init__(self, spark: SparkSession, path: str):
-        context = spark.sparkContext
-        at = context._jvm.org.apache.hadoop.fs.Path(path)
-        self._out = at.getFileSystem(context._jsc.hadoopConfiguration()).create(at, True)
+        self._context = spark.sparkContext
+        at = self._context._jvm.org.apache.hadoop.fs.Path(path)
+        self._out = at.getFileSystem(self._context._jsc.hadoopConfiguration()).create(at, True)
 
     def write(self, raw: bytes) -> None:
         self._out.write(bytearray(raw))
 
+    def copy(self, path: str, ranges: list[tuple[int, int]]) -> None:
+        """Append stretches (begin, size) of another file, through a short buffer of the JVM."""
+        at = self._context._jvm.org.apache.hadoop.fs.Path(path)
+        source = at.getFileSystem(self._context._jsc.hadoopConfiguration()).open(at)
+        try:
+            for begin, size in ranges:
+                source.seek(begin)
+                copied = self._context._jvm.org.apache.commons.io.IOUtils.copyLarge(source, self._out, 0, size)
+                if copied != size:
+                    raise OSError(f"{path} ends after {begin + copied} bytes")
+        finally:
+            source.close()
+
     def __enter__(self) -> _Sink:
         return self
 
