@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import shutil
 import struct
-import tempfile
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -221,38 +220,66 @@ class _Sink:
         self._out.close()
 
 
+#: Entries of a stretch of raw bytes.
+STRETCH = 1 << 16
+
+
+def _raw_parts(df: DataFrame, kinds: list[tuple[str, str]], path: str) -> list[tuple[str, int]]:
+    """The columns of ``kinds`` (name, type) as raw bytes in part files, by as many tasks as there are
+    partitions, in order: of each stretch of rows the bytes of one column after the other, each with
+    a line end that is not part of them. Returns the files with their numbers of rows."""
+
+    def encode(batches):
+        held = [np.empty(0, kind) for _, kind in kinds]
+
+        def told(k: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([h[:k].tobytes() for h in held], pa.binary())], names=["raw"])
+
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(name).to_numpy(zero_copy_only=False).astype(kind)]) for h, (name, kind) in zip(held, kinds, strict=True)]
+            while len(held[0]) >= STRETCH:
+                yield told(STRETCH)
+                held = [h[STRETCH:] for h in held]
+        if len(held[0]):
+            yield told(len(held[0]))
+
+    spark = df.sparkSession
+    df.select(*[name for name, _ in kinds]).mapInArrow(encode, "raw binary").select(F.col("raw").cast("string")).write.option("lineSep", "\n").text(path)
+    width = sum(np.dtype(kind).itemsize for _, kind in kinds)
+    full = STRETCH * width + len(kinds)
+    return [(part, size // full * STRETCH + max(0, size % full - len(kinds)) // width) for part, size in _parts(spark, path)]
+
+
+def _ranges(rows: int, kinds: list[tuple[str, str]], which: int) -> list[tuple[int, int]]:
+    """Where the bytes of a column are in a part file of so many rows."""
+    widths = [np.dtype(kind).itemsize for _, kind in kinds]
+    found, at = [], 0
+    for first in range(0, rows, STRETCH):
+        n = min(STRETCH, rows - first)
+        found.append((at + n * sum(widths[:which]) + which, n * widths[which]))
+        at += n * sum(widths) + len(widths)
+    return found
+
+
 def write_binary(matrix: Matrix, path: str, value: str = "<f8", index: str = "<i8") -> None:
-    """The inverse of ``read_binary``. The format is one file of contiguous arrays, so the driver
-    writes it, from one sorted partition at a time: it holds no more than that."""
-    nnz, (m, n) = matrix.cells.count(), matrix.shape
-    sorted_ = matrix.cells.select("i", "j", "v").orderBy("i", "j")
-    with _Sink(matrix.cells.sparkSession, path) as out, tempfile.TemporaryFile() as columns, tempfile.TemporaryFile() as pointers:
-        out.write(struct.pack("<QQQ", m, n, nnz))
-        row, seen = -1, 0
-        batch: list = []
-
-        def flush() -> None:
-            nonlocal row, seen
-            i = np.array([r[0] for r in batch], np.int64)
-            out.write(np.array([r[2] for r in batch]).astype(value).tobytes())
-            columns.write(np.array([r[1] for r in batch]).astype(index).tobytes())
-            # the pointer of every row up to the last one met: entries before it
-            reach = np.arange(row + 1, i[-1] + 1)
-            pointers.write((seen + np.searchsorted(i, reach)).astype(index).tobytes())
-            row, seen = int(i[-1]), seen + len(i)
-            batch.clear()
-
-        for r in sorted_.toLocalIterator():
-            batch.append(r)
-            if len(batch) == 1 << 16:
-                flush()
-        if batch:
-            flush()
-        for start in range(row + 1, m + 1, 1 << 16):
-            pointers.write(np.full(min(1 << 16, m + 1 - start), seen).astype(index).tobytes())
-        for part in (columns, pointers):
-            part.seek(0)
-            shutil.copyfileobj(part, out)
+    """The inverse of ``read_binary``. Tasks sort the entries and make the bytes of each array in
+    parts; the format is one file of contiguous arrays, so the driver puts the parts together, as
+    streams of bytes: no rows come to it."""
+    spark, (m, n) = matrix.cells.sparkSession, matrix.shape
+    entries, pointers = [("v", value), ("j", index)], [("row_ptr", index)]
+    ordered = matrix.cells.select("i", "j", "v").repartitionByRange("i", "j").sortWithinPartitions("i", "j")
+    made, marks = scratch(spark, "entries"), scratch(spark, "pointers")
+    parts = _raw_parts(ordered, entries, made)
+    marked = _raw_parts(matrix.row_ptr().repartitionByRange("i").sortWithinPartitions("i"), pointers, marks)
+    with _Sink(spark, path) as out:
+        out.write(struct.pack("<QQQ", m, n, sum(rows for _, rows in parts)))
+        for which in (0, 1):
+            for part, rows in parts:
+                out.copy(part, _ranges(rows, entries, which))
+        for part, rows in marked:
+            out.copy(part, _ranges(rows, pointers, 0))
+    for step in (made, marks):
+        drop(spark, step)
 
 
 def read_matrix(spark: SparkSession, path: str) -> Matrix:

@@ -318,14 +318,18 @@ def test_chains_are_not_broadcast(spark):
 
 
 def test_single_files_are_made_by_many_tasks(spark, tmp_path, monkeypatch):
-    """No task sorts a whole matrix."""
+    """Neither does one task sort a whole matrix, nor do its rows pass through the driver's Python."""
     frame = type(spark.range(0))
     monkeypatch.setattr(frame, "coalesce", None)
+    monkeypatch.setattr(frame, "toLocalIterator", None)
     cells = spark.range(300_000).select((F.col("id") * 7919 % 300_000).alias("i"), (F.col("id") % 11).alias("j"), ((F.col("id") % 97) * -0.37).alias("v"))
     m = Matrix(cells, (300_000, 11))
-    text = str(tmp_path / "one.mtx")
+    text, out = str(tmp_path / "one.mtx"), str(tmp_path / "one.binary")
     matrix_files.write_matrix_market(m, text)
     lines = [p.read_text().splitlines() for p in Path(text).glob("part-*")]
     assert len(lines) == 1 and lines[0][1] == "300000 11 300000"
     assert [int(x.split()[0]) for x in lines[0][2:]] == list(range(1, 300_001))
     assert matrix_files.read_matrix(spark, text).allclose(m, 0, 0).first()[0] == 0
+    matrix_files.write_binary(m, out)
+    assert Path(out).stat().st_size == 24 + 16 * 300_000 + 8 * 300_001
+    assert matrix_files.read_matrix(spark, out).allclose(m, 0, 0).first()[0] == 0
