@@ -24,7 +24,6 @@ read whole, in stretches; extra columns pass through; an empty table gives an em
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -37,17 +36,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_step, fold, settle, sliced, words
+from .common import drop_step, fold, settle, sliced
 
 DEPTH = 5
-#: Characters that are looked at together; rows of a batch; grams held before they are summed.
-STRETCH, ROWS, COUNTED = 400_000, 1000, 1_500_000
+#: Bytes that are looked at together; rows of a batch; grams held before they are summed.
+STRETCH, ROWS, COUNTED = 1_000_000, 1000, 1_500_000
 #: Characters of a stretch of documents, and stretches at most (beyond, neighbours are one);
-#: grams of a slot; places by which a stretch finds its grams at once (the others by search);
-#: answers packed at a time; stretches whose numbers are broadcast (16 bytes each; beyond, joined).
-SPAN, STRETCHES, PER_SLOT, PLACES_BITS, PACKED, NUMBERS = 24_000_000, 1 << 16, 30_000, 21, 1_000_000, 1 << 20
-END = b"\n"
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: grams of a slot; answers packed at a time; bytes of texts that look up their words together;
+#: stretches whose numbers are broadcast (16 bytes each; beyond, joined).
+SPAN, STRETCHES, PER_SLOT, PACKED, HELD, NUMBERS = 24_000_000, 1 << 16, 30_000, 1_000_000, 12_000_000, 1 << 20
+END, BLANK = b"\n", b" "
+#: What a gram leaves free in 64 bits: the texts that are sorted with their grams.
+_FREE = np.uint64(64 - 8 * (DEPTH + 1))
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -63,40 +63,78 @@ def kt_block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return lgamma(zeros + 0.5) + lgamma(ones + 0.5) - lgamma(zeros + ones + 1.0) - 1.1447298858494002
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the DEPTH + 1 bytes that end at each byte of each text and its end (before a
-    text stand ends), and where each text's codes start."""
-    raw = [b" ".join(words(t)) + END for t in texts]
-    pad = END * DEPTH
-    flat = np.frombuffer(pad + pad.join(raw), np.uint8).astype(np.uint64)
-    code = np.zeros(len(flat) - DEPTH, np.uint64)
-    for k in range(DEPTH + 1):
-        code <<= np.uint64(8)
-        code |= flat[k : len(flat) - DEPTH + k]
-    sizes = np.array([len(r) for r in raw])
-    ends = np.cumsum(sizes + DEPTH)
-    keep = np.ones(len(code) + DEPTH, bool)
-    for k in range(DEPTH):
-        keep[np.minimum(ends - DEPTH + k, len(keep) - 1)] = False
-    return code[keep[: len(code)]], np.concatenate([[0], np.cumsum(sizes)[:-1]])
-
-
-def _stretches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about STRETCH characters."""
-    start, held = 0, 0
-    for k, t in enumerate(texts):
-        held += len(t or "")
-        if held >= STRETCH:
-            yield start, k + 1
-            start, held = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+class Tokens:
+    """The lower-cased words of texts, without a Python object for any of them: ``data`` holds
+    their bytes, ``bounds`` where each begins (and the last ends), ``first`` the first of each text
+    (and the number of all)."""
+
+    def __init__(self, texts: pa.Array):
+        texts = (texts.fill_null("") if texts.null_count else texts).cast(pa.binary())
+        _, offsets, flat = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+        flat = np.frombuffer(flat, np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.empty(0, np.uint8)
+        offsets = offsets - offsets[0]
+        solid = (flat != 32) & (flat - np.uint8(9) > 4)
+        begins = solid.copy()
+        begins[1:] &= ~solid[:-1]
+        at = offsets[:-1][np.diff(offsets) > 0]
+        begins[at] = solid[at]
+        self.data = flat[solid]
+        self.data += (self.data - np.uint8(65) < 26) * np.uint8(32)
+        self.bounds = np.append(np.flatnonzero(begins[solid]), len(self.data)).astype(np.int32)
+        self.first = np.searchsorted(np.flatnonzero(begins), offsets)
+        self.counts = np.diff(self.first)
+        #: bytes that each text codes: its words with single spaces between, and its end
+        self.sizes = np.diff(self.bounds[self.first]).astype(np.int64) + np.maximum(self.counts, 1)
+
+    def words(self) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(self.bounds) - 1, [None, pa.py_buffer(self.bounds), pa.py_buffer(self.data)])
+
+    def stretches(self) -> Iterator[tuple[int, int]]:
+        """Runs of texts of STRETCH bytes at most, or of one text, and no more of them than a gram
+        leaves bits for."""
+        ends, start, most = np.cumsum(self.sizes), 0, 1 << int(_FREE)
+        while start < len(ends):
+            stop = int(np.searchsorted(ends, ends[start] - self.sizes[start] + STRETCH, "right"))
+            stop = min(max(stop, start + 1), start + most)
+            yield start, stop
+            start = stop
+
+    def grams(self, a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Codes of the DEPTH + 1 bytes that end at each byte of texts a to b and their ends (before
+        a text stand ends), and which text that is (the first is 0); a long text in pieces."""
+        first, counts, sizes = self.first[a : b + 1], self.counts[a:b], self.sizes[a:b]
+        bounds = self.bounds[first[0] : first[-1] + 1].astype(np.int64)
+        begins = np.cumsum(sizes + DEPTH) - sizes
+        ends = begins + sizes - 1
+        # a word is followed by a space; the last one of a text, or a text without one, by the end
+        blanks = np.repeat(begins - self.bounds[first[:-1]] - first[:-1], counts) + bounds[1:] + np.arange(first[0], first[-1])
+        flat = np.full(7 + int(ends[-1]) + 1, END[0], np.uint8)
+        body = flat[7:]
+        body[blanks] = BLANK[0]
+        body[ends] = END[0]
+        plain = np.ones(len(body), bool)
+        plain[blanks] = plain[ends] = False
+        kept = np.ones(len(body), bool)
+        for k in range(1, DEPTH + 1):
+            plain[begins - k] = kept[begins - k] = False
+        body[plain] = self.data[bounds[0] : bounds[-1]]
+        for p in range(0, len(body), 2 * STRETCH):
+            q = min(p + 2 * STRETCH, len(body))
+            code = np.ndarray(q - p, ">u8", flat, p, strides=(1,)).astype(np.uint64)[kept[p:q]]
+            code &= np.uint64((1 << 8 * (DEPTH + 1)) - 1)
+            yield code, np.repeat(np.arange(b - a, dtype=np.uint64), np.maximum(np.minimum(ends + 1, q) - np.maximum(begins, p), 0))
+
+
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
 
 
 def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    first = _firsts(keys)
     return keys[first], [np.add.reduceat(v[order], first) for v in values]
 
 
@@ -250,17 +288,21 @@ def _answer(shipped):
     return run
 
 
-def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, list, bool]]:
-    """Rows (stretch, learn, text) to runs (stretch, learn, texts, whether another stretch begins)."""
+def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, Tokens, bool]]:
+    """Rows (stretch, learn, text) to runs (stretch, learn by text, tokens, whether another stretch
+    begins)."""
     current = None
-    for batch in sliced(batches):
-        stretches, learned, texts = (c.to_pylist() for c in batch.columns)
-        start = 0
-        for stop in range(1, len(texts) + 1):
-            if stop < len(texts) and (stretches[stop], learned[stop]) == (stretches[start], learned[start]):
-                continue
-            yield stretches[start], learned[start], texts[start:stop], stretches[start] != current
-            current, start = stretches[start], stop
+    for batch in batches:
+        stretches, learned = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        turns = [*_firsts(stretches).tolist(), len(stretches)]
+        for a, b in zip(turns, turns[1:]):
+            yield int(stretches[a]), learned[a:b], Tokens(batch.column(2).slice(a, b - a)), stretches[a] != current
+            current = stretches[a]
+
+
+def _rows_of(stretch: int, name: str, keys: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    rows = pa.RecordBatch.from_arrays([pa.array(np.full(len(n), stretch, np.int32)), keys, pa.array(n, pa.int64())], names=["stretch", name, "n"])
+    return sliced([rows], 1 << 16)
 
 
 def _ask_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,48 +320,47 @@ def _ask_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if found:
             summed()
             (code, n), found = found[0], []
-            for k in range(0, len(code), 1 << 16):
-                part = slice(k, k + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code[part]), at, np.int32)), pa.array(code[part].astype(np.int64)), pa.array(n[part])], names=["stretch", "gram", "n"])
+            yield from _rows_of(at, "gram", pa.array(code.astype(np.int64)), n)
 
-    for stretch, learned, texts, new in _runs_of(batches):
+    for stretch, learned, tokens, new in _runs_of(batches):
         if new:
             yield from told()
             at, held = stretch, 0
-        for a, b in _stretches(texts):
-            code, n = np.unique(grams(texts[a:b])[0], return_counts=True)
-            found.append((code, n if learned else np.zeros(len(code), np.int64)))
-            held += len(code)
-            if held >= COUNTED:
-                summed()
+        for a, b in tokens.stretches():
+            for key, of in tokens.grams(a, b):
+                key <<= np.uint64(1)
+                key |= learned[a:b][of]
+                key.sort()
+                code = key >> np.uint64(1)
+                first = _firsts(code)
+                found.append((code[first], np.add.reduceat((key & np.uint64(1)).astype(np.int64), first)))
+                held += len(first)
+                if held >= COUNTED:
+                    summed()
     yield from told()
 
 
 def _ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (stretch, word, n): the distinct tokens of a stretch (the end as the empty one) and how
     often they are learned from."""
-    seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
-    at = None
+    found, held, at = [], 0, None
 
     def told() -> Iterator[pa.RecordBatch]:
-        for word in seen[False].keys() - seen[True].keys():
-            seen[True][word] = 0
-        if seen[True]:
-            found = list(seen[True].items())
-            for k in range(0, len(found), 1 << 16):
-                word, n = zip(*found[k : k + (1 << 16)], strict=True)
-                word = [b"" if w == END else w for w in word]  # no word is empty
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), at, np.int32)), pa.array(word, pa.binary()), pa.array(n, pa.int64())], names=["stretch", "word", "n"])
-        seen[True].clear()
-        seen[False].clear()
-
-    for stretch, learned, texts, new in _runs_of(batches):
-        if new or len(seen[True]) + len(seen[False]) > COUNTED // 2:
+        nonlocal found, held
+        if found:
+            coded = pa.concat_arrays([tokens.words() for tokens, _ in found]).dictionary_encode()
+            learns = np.concatenate([np.repeat(learned, tokens.counts) for tokens, learned in found])
+            n = np.bincount(coded.indices.to_numpy()[learns], minlength=len(coded.dictionary))
+            end = sum(int(learned.sum()) for _, learned in found)
+            found, held = [], 0
+            yield from _rows_of(at, "word", pa.concat_arrays([coded.dictionary, pa.array([b""], pa.binary())]), np.append(n, end))
+
+    for stretch, learned, tokens, new in _runs_of(batches):
+        if new or held + len(tokens.data) > SPAN:
             yield from told()
             at = stretch
-        for t in texts:
-            seen[learned].update(words(t))
-        seen[learned][END] += len(texts)
+        found.append((tokens, learned))
+        held += len(tokens.data)
     yield from told()
 
 
@@ -352,44 +393,47 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Answers:
-    """log10 probabilities of the grams of one stretch, and of its words that are known."""
+    """log10 probabilities of the grams of one stretch, and of its words that are known (the end as
+    the empty one)."""
 
-    def __init__(self, gram: list[bytes], logs: list[bytes], known: dict[bytes, float], unknown: float):
+    def __init__(self, gram: list[bytes], logs: list[bytes], known: list[pa.Array], counts: list[bytes], floor: float):
         code = np.frombuffer(b"".join(gram), np.uint64)
         order = np.argsort(code, kind="stable")
-        self.code, self.logs = code[order], np.frombuffer(b"".join(logs), np.float32)[order]
-        self.first = np.zeros(1 << PLACES_BITS, np.int32)
-        self.first[self._place(self.code)] = np.arange(len(code))
-        self.known, self.unknown = known, unknown
-
-    @staticmethod
-    def _place(code: np.ndarray) -> np.ndarray:
-        return ((code * _MIX) >> np.uint64(64 - PLACES_BITS)).astype(np.int64)
-
-    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each text, and the bytes that it codes."""
-        out, sizes = [np.empty(0)], [np.empty(0, np.int64)]
-        for a, b in _stretches(texts):
-            code, starts = grams(texts[a:b])
-            at = self.first[self._place(code)]
-            other = np.flatnonzero(self.code[at] != code)
-            at[other] = np.minimum(np.searchsorted(self.code, code[other]), len(self.code) - 1)
-            if not (self.code[at] == code).all():
-                raise ValueError("a gram without an answer")
-            out.append(np.add.reduceat(self.logs[at].astype(float), starts))
-            sizes.append(np.diff([*starts, len(code)]))
-        return np.concatenate(out), np.concatenate(sizes)
-
-    def bases(self, texts: list[str | None]) -> tuple[list[int], list[int], list[float]]:
+        self.code, self.logs = code[order], np.frombuffer(b"".join(logs), np.float32)[order].astype(float)
+        self.known = pa.concat_arrays([pa.array([], pa.binary()), *known])
+        # the last one: of what is not known
+        self.word = np.log10((np.append(np.frombuffer(b"".join(counts), np.int64), 0) + 1) / floor)
+
+    def scores(self, tokens: Tokens) -> np.ndarray:
+        """log10 probability of each text. Grams are sorted with the numbers of their texts: those
+        that are equal are looked up once, in order."""
+        out = [np.empty(0)]
+        for a, b in tokens.stretches():
+            out.append(np.zeros(b - a))
+            for key, of in tokens.grams(a, b):
+                key <<= _FREE
+                key |= of
+                key.sort()
+                code = key >> _FREE
+                first = _firsts(code)
+                code = code[first]
+                at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+                if not (self.code[at] == code).all():
+                    raise ValueError("a gram without an answer")
+                logs = np.repeat(self.logs[at], np.diff(np.append(first, len(key))))
+                out[-1] += np.bincount((key & np.uint64((1 << int(_FREE)) - 1)).astype(np.int64), logs, b - a)
+        return np.concatenate(out)
+
+    def bases(self, found: list[Tokens]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Of each text the tokens, those known, and the log10 of the smoothed word frequencies."""
-        tokens, known, base = [], [], []
-        for t in texts:
-            own = [*words(t), END]
-            logs = [x for x in map(self.known.get, own) if x is not None]
-            tokens.append(len(own))
-            known.append(len(logs))
-            base.append(float(sum(logs) + self.unknown * (len(own) - len(logs))))
-        return tokens, known, base
+        every = pa.chunked_array([*(t.words() for t in found), pa.array([b""], pa.binary())])
+        at = pc.fill_null(pc.index_in(every, value_set=self.known), -1).to_numpy()
+        end, start = at[-1], 0
+        for t in found:
+            own, start = at[start : start + len(t.bounds) - 1], start + len(t.bounds) - 1
+            of = np.repeat(np.arange(len(t.counts)), t.counts)
+            known = np.bincount(of[own >= 0], minlength=len(t.counts)) + (end >= 0)
+            yield t.counts + 1, known, np.bincount(of, self.word[own], len(t.counts)) + self.word[end]
 
 
 _SCORES = [("tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("bytes", pa.int64())]
@@ -401,27 +445,39 @@ def _read_answers(total: int, distinct: int, text_at: int, own: int):
     floor = float(total + distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, gram, logs, known, answers = None, [], [], {}, None
-        for batch in sliced(batches):
+        current, answers, told, parts, held = None, None, ([], [], [], []), [], 0
+
+        def scored() -> Iterator[pa.RecordBatch]:
+            nonlocal answers, told, parts, held
+            if not parts:
+                return
+            if answers is None:
+                answers, told = Answers(*told, floor), ([], [], [], [])
+            found = [Tokens(part.column(6 + text_at)) for part in parts]
+            for part, tokens, base in zip(parts, found, answers.bases(found), strict=True):
+                made = (*base, answers.scores(tokens), tokens.sizes)
+                yield pa.RecordBatch.from_arrays([*part.columns[6 : 6 + own], *(pa.array(x, t) for x, (_, t) in zip(made, _SCORES, strict=True))], names=[*part.schema.names[6 : 6 + own], *(f"tree__{c}" for c, _ in _SCORES)])
+            parts, held = [], 0
+
+        for batch in batches:
             stretches, kinds = (batch.column(k).to_numpy() for k in (0, 1))
-            turns = np.flatnonzero((stretches[1:] != stretches[:-1]) | (kinds[1:] != kinds[:-1])) + 1
-            for a, b in zip([0, *turns], [*turns, len(kinds)], strict=True):
+            turns = [*_firsts(stretches.astype(np.int64) << 1 | kinds).tolist(), len(kinds)]
+            for a, b in zip(turns, turns[1:]):
                 part = batch.slice(a, b - a)
                 if stretches[a] != current:
-                    current, gram, logs, known, answers = stretches[a], [], [], {}, None
+                    yield from scored()
+                    current, answers, told = stretches[a], None, ([], [], [], [])
                 if kinds[a] == 0:
-                    gram += [x for x in part.column(2).to_pylist() if x]
-                    logs += [x for x in part.column(3).to_pylist() if x]
-                    for ws, ns in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True):
-                        if ns:  # the end stands between words as the empty one
-                            known.update(zip((w or END for w in ws.split(END)), np.log10((np.frombuffer(ns, np.int64) + 1) / floor).tolist(), strict=True))
+                    for k in (0, 1, 3):
+                        told[k].extend(x for x in part.column((2, 3, 4, 5)[k]).to_pylist() if x)
+                    some = pc.greater(pc.binary_length(part.column(5)), 0)  # the end stands between words as the empty one
+                    told[2].append(pc.split_pattern(part.column(4).filter(some), END).flatten())
                     continue
-                if answers is None:
-                    answers, gram, logs = Answers(gram, logs, known, float(np.log10(1 / floor))), [], []
-                texts = part.column(6 + text_at).to_pylist()
-                score, size = answers.scores(texts)
-                found = (*answers.bases(texts), score, size)
-                yield pa.RecordBatch.from_arrays([*part.columns[6 : 6 + own], *(pa.array(x, t) for x, (_, t) in zip(found, _SCORES, strict=True))], names=[*part.schema.names[6 : 6 + own], *(f"tree__{c}" for c, _ in _SCORES)])
+                parts.append(part)
+                held += part.nbytes
+                if held >= HELD:
+                    yield from scored()
+        yield from scored()
 
     return run
 

@@ -9,6 +9,7 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessella.llm import context_tree, line_dedup, registry, sharding, shingle_join, suffix_dedup
@@ -367,3 +368,56 @@ def test_context_tree_of_many_equal_decisions(spark):
     assert math.isclose(got[code(b"\xc3")], rare(4e8) + 7 * math.log10(0.5), abs_tol=1e-3)
     assert math.isclose(got[code(b"_")], rare(4e8) + 5 * math.log10(0.5), abs_tol=1e-3)
     assert abs(got[code(b"a")]) < 1e-6
+
+
+def asked(texts, learned):
+    """What a stretch asks, by plain loops."""
+    ws, gs = Counter(), Counter()
+    for t, learns in zip(texts, learned, strict=True):
+        own = [*words(t), b""]
+        raw = b"\n" * context_tree.DEPTH + b" ".join(own[:-1]) + b"\n"
+        ws.update({w: 0 for w in own})
+        gs.update({raw[k - context_tree.DEPTH : k + 1]: 0 for k in range(context_tree.DEPTH, len(raw))})
+        if learns:
+            ws.update(own)
+            gs.update(raw[k - context_tree.DEPTH : k + 1] for k in range(context_tree.DEPTH, len(raw)))
+    return dict(ws), {int.from_bytes(g, "big"): n for g, n in gs.items()}
+
+
+def test_context_tree_asks_in_few_pieces(monkeypatch):
+    """Texts that are learned from and those that are not take turns: their grams are still sorted
+    together, where each turn was a sort of its own and most grams of a stretch were told many times."""
+    rows = [(r[1], k % 3 > 0) for k, r in enumerate(corpus(6, 300))]
+    rows += [("A\x1cB\x85c\u3000D e\x0bF \r\n", True), (None, True), ("", False), (" lead and trail ", False), (None, False)]
+    want = asked(*zip(*rows, strict=True))
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * (len(rows) + 1), pa.int32()), pa.array([True] + [x for _, x in rows]), pa.array(["of another slice"] + [t for t, _ in rows])], names=["stretch", "learn", "text"]).slice(1)
+    calls, summed = [], context_tree._sum_by
+    monkeypatch.setattr(context_tree, "_sum_by", lambda keys, *values: calls.append(len(keys)) or summed(keys, *values))
+    for stretch in (context_tree.STRETCH, 3000):
+        monkeypatch.setattr(context_tree, "STRETCH", stretch)
+        calls.clear()
+        told = pa.Table.from_batches([*context_tree._ask_grams(iter([batch]))])
+        assert set(told["stretch"].to_pylist()) == {7} and dict(zip(told["gram"].to_pylist(), told["n"].to_pylist(), strict=True)) == want[1]
+        assert told.num_rows == len(want[1]) and (sum(calls) == len(want[1]) or stretch == 3000)
+    told = pa.Table.from_batches([*context_tree._ask_words(iter([batch]))])
+    assert told.num_rows == len(want[0]) and dict(zip(told["word"].to_pylist(), told["n"].to_pylist(), strict=True)) == want[0]
+
+
+def test_context_tree_answers_equal_plain_loops(monkeypatch):
+    """Sums of looked-up grams and words, whole or in pieces of a text; an answer may come twice."""
+    rng, texts = random.Random(2), [r[1] for r in corpus(6, 60)] + [None, "", " a  b ", "unheard-of"]
+    ws, gs = asked(texts, [k % 3 > 0 for k in range(len(texts))])
+    logs = {g: float(np.float32(-rng.random())) for g in gs}
+    known = {w: n for w, n in ws.items() if n}
+    codes, told = [*logs, *[*logs][:50]], [*known, *[*known][:9]]
+    answers = context_tree.Answers([np.array(codes, np.uint64).tobytes()], [np.array([logs[g] for g in codes], np.float32).tobytes()], [pa.array(told[:20], pa.binary()), pa.array(told[20:], pa.binary())], [np.array([known[w] for w in told], np.int64).tobytes()], 1e6)
+    tokens = [context_tree.Tokens(pa.array(x, pa.string())) for x in (texts[:30], [], texts[30:])]
+    for stretch in (context_tree.STRETCH, 3000):
+        monkeypatch.setattr(context_tree, "STRETCH", stretch)
+        score = np.concatenate([answers.scores(t) for t in tokens])
+        n, n_known, base = (np.concatenate(x) for x in zip(*answers.bases(tokens), strict=True))
+        for k, t in enumerate(texts):
+            own = [*words(t), b""]
+            assert math.isclose(score[k], sum(logs[g] * times for g, times in asked([t], [True])[1].items()), rel_tol=1e-12)
+            assert (n[k], n_known[k]) == (len(own), sum(w in known for w in own))
+            assert math.isclose(base[k], sum(math.log10((known.get(w, 0) + 1) / 1e6) for w in own), rel_tol=1e-12)
